@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def half_up(c: Column, digits: int) -> Column:
     """Round half away from zero in decimal, returned as double.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayscope.functions.numeric import half_up
+from stayscope.functions.numeric import half_up, row_count
 from stayscope.operators.distribution import (
     histogram,
     quantiles,
@@ -16,13 +16,11 @@ from stayscope.operators.distribution import (
 from stayscope.operators.eda import avg_price_borough, room_type_counts, top15_neighbourhoods
 from stayscope.operators.lookup import attach
 
-ROWS = F.count(F.lit(1))
-
 
 def kpis(df: DataFrame) -> DataFrame:
     median = quantiles(df, [], "price", {"median_price": 0.5}).scalar()
     return df.agg(
-        ROWS.alias("total_listings"),
+        row_count().alias("total_listings"),
         F.countDistinct("host_id").alias("unique_hosts"),
         F.countDistinct("neighbourhood").alias("neighbourhoods"),
         half_up(F.avg("price"), 4).alias("avg_price"),
@@ -135,7 +133,7 @@ def compare_areas(df: DataFrame, area_a: str, area_b: str) -> DataFrame:
     picked = df.where(F.col("neighbourhood").isin(area_a, area_b))
     counts = picked.groupBy("neighbourhood", "price").agg(
         F.count(F.when(F.col("price").isNotNull(), 1)).alias("n"),
-        ROWS.alias("rows"),
+        row_count().alias("rows"),
         F.sum("availability_365").alias("days"),
         F.count("availability_365").alias("with_days"),
         F.sum("number_of_reviews").alias("reviews"),
@@ -180,7 +178,7 @@ def compare_room_mix(df: DataFrame, area_a: str, area_b: str) -> DataFrame:
     return (
         df.where(F.col("neighbourhood").isin(area_a, area_b))
         .groupBy("neighbourhood", "room_type")
-        .agg(ROWS.alias("n"))
+        .agg(row_count().alias("n"))
     )
 
 
@@ -209,7 +207,7 @@ def benchmark_price(
     asked = (
         scored.where(F.col(price).isNotNull())
         .groupBy(*keys, F.col(price).alias("p"))
-        .agg(ROWS.alias("asked"))
+        .agg(row_count().alias("asked"))
     )
     line = Window.partitionBy(*keys).orderBy("p", F.desc("asked"))
     merged = listed.withColumn("asked", F.lit(0).cast("long")).unionByName(

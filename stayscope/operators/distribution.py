@@ -89,7 +89,8 @@ def with_percent_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def histogram(
     df: DataFrame, value: str, bins: int, by: str | None = None, groups: list | None = None
 ) -> DataFrame:
-    """Equal-width bins over [min, max], the last one closed; empty bins are kept.
+    """Equal-width bins ``[low, next low)`` over [min, max], the last one closed; empty bins
+    are kept.
 
     ``by`` splits the counts by a column (one full set of bins for each of ``groups``) on
     shared bounds. A single distinct value gets the range value +- 0.5.
@@ -104,30 +105,36 @@ def histogram(
         ).alias("b")
     ).scalar()
     keys = [by] if by else []
+    low = F.col("_b.lo")
+    width = (F.col("_b.hi") - low) / F.lit(bins)
+    guess = F.least(F.floor((F.col("_x") - low) / width), F.lit(bins - 1))
+    # Division may land a value one bin beside its edges; the edges decide.
+    settled = (
+        F.when(F.col("_x") < low + width * F.col("_i"), F.col("_i") - 1)
+        .when(
+            (F.col("_i") < bins - 1) & (F.col("_x") >= low + width * (F.col("_i") + 1)),
+            F.col("_i") + 1,
+        )
+        .otherwise(F.col("_i"))
+    )
     counted = (
         src.select(*keys, x.alias("_x"), bounds.alias("_b"))
-        .select(
-            *keys,
-            F.least(
-                F.width_bucket("_x", F.col("_b.lo"), F.col("_b.hi"), F.lit(bins)), F.lit(bins)
-            ).alias("bin"),
-        )
+        .withColumn("_i", guess)
+        .select(*keys, (settled + 1).alias("bin"))
         .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    spark = df.sparkSession
-    grid = spark.range(1, bins + 1).select(F.col("id").alias("bin"))
+    grid = df.sparkSession.range(1, bins + 1, 1, 1).select(F.col("id").alias("bin"))
     if by:
         # The groups are the few the caller named, so the grid is bins x len(groups) rows.
         grid = grid.select(F.explode(F.array(*[F.lit(g) for g in groups])).alias(by), "bin")
-    edges = grid.withColumn("_b", bounds)
-    width = (F.col("_b.hi") - F.col("_b.lo")) / F.lit(bins)
     return (
-        edges.join(counted, [*keys, "bin"], "left")
+        grid.withColumn("_b", bounds)
+        .join(counted, [*keys, "bin"], "left")
         .select(
             *keys,
             "bin",
-            (F.col("_b.lo") + width * (F.col("bin") - 1)).alias("bin_low"),
+            (low + width * (F.col("bin") - 1)).alias("bin_low"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayscope.functions.numeric import half_up, hash_number, pct
+from stayscope.functions.numeric import half_up, hash_number, pct, row_count
 from stayscope.operators.distribution import (
     histogram,
     quantiles,
     quantiles_from_counts,
     value_counts,
-    weighted_mean,
 )
 from stayscope.schema import CORRELATION_COLUMNS, PRICE_LABELS, ROOM_TYPES
 
-ROWS = F.count(F.lit(1))
-
 
 def hist_price(df: DataFrame, bins: int = 60, zoom_to: float = 400) -> DataFrame:
     """Price histogram, of all rows and of prices up to ``zoom_to``."""
@@ -60,7 +59,7 @@ def top15_neighbourhoods(df: DataFrame, min_listings: int = 30, top: int = 15) -
     """Dearest neighbourhood names with enough listings; boroughs are not told apart."""
     return (
         df.groupBy("neighbourhood")
-        .agg(ROWS.alias("listings"), half_up(F.avg("price"), 4).alias("avg_price"))
+        .agg(row_count().alias("listings"), half_up(F.avg("price"), 4).alias("avg_price"))
         .where(F.col("listings") >= min_listings)
         .orderBy(F.desc("avg_price"), "neighbourhood")
         .limit(top)
@@ -69,7 +68,7 @@ def top15_neighbourhoods(df: DataFrame, min_listings: int = 30, top: int = 15) -
 
 
 def room_type_counts(df: DataFrame) -> DataFrame:
-    grouped = df.where(F.col("room_type").isNotNull()).groupBy("room_type").agg(ROWS.alias("n"))
+    grouped = df.where(F.col("room_type").isNotNull()).groupBy("room_type").agg(row_count().alias("n"))
     share = pct(F.col("n"), F.sum("n").over(Window.partitionBy()))
     return grouped.withColumn("pct", share).orderBy(F.desc("n"), "room_type")
 
@@ -86,64 +85,87 @@ def hist_minimum_nights(df: DataFrame, bins: int = 45) -> DataFrame:
     return histogram(df, "minimum_nights", bins)
 
 
+def _pair_moments(k: int):
+    """Arrow task: moments of every column pair over the rows where both are present.
+
+    Batches become matrix products; a task hands on one row per pair, whatever it read.
+    """
+
+    def run(batches):
+        shift = None
+        n, s, q, c = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
+            seen = ~np.isnan(x)
+            m = seen.astype(float)
+            if shift is None:
+                shift = np.where(seen, x, 0).sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+            z = np.where(seen, x - shift, 0)
+            n += m.T @ m
+            s += z.T @ m
+            q += (z * z).T @ m
+            c += z.T @ z
+        if shift is None:
+            return
+        a, b = np.triu_indices(k)
+        rows = np.maximum(n[a, b], 1)
+        za, zb = s[a, b] / rows, s[b, a] / rows
+        out = {
+            "a": a.astype("int32"),
+            "b": b.astype("int32"),
+            "n": n[a, b],
+            "ma": shift[a] + za,
+            "mb": shift[b] + zb,
+            "aa": q[a, b] - rows * za * za,
+            "bb": q[b, a] - rows * zb * zb,
+            "ab": c[a, b] - rows * za * zb,
+        }
+        yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over the rows where both are present.
 
-    One aggregation of plain sums: per pair of columns only what nulls make different from
-    the per-column sums. Values are shifted by the column mean first, so that the sums do
-    not cancel. A constant column gives null.
+    One pass; each task reduces its rows to centred moments per pair, which then merge in
+    the usual grouped sum. A constant column gives null.
     """
     names = [c for c in (columns or CORRELATION_COLUMNS) if c in df.columns]
-    k = len(names)
-    row = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-        *[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(names)],
-    ).first()
-    gaps = [row[f"z{i}"] > 0 for i in range(k)]
-    means = [row[f"m{i}"] or 0.0 for i in range(k)]
-    x = [F.col(f"x{i}") for i in range(k)]
-    shifted = df.select(
-        *[(F.col(c).cast("double") - F.lit(means[i])).alias(f"x{i}") for i, c in enumerate(names)]
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    parts = numbers.mapInArrow(
+        _pair_moments(len(names)),
+        "a int, b int, n double, ma double, mb double, aa double, bb double, ab double",
     )
+    n, ma, mb = F.col("n"), F.col("ma"), F.col("mb")
+    sums = parts.groupBy("a", "b").agg(
+        F.sum("n").alias("n"),
+        F.sum(n * ma).alias("sa"),
+        F.sum(n * mb).alias("sb"),
+        F.sum(F.col("aa") + n * ma * ma).alias("aa"),
+        F.sum(F.col("bb") + n * mb * mb).alias("bb"),
+        F.sum(F.col("ab") + n * ma * mb).alias("ab"),
+    )
+
+    def deviation(square: str, total: str):
+        """Root of the summed squares around the mean; rounding noise counts as none."""
+        rest = F.col(square) - F.try_divide(F.col(total) * F.col(total), n)
+        return F.when(rest > F.col(square) * 1e-12, F.sqrt(rest))
 
-    sums: dict[str, object] = {"n": ROWS}
-
-    def total(i: int, j: int | None, power: int) -> str:
-        """Name of sum(x_i ** power) over rows where x_j is present as well."""
-        if j is not None and (i == j or not gaps[j]):
-            j = None
-        name = f"s{power}_{i}" if j is None else f"s{power}_{i}_{j}"
-        value = F.when(x[i].isNotNull(), F.lit(1.0)) if power == 0 else x[i] if power == 1 else x[i] * x[i]
-        sums[name] = F.sum(value if j is None else F.when(x[j].isNotNull(), value))
-        return name
-
-    def cross(i: int, j: int) -> str:
-        name = f"c_{min(i, j)}_{max(i, j)}"
-        sums[name] = F.sum(x[i] * x[j])
-        return name
-
-    cells = []
-    for i in range(k):
-        for j in range(k):
-            a, b = min(i, j), max(i, j)
-            n = F.col(total(a, b, 0)) if gaps[a] else F.col(total(b, a, 0)) if gaps[b] else F.col("n")
-            sa, sb = F.col(total(a, b, 1)), F.col(total(b, a, 1))
-            va = n * F.col(total(a, b, 2)) - sa * sa
-            vb = n * F.col(total(b, a, 2)) - sb * sb
-            cov = n * F.col(cross(a, b)) - sa * sb
-            tiny = F.lit(1e-12) * n * F.greatest(F.col(total(a, b, 2)), F.lit(0.0))
-            tiny_b = F.lit(1e-12) * n * F.greatest(F.col(total(b, a, 2)), F.lit(0.0))
-            spread = (va > tiny) & (vb > tiny_b)
-            r = F.when(spread, F.try_divide(cov, F.sqrt(F.greatest(va, F.lit(0.0))) * F.sqrt(F.greatest(vb, F.lit(0.0)))))
-            cells.append(
-                F.struct(
-                    F.lit(names[i]).alias("column_a"),
-                    F.lit(names[j]).alias("column_b"),
-                    half_up(r, 6).alias("correlation"),
-                )
-            )
-    totals = shifted.agg(*[c.alias(n) for n, c in sums.items()])
-    return totals.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    r = (F.col("ab") - F.try_divide(F.col("sa") * F.col("sb"), n)) / (
+        deviation("aa", "sa") * deviation("bb", "sb")
+    )
+    label = F.array(*[F.lit(c) for c in names])
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return (
+        sums.select("a", "b", half_up(r, 6).alias("correlation"))
+        .select(F.explode(F.array_distinct(both)).alias("p"), "correlation")
+        .select(
+            label[F.col("p.a")].alias("column_a"),
+            label[F.col("p.b")].alias("column_b"),
+            "correlation",
+        )
+    )
 
 
 def category_by_borough(df: DataFrame) -> DataFrame:
@@ -160,7 +182,7 @@ def category_by_borough(df: DataFrame) -> DataFrame:
         df.where(F.col("price_category").isNotNull())
         .groupBy("neighbourhood_group")
         .pivot("price_category", present)
-        .agg(ROWS)
+        .agg(row_count())
         .fillna(0)
         .orderBy("neighbourhood_group")
     )
@@ -188,7 +210,7 @@ def sample_price_reviews(df: DataFrame, size: int = 5_000, seed: int = 42) -> Da
         "id", "number_of_reviews", "price", "room_type", hash_number(F.col("id"), seed).alias("_h")
     )
     first = df.agg(
-        F.ceil(F.try_divide(F.lit(whole * (1.25 * size + 200)), ROWS)).cast("long")
+        F.ceil(F.try_divide(F.lit(whole * (1.25 * size + 200)), row_count())).cast("long")
     ).scalar()
     passing = hashed.agg(F.count_if(F.col("_h") <= first)).scalar()
     limit = F.when(passing >= size, first).otherwise(F.lit(whole))

@@ -6,10 +6,10 @@ cut-off always keeps the same rows. Medians work on (group, price) counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stayscope.functions.numeric import half_up, pct
+from stayscope.functions.numeric import half_up, pct, row_count
 from stayscope.operators.distribution import (
     quantiles,
     quantiles_from_counts,
@@ -18,9 +18,14 @@ from stayscope.operators.distribution import (
     with_percent_rank,
 )
 
-BOROUGH = F.col("neighbourhood_group").alias("borough")
-ROWS = F.count(F.lit(1))
-OVERALL = Window.partitionBy()
+
+def borough() -> Column:
+    return F.col("neighbourhood_group").alias("borough")
+
+
+def overall() -> WindowSpec:
+    """All rows of an already aggregated table."""
+    return Window.partitionBy()
 
 
 def _mean(column: str, digits: int = 2):
@@ -31,7 +36,7 @@ def market_summary(df: DataFrame) -> DataFrame:
     """One row: size of the market, price range, mean and median, availability."""
     median = quantiles(df, [], "price", {"median_price": 0.5}).scalar()
     return df.agg(
-        ROWS.alias("total_listings"),
+        row_count().alias("total_listings"),
         F.countDistinct("host_id").alias("total_hosts"),
         F.countDistinct("neighbourhood").alias("total_neighbourhoods"),
         _mean("price").alias("avg_price"),
@@ -43,13 +48,13 @@ def market_summary(df: DataFrame) -> DataFrame:
 
 def borough_summary(df: DataFrame) -> DataFrame:
     """Size, prices and market share per borough, dearest first."""
-    grouped = df.groupBy(BOROUGH).agg(
-        ROWS.alias("total_listings"),
+    grouped = df.groupBy(borough()).agg(
+        row_count().alias("total_listings"),
         _mean("price").alias("avg_price"),
         half_up(F.min("price"), 2).alias("min_price"),
         half_up(F.max("price"), 2).alias("max_price"),
     )
-    share = pct(F.col("total_listings"), F.sum("total_listings").over(OVERALL))
+    share = pct(F.col("total_listings"), F.sum("total_listings").over(overall()))
     return grouped.withColumn("market_share_pct", share).orderBy(F.desc("avg_price"), "borough")
 
 
@@ -64,7 +69,7 @@ def room_type_breakdown(df: DataFrame) -> DataFrame:
         F.sum("n").alias("listing_count"),
         half_up(weighted_mean("price"), 2).alias("avg_price"),
     )
-    share = pct(F.col("listing_count"), F.sum("listing_count").over(OVERALL))
+    share = pct(F.col("listing_count"), F.sum("listing_count").over(overall()))
     return grouped.select(
         "room_type",
         "listing_count",
@@ -77,7 +82,7 @@ def room_type_breakdown(df: DataFrame) -> DataFrame:
 def top_neighbourhoods(df: DataFrame, min_listings: int = 30, top: int = 15) -> DataFrame:
     """Dearest (neighbourhood, borough) pairs with enough listings."""
     keys = ["neighbourhood", "borough"]
-    rows = df.select("neighbourhood", BOROUGH, "price")
+    rows = df.select("neighbourhood", borough(), "price")
     return (
         quantiles_from_counts(
             value_counts(rows, keys, "price"),
@@ -99,8 +104,8 @@ def price_category_mix(df: DataFrame) -> DataFrame:
     within = Window.partitionBy("borough")
     return (
         df.where(F.col("price_category").isNotNull())
-        .groupBy(BOROUGH, "price_category")
-        .agg(ROWS.alias("listing_count"))
+        .groupBy(borough(), "price_category")
+        .agg(row_count().alias("listing_count"))
         .withColumn(
             "pct_within_borough", pct(F.col("listing_count"), F.sum("listing_count").over(within))
         )
@@ -116,7 +121,7 @@ def room_type_crosstab(df: DataFrame) -> DataFrame:
         "Shared room": "avg_shared_room",
     }
     wide = (
-        df.groupBy(BOROUGH)
+        df.groupBy(borough())
         .pivot("room_type", list(columns))
         .agg(half_up(F.avg("price"), 0))
         .withColumnsRenamed(columns)
@@ -129,7 +134,7 @@ def top_hosts(df: DataFrame, top: int = 10) -> DataFrame:
     return (
         df.groupBy("host_id", "host_name")
         .agg(
-            ROWS.alias("listing_count"),
+            row_count().alias("listing_count"),
             _mean("price").alias("avg_price"),
             _mean("number_of_reviews", 1).alias("avg_reviews"),
             _mean("availability_365", 1).alias("avg_availability"),
@@ -148,7 +153,7 @@ def superhost_compare(df: DataFrame) -> DataFrame:
         df.groupBy(label.alias("host_type"))
         .agg(
             F.countDistinct("host_id").alias("host_count"),
-            ROWS.alias("total_listings"),
+            row_count().alias("total_listings"),
             _mean("price").alias("avg_price"),
             _mean("number_of_reviews", 1).alias("avg_reviews"),
             _mean("availability_365", 1).alias("avg_availability"),
@@ -162,7 +167,7 @@ def most_reviewed_hosts(df: DataFrame, min_listings: int = 3, top: int = 10) ->
     return (
         df.groupBy("host_id", "host_name")
         .agg(
-            ROWS.alias("listing_count"),
+            row_count().alias("listing_count"),
             _mean("number_of_reviews", 1).alias("avg_reviews_per_listing"),
             F.sum("number_of_reviews").alias("total_reviews"),
             _mean("price").alias("avg_price"),
@@ -176,9 +181,9 @@ def most_reviewed_hosts(df: DataFrame, min_listings: int = 3, top: int = 10) ->
 
 def _category_mix(df: DataFrame, category: str) -> DataFrame:
     grouped = df.groupBy(category).agg(
-        ROWS.alias("listing_count"), _mean("price").alias("avg_price")
+        row_count().alias("listing_count"), _mean("price").alias("avg_price")
     )
-    share = pct(F.col("listing_count"), F.sum("listing_count").over(OVERALL))
+    share = pct(F.col("listing_count"), F.sum("listing_count").over(overall()))
     return grouped.withColumn("share_pct", share).orderBy(F.desc("listing_count"), category)
 
 
@@ -192,11 +197,11 @@ def review_category_mix(df: DataFrame) -> DataFrame:
 
 def availability_by_area_type(df: DataFrame) -> DataFrame:
     return (
-        df.groupBy(BOROUGH, "room_type")
+        df.groupBy(borough(), "room_type")
         .agg(
             _mean("availability_365", 1).alias("avg_days_available"),
             _mean("price").alias("avg_price"),
-            ROWS.alias("listing_count"),
+            row_count().alias("listing_count"),
         )
         .orderBy("borough", "avg_days_available", "room_type")
     )
@@ -206,14 +211,14 @@ def review_activity(df: DataFrame) -> DataFrame:
     """Review totals and the share of reviewed listings per borough."""
     reviewed = F.count_if(F.col("is_reviewed") == 1)
     return (
-        df.groupBy(BOROUGH)
+        df.groupBy(borough())
         .agg(
-            ROWS.alias("total_listings"),
+            row_count().alias("total_listings"),
             F.sum("number_of_reviews").alias("total_reviews"),
             _mean("number_of_reviews", 1).alias("avg_reviews"),
             _mean("reviews_per_month").alias("avg_reviews_per_month"),
             reviewed.alias("listings_with_reviews"),
-            pct(reviewed, ROWS).alias("pct_reviewed"),
+            pct(reviewed, row_count()).alias("pct_reviewed"),
         )
         .orderBy(F.desc("avg_reviews_per_month"), "borough")
     )
@@ -221,8 +226,8 @@ def review_activity(df: DataFrame) -> DataFrame:
 
 def _area_prices(df: DataFrame, min_listings: int) -> DataFrame:
     return (
-        df.groupBy("neighbourhood", BOROUGH)
-        .agg(ROWS.alias("listing_count"), _mean("price").alias("avg_price"))
+        df.groupBy("neighbourhood", borough())
+        .agg(row_count().alias("listing_count"), _mean("price").alias("avg_price"))
         .where(F.col("listing_count") >= min_listings)
     )
 
@@ -254,7 +259,7 @@ def running_totals(df: DataFrame, min_listings: int = 30, top: int | None = 20)
 
 def price_percentile(df: DataFrame, top: int | None = 20) -> DataFrame:
     """Percent rank of each listing's price in its borough, from (borough, price) counts."""
-    rows = df.select("id", "name", BOROUGH, "room_type", "price")
+    rows = df.select("id", "name", borough(), "room_type", "price")
     ranked = with_percent_rank(rows, ["borough"], "price").select(
         *rows.columns,
         half_up(F.col("percent_rank") * 100, 1).alias("price_percentile_in_borough"),

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayscope.functions.numeric import half_up, pct
+from stayscope.functions.numeric import half_up, pct, row_count
 from stayscope.operators.distribution import value_counts, wide_quantiles
 from stayscope.schema import ENGINEERED_FIELDS
 
-ROWS = F.count(F.lit(1))
-
 
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -24,7 +22,7 @@ def _text(df: DataFrame) -> list[str]:
 def _missing_counts(df: DataFrame) -> DataFrame:
     """One pass: (column_name, dtype, missing_count, rows), then one row per column."""
     wide = df.agg(
-        ROWS.alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
+        row_count().alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
     )
     cells = [
         F.struct(
@@ -36,7 +34,7 @@ def _missing_counts(df: DataFrame) -> DataFrame:
 
 
 def shape(df: DataFrame) -> DataFrame:
-    return df.agg(ROWS.alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+    return df.agg(row_count().alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
 def columns(df: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def missing(df: DataFrame) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row in full. Copies collapse before the shuffle."""
-    copies = df.groupBy(*df.columns).agg(ROWS.alias("n"))
+    copies = df.groupBy(*df.columns).agg(row_count().alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
@@ -94,7 +92,7 @@ def categorical_summary(df: DataFrame, top_n: int = 5) -> DataFrame:
     counts = value_counts(df.select(F.explode(cells).alias("c")).select("c.*"), ["column_name"], "value")
     distinct = counts.groupBy("column_name").agg(F.count("value").alias("distinct_values"))
     ranked = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    total = df.agg(ROWS.alias("n")).scalar()
+    total = df.agg(row_count().alias("n")).scalar()
     return (
         counts.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= top_n)
@@ -185,7 +183,7 @@ def validate_cleaned(df: DataFrame) -> DataFrame:
     """
 
     def listed(c: str) -> Column:
-        values = df.groupBy(c).agg(ROWS.alias("n")).where(F.col(c).isNotNull())
+        values = df.groupBy(c).agg(row_count().alias("n")).where(F.col(c).isNotNull())
         return values.agg(F.array_join(F.sort_array(F.collect_list(c)), "|")).scalar()
 
     nulls = F.array_join(
@@ -204,7 +202,7 @@ def validate_cleaned(df: DataFrame) -> DataFrame:
     )
     return (
         df.agg(
-            ROWS.alias("n_rows"),
+            row_count().alias("n_rows"),
             F.lit(len(df.columns)).alias("n_columns"),
             nulls.alias("remaining_nulls"),
             F.min("price").alias("price_min"),
