@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stayscope.functions.numeric import half_up, hash_bucket
 from stayscope.operators.distribution import histogram, quantiles_from_counts
 from stayscope.operators.lookup import attach
-from stayscope.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
+from stayscope.schema import CATEGORICAL_FEATURES, MODEL_VERSION, NUMERIC_FEATURES, TARGET
 from stayscope.sources.staging import new_path, shared_folder, stage
 
 SEED = 42
@@ -102,32 +102,35 @@ def fit_preprocessor(
     and drops the nominal marking, so trees treat codes as numbers and need no bin per
     category. Means and population deviations (two numbers per column) are written into it.
     """
-    indexer = StringIndexer(
-        inputCols=categorical,
-        outputCols=[f"{c}_index" for c in categorical],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(train)
     facts = train.agg(
         *[F.avg(c).alias(f"m_{c}") for c in numeric],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric],
     ).first()
-    columns = [
-        f"CASE WHEN {c}_index >= {len(labels)} THEN -1.0D ELSE {c}_index + 0.0D END AS {c}_x"
-        for c, labels in zip(categorical, indexer.labelsArray)
-    ]
+    stages, columns = [], []
+    if categorical:
+        indexer = StringIndexer(
+            inputCols=categorical,
+            outputCols=[f"{c}_index" for c in categorical],
+            stringOrderType="alphabetAsc",
+            handleInvalid="keep",
+        ).fit(train)
+        stages.append(indexer)
+        columns = [
+            f"CASE WHEN {c}_index >= {len(labels)} THEN -1.0D ELSE {c}_index + 0.0D END AS {c}_x"
+            for c, labels in zip(categorical, indexer.labelsArray)
+        ]
     for c in numeric:
         mean, dev = facts[f"m_{c}"], facts[f"s_{c}"]
         scaled = f"(CAST({c} AS DOUBLE) - ({mean!r}D)) / {dev!r}D" if dev else "0.0D"
         columns.append(f"{scaled} AS {c}_x")
-    sql = SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
     names = [f"{c}_x" for c in categorical + numeric]
-    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
-    tidy = SQLTransformer(
-        statement=f"SELECT * EXCEPT ({', '.join([f'{c}_index' for c in categorical] + names)})"
-        " FROM __THIS__"
-    )
-    return PipelineModel(stages=[indexer, sql, assembler, tidy])
+    helpers = [f"{c}_index" for c in categorical] + names
+    stages += [
+        SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"),
+        VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error"),
+        SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(helpers)}) FROM __THIS__"),
+    ]
+    return PipelineModel(stages=stages)
 
 
 # ---- Models ----
@@ -371,8 +374,6 @@ def load_model(path: str) -> PipelineModel:
 
 def model_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Saved name and metrics of a model, with the service facts of its release."""
-    from stayscope.schema import MODEL_VERSION
-
     return (
         spark.read.schema("model string, rmse double, mae double, r2 double")
         .json(f"{path}/metadata")

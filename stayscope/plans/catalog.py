@@ -93,18 +93,24 @@ def _(w: Workspace) -> DataFrame:
 
 @query("load_model")
 def _(w: Workspace) -> DataFrame:
-    """A linear model saved, loaded and applied to the test rows."""
-    path = _linear_model(w)
-    return ml.load_model(path).transform(w.test).select("id", "price", "prediction")
+    """A one-feature linear model saved, loaded and applied to the test rows."""
+    loaded = ml.load_model(_saved_linear(w))
+    return loaded.transform(w.test).select(
+        "id", "price", half_up(F.col("prediction"), 3).alias("prediction")
+    )
 
 
 @query("model_metadata")
 def _(w: Workspace) -> DataFrame:
-    return ml.model_metadata(w.spark, _linear_model(w))
+    return ml.model_metadata(w.spark, _saved_linear(w))
+
 
+def _fit_on_area_median(train: DataFrame, estimator) -> ml.PipelineModel:
+    return ml.fit(train, estimator, ml.fit_preprocessor(train, [], ["neighbourhood_median_price"]))
 
-def _linear_model(w: Workspace) -> str:
-    fitted = ml.fit(w.train, ml.linear_model())
+
+def _saved_linear(w: Workspace) -> str:
+    fitted = _fit_on_area_median(w.train, ml.linear_model())
     metrics = ml.evaluate(fitted.transform(w.test)).withColumn("model", F.lit("LinearRegression"))
     return ml.save_model(fitted, metrics, new_path(w.spark, "model"))
 
@@ -292,7 +298,10 @@ def _(w: Workspace) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     ready = ml.fit_preprocessor(w.train).transform(w.test)
-    return ready.select("id", vector_to_array("features").alias("features"))
+    parts = ready.select("id", vector_to_array("features").alias("v"))
+    return parts.select(
+        "id", *[half_up(F.col("v")[i], 5).alias(f"{c}_x") for i, c in enumerate(ml.FEATURES)]
+    )
 
 
 def _predictions(w: Workspace, estimator) -> DataFrame:
@@ -349,7 +358,8 @@ def _(w: Workspace) -> DataFrame:
 
 @query("cross_validate_linear")
 def _(w: Workspace) -> DataFrame:
-    return ml.cross_validate(w.train, ml.linear_model())
+    """One-feature linear model, refitted per fold."""
+    return ml.cross_validate(w.train, ml.linear_model(), fit_fn=_fit_on_area_median)
 
 
 @query("cv_summary")

@@ -711,6 +711,29 @@ add(
   {rnd("regr_intercept(price, neighbourhood_median_price)", 4)} as intercept from train""",
 )
 
+PREPARED = ", ".join(
+    [
+        f"cast(coalesce((select code from code_{c} where v = {c}), -1) as double) as {c}_x"
+        for c in CATEGORICAL_FEATURES
+    ]
+    + [
+        f"case when s_{c} > 0 then {rnd(f'({c} - m_{c}) / s_{c}', 5)} else 0 end as {c}_x"
+        for c in NUMERIC_FEATURES
+    ]
+)
+add(
+    "preprocess",
+    f"{ML}, {CODES}, facts as (select "
+    + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in NUMERIC_FEATURES)
+    + " from train)",
+    f"select id, {PREPARED} from test, facts",
+)
+LINE = f"""{ML}, line as (
+  select regr_slope(price, neighbourhood_median_price) as k,
+    regr_intercept(price, neighbourhood_median_price) as d from train),
+fitted as (select id, price, k * neighbourhood_median_price + d as guess from test, line)"""
+add("load_model", LINE, f"select id, price, {rnd('guess', 3)} as prediction from fitted")
+
 
 def metrics(prediction: str) -> str:
     return f"""{rnd(f"sqrt(avg((price - {prediction}) ** 2))", 2)} as rmse,
@@ -719,6 +742,22 @@ def metrics(prediction: str) -> str:
 
 
 add("evaluate", ML, f"select {metrics('neighbourhood_median_price')} from test")
+add(
+    "model_metadata",
+    LINE,
+    f"""select 'LinearRegression' as model, {metrics("guess")}, 'xgboost_v1' as model_version,
+  16 as features_used, 'price (USD per night)' as target from fitted""",
+)
+add(
+    "cross_validate_linear",
+    ML
+    + """, line as (select k.fold, regr_slope(t.price, t.neighbourhood_median_price) as k,
+  regr_intercept(t.price, t.neighbourhood_median_price) as d
+  from range(5) k(fold) join train t on t.fold <> k.fold group by 1)""",
+    f"""select cast(t.fold as int) as fold,
+  {rnd("sqrt(avg((t.price - k * t.neighbourhood_median_price - d) ** 2))", 2)} as rmse
+from train t join line on line.fold = t.fold group by 1""",
+)
 RIVALS = {
     "Borough": "neighbourhood_group_median_price",
     "Area": "neighbourhood_median_price",

@@ -29,6 +29,11 @@ class Workspace:
             _OPEN[key] = cls(spark, folder)
         return _OPEN[key]
 
+    @classmethod
+    def use(cls, workspace: "Workspace") -> None:
+        """Make later ``open`` calls return this one."""
+        _OPEN[(workspace.spark.sparkContext.applicationId, workspace.folder)] = workspace
+
     def _once(self, name: str, build) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = stage(build(), name)
