@@ -85,42 +85,28 @@ def hist_minimum_nights(df: DataFrame, bins: int = 45) -> DataFrame:
     return histogram(df, "minimum_nights", bins)
 
 
-def _pair_moments(k: int):
-    """Arrow task: moments of every column pair over the rows where both are present.
+def _pair_sums(shift: list[float]):
+    """Arrow task: sums of every column pair over the rows where both are present.
 
     Batches become matrix products; a task hands on one row per pair, whatever it read.
     """
+    k = len(shift)
 
     def run(batches):
-        shift = None
         n, s, q, c = (np.zeros((k, k)) for _ in range(4))
         for batch in batches:
             x = np.column_stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
             seen = ~np.isnan(x)
             m = seen.astype(float)
-            if shift is None:
-                shift = np.where(seen, x, 0).sum(axis=0) / np.maximum(m.sum(axis=0), 1)
             z = np.where(seen, x - shift, 0)
             n += m.T @ m
             s += z.T @ m
             q += (z * z).T @ m
             c += z.T @ z
-        if shift is None:
-            return
         a, b = np.triu_indices(k)
-        rows = np.maximum(n[a, b], 1)
-        za, zb = s[a, b] / rows, s[b, a] / rows
-        out = {
-            "a": a.astype("int32"),
-            "b": b.astype("int32"),
-            "n": n[a, b],
-            "ma": shift[a] + za,
-            "mb": shift[b] + zb,
-            "aa": q[a, b] - rows * za * za,
-            "bb": q[b, a] - rows * zb * zb,
-            "ab": c[a, b] - rows * za * zb,
-        }
-        yield pa.RecordBatch.from_pydict(out)
+        sums = {"n": n[a, b], "sa": s[a, b], "sb": s[b, a], "aa": q[a, b], "bb": q[b, a], "ab": c[a, b]}
+        ends = {"a": a.astype("int32"), "b": b.astype("int32")}
+        yield pa.RecordBatch.from_pydict({**ends, **sums})
 
     return run
 
@@ -128,24 +114,21 @@ def _pair_moments(k: int):
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over the rows where both are present.
 
-    One pass; each task reduces its rows to centred moments per pair, which then merge in
-    the usual grouped sum. A constant column gives null.
+    One pass; each task reduces its rows to sums per pair, which then merge in the usual
+    grouped sum. Values are shifted by the mean of a few rows, so that the sums of large
+    numbers do not cancel; any shift gives the same result. A constant column gives null.
     """
     names = [c for c in (columns or CORRELATION_COLUMNS) if c in df.columns]
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    near = numbers.limit(1_000).agg(*[F.avg(c).alias(c) for c in names]).first()
+    shift = [0.0 if v is None or v != v else v for v in near]
     parts = numbers.mapInArrow(
-        _pair_moments(len(names)),
-        "a int, b int, n double, ma double, mb double, aa double, bb double, ab double",
-    )
-    n, ma, mb = F.col("n"), F.col("ma"), F.col("mb")
-    sums = parts.groupBy("a", "b").agg(
-        F.sum("n").alias("n"),
-        F.sum(n * ma).alias("sa"),
-        F.sum(n * mb).alias("sb"),
-        F.sum(F.col("aa") + n * ma * ma).alias("aa"),
-        F.sum(F.col("bb") + n * mb * mb).alias("bb"),
-        F.sum(F.col("ab") + n * ma * mb).alias("ab"),
+        _pair_sums(shift),
+        "a int, b int, n double, sa double, sb double, aa double, bb double, ab double",
     )
+    wanted = ("n", "sa", "sb", "aa", "bb", "ab")
+    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in wanted])
+    n = F.col("n")
 
     def deviation(square: str, total: str):
         """Root of the summed squares around the mean; rounding noise counts as none."""

@@ -124,7 +124,8 @@ def test_filter_defaults_keep_all_groups(workspace):
     assert got.count() == workspace.featured.where("price between 10 and 400").count()
 
 
-def test_filters_reach_the_scan(workspace):
+def test_filters_reach_the_scan(spark, workspace):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2_000)
     plan = db.filter_listings(workspace.featured, ["Asia"], ["Private room"])._jdf.queryExecution().toString()
     pushed = plan[plan.index("PushedFilters"):]
     assert "EqualTo(neighbourhood_group,Asia)" in pushed and "LessThanOrEqual(price,400" in pushed
