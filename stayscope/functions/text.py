@@ -14,13 +14,13 @@ def strip(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Capitalise each run of letters; unlike ``initcap``, any non-letter starts a new word."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(
-        F.transform(runs, lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))),
-                                             F.lower(F.substr(w, F.lit(2))))),
-        "",
-    )
+    """Capitalise each run of letters: any non-letter starts a new word.
+
+    ``initcap`` breaks words at spaces only, so every other non-letter gets a marker ending
+    in a space first, removed again afterwards.
+    """
+    marked = F.regexp_replace(c, r"([^\p{L} ])", "$1\x01 ")
+    return F.replace(F.initcap(marked), F.lit("\x01 "), F.lit(""))
 
 
 def null_tokens_to_null(c: Column) -> Column:

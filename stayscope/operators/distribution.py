@@ -8,11 +8,14 @@ columns where nearly every value differs, such as ids.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from stayscope.functions.numeric import row_count
 from stayscope.operators.lookup import attach
+from stayscope.sources.literal import literal_table
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, *extra: Column) -> DataFrame:
@@ -140,104 +143,146 @@ def histogram(
     )
 
 
-def _sketch_splits(df: DataFrame, columns: list[str], probs: list[float], k: int) -> dict:
-    """Per column, sorted split points that should closely bracket every wanted quantile.
+@dataclass
+class _Slice:
+    """Values in (low, high] of a column, known to hold the ranks around one quantile."""
 
-    Sketches of one size are merged in two levels, so no task receives one from every
-    input split. The splits steer the work only; no result depends on their quality.
+    column: str
+    name: str
+    rank: float
+    size: int
+    skipped: int = 0
+    low: float | None = None
+    high: float | None = None
+
+    def value(self) -> Column:
+        x = F.col(self.column).cast("double")
+        inside = x.isNotNull()
+        if self.low is not None:
+            inside &= x > F.lit(self.low)
+        if self.high is not None:
+            inside &= x <= F.lit(self.high)
+        return F.when(inside, x)
+
+    def cut(self, points: list[tuple[float, int]]) -> bool:
+        """Shrink to the part between counted points that holds the ranks; False if the
+        slice stays above half its size, which only values with many copies cause."""
+        first, last = math.floor(self.rank) - self.skipped, math.ceil(self.rank) - self.skipped
+        below = [(s, m) for s, m in points if m <= first]
+        above = [(s, m) for s, m in points if m > last]
+        start = max(below, key=lambda p: p[1], default=(self.low, 0))
+        end = min(above, key=lambda p: p[1], default=(self.high, self.size))
+        before, self.size = self.size, end[1] - start[1]
+        self.low, self.high, self.skipped = start[0], end[0], self.skipped + start[1]
+        return self.size * 2 <= before
+
+
+def _narrow(df: DataFrame, slices: list[_Slice], limit: int, k: int) -> None:
+    """Shrink each slice until it holds at most ``limit`` rows.
+
+    A round sketches the slices, takes one point on each side of the wanted rank, and
+    counts the rows up to each point. Sketches merge in two levels, so no task receives
+    one from every input split. A poor sketch costs a round, never the result.
     """
-    width = 8.0 / k
-    points = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-width, width)})
-    first = df.select(
-        (F.spark_partition_id() % 256).alias("_g"),
-        *[F.col(c).cast("double").alias(c) for c in columns],
-    )
-    merged = (
-        first.groupBy("_g")
-        .agg(*[F.kll_sketch_agg_double(c, F.lit(k)).alias(c) for c in columns])
-        .agg(*[F.kll_merge_agg_double(c).alias(c) for c in columns])
-    )
-    row = merged.select(
-        *[
-            F.when(
-                F.kll_sketch_get_n_double(c) > 0,
-                F.array(*[F.kll_sketch_get_quantile_double(c, F.lit(p)) for p in points]),
-            ).alias(c)
-            for c in columns
+    active = [s for s in slices if s.size > limit]
+    while active:
+        names = [f"s{i}" for i in range(len(active))]
+        sketches = (
+            df.select(
+                (F.spark_partition_id() % 256).alias("_g"),
+                *[s.value().alias(n) for s, n in zip(active, names)],
+            )
+            .groupBy("_g")
+            .agg(*[F.kll_sketch_agg_double(n, F.lit(k)).alias(n) for n in names])
+            .agg(*[F.kll_merge_agg_double(n).alias(n) for n in names])
+        )
+        sides = []
+        for s, n in zip(active, names):
+            at = (s.rank - s.skipped) / s.size
+            near = [min(max(at + d, 0.0), 1.0) for d in (-8.0 / k, 8.0 / k)]
+            sides.append(
+                F.array(*[F.kll_sketch_get_quantile_double(n, F.lit(p)) for p in near]).alias(n)
+            )
+        points = sketches.select(*sides).first()
+        counts = df.agg(
+            *[
+                F.count_if(s.value() <= F.lit(v)).alias(f"{n}_{j}")
+                for s, n in zip(active, names)
+                for j, v in enumerate(points[n])
+            ]
+        ).first()
+        shrunk = [
+            s.cut([(v, counts[f"{n}_{j}"]) for j, v in enumerate(points[n])])
+            for s, n in zip(active, names)
         ]
-    ).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+        active = [s for s, ok in zip(active, shrunk) if ok and s.size > limit]
 
 
 def wide_quantiles(
-    df: DataFrame, columns: list[str], probs: dict[str, float], k: int = 2_000
-) -> tuple[DataFrame, dict]:
-    """Exact quantiles of columns with very many distinct values, without sorting them.
+    df: DataFrame,
+    columns: list[str],
+    probs: dict[str, float],
+    limit: int = 1_000_000,
+    k: int = 2_000,
+    extra: tuple = (),
+) -> tuple[DataFrame, Row]:
+    """Exact quantiles of columns of any kind, ids included, in a fixed number of passes.
 
-    One pass sketches the columns, one counts the rows up to each split point, and the last
-    keeps only rows in the slice that must hold the wanted rank. Split points cover the
-    whole line, so a poor sketch costs time and nothing else. Between passes the driver
-    holds one row of counts per column.
+    Columns with up to about ``limit`` distinct values are counted per value. For the
+    others, slices around the wanted ranks are narrowed to ``limit`` rows first, and only
+    rows in a slice are counted per value. The driver holds a few numbers per slice.
 
-    Returns (column, quantile name, value) rows and the {column: non-null count}.
+    Returns (column, quantile name, value) rows and the row of the first pass, which also
+    holds the ``extra`` aggregates.
     """
-    splits = _sketch_splits(df, columns, list(probs.values()), k)
-    counts = df.agg(
-        *[F.count(c).alias(f"{i}_n") for i, c in enumerate(columns)],
-        *[
-            F.count_if(F.col(c).cast("double") <= F.lit(s)).alias(f"{i}_{j}")
-            for i, c in enumerate(columns)
-            for j, s in enumerate(splits[c])
-        ],
+    facts = df.agg(
+        *extra,
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.approx_count_distinct(c).alias(f"d_{c}") for c in columns],
     ).first()
+    filled = [c for c in columns if facts[f"n_{c}"]]
+    few = [c for c in filled if facts[f"d_{c}"] <= limit]
+    slices = [
+        _Slice(c, name, p * (facts[f"n_{c}"] - 1), facts[f"n_{c}"])
+        for c in filled
+        if c not in few
+        for name, p in probs.items()
+    ]
+    _narrow(df, slices, limit, k)
 
-    found, targets = [], []
-    for i, c in enumerate(columns):
-        n = counts[f"{i}_n"]
-        if not n:
-            continue
-        upto = [(s, counts[f"{i}_{j}"]) for j, s in enumerate(splits[c])]
-        x = F.col(c).cast("double")
-        for name, p in probs.items():
-            pos = p * (n - 1)
-            lo_rank, hi_rank = math.floor(pos), math.ceil(pos)
-            low = [(s, m) for s, m in upto if m <= lo_rank]
-            high = [s for s, m in upto if m > hi_rank]
-            keep, skipped = x.isNotNull(), 0
-            if low:
-                keep, skipped = keep & (x > F.lit(low[-1][0])), low[-1][1]
-            if high:
-                keep = keep & (x <= F.lit(high[0]))
-            found.append(
-                F.when(keep, F.struct(F.lit(c).alias("column"), F.lit(name).alias("q"), x.alias("v")))
-            )
-            targets.append((c, name, lo_rank - skipped, hi_rank - skipped, pos - lo_rank))
+    cells = [(c, "*", F.col(c).cast("double")) for c in few]
+    cells += [(s.column, s.name, s.value()) for s in slices]
+    wanted = [
+        (c, "*", name, p * (facts[f"n_{c}"] - 1)) for c in few for name, p in probs.items()
+    ] + [(s.column, s.name, s.name, s.rank - s.skipped) for s in slices]
     spark = df.sparkSession
-    schema = "column string, q string, lo long, hi long, frac double"
-    if not targets:
-        return spark.createDataFrame([], "column string, q string, value double"), {}
-    wanted = spark.createDataFrame(targets, schema)
-    slices = (
-        df.select(F.explode(F.array_compact(F.array(*found))).alias("s"))
-        .select("s.*")
-        .groupBy("column", "q", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+    if not wanted:
+        return literal_table(spark, [], "column string, q string, value double"), facts
+    ranks = literal_table(spark, wanted, "column string, slice string, q string, rank double")
+    entries = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.lit(n).alias("slice"), v.alias("v")) for c, n, v in cells]
     )
-    upto_v = Window.partitionBy("column", "q").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    counted = (
+        df.select(F.explode(entries).alias("e"))
+        .select("e.*")
+        .where(F.col("v").isNotNull())
+        .groupBy("column", "slice", "v")
+        .agg(row_count().alias("n"))
+    )
+    upto = F.sum("n").over(
+        Window.partitionBy("column", "slice")
+        .orderBy("v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    part = F.col("rank") - F.floor("rank")
     picked = (
-        slices.withColumn("upto", F.sum("n").over(upto_v))
-        .join(F.broadcast(wanted), ["column", "q"])  # one row per column and quantile
-        .groupBy("column", "q", "frac")
+        counted.withColumn("upto", upto)
+        .join(F.broadcast(ranks), ["column", "slice"])  # one row per column and quantile
+        .groupBy("column", "slice", "q", "rank")  # the window's partitioning serves
         .agg(
-            F.min(F.when(F.col("upto") > F.col("lo"), F.col("v"))).alias("v_lo"),
-            F.min(F.when(F.col("upto") > F.col("hi"), F.col("v"))).alias("v_hi"),
-        )
-        .select(
-            "column",
-            "q",
-            (F.col("v_lo") * (1 - F.col("frac")) + F.col("v_hi") * F.col("frac")).alias("value"),
+            F.min(F.when(F.col("upto") > F.floor("rank"), F.col("v"))).alias("lo"),
+            F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v"))).alias("hi"),
         )
+        .select("column", "q", (F.col("lo") * (1 - part) + F.col("hi") * part).alias("value"))
     )
-    return picked, {c: counts[f"{i}_n"] for i, c in enumerate(columns)}
+    return picked, facts

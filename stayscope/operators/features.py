@@ -124,10 +124,11 @@ def add_area_price_encoding(
     Medians come from all rows by default, prices of test rows included; ``fit_on`` fits
     them on a training part and ``medians`` reuses saved tables.
     """
-    by_area, by_borough = medians or area_medians(fit_on if fit_on is not None else df)
+    saved = medians is not None
+    by_area, by_borough = medians if saved else area_medians(df if fit_on is None else fit_on)
     order = df.columns
-    out = attach(df, by_area, ["neighbourhood"], weight="n")
-    out = attach(out, by_borough, ["neighbourhood_group"], weight="n")
+    out = attach(df, by_area, ["neighbourhood"], weight="n", staged=saved)
+    out = attach(out, by_borough, ["neighbourhood_group"], weight="n", staged=saved)
     return out.select(*order, "neighbourhood_median_price", "neighbourhood_group_median_price")
 
 

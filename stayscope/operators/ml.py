@@ -20,6 +20,7 @@ from stayscope.operators.distribution import histogram, quantiles_from_counts
 from stayscope.operators.lookup import attach
 from stayscope.schema import CATEGORICAL_FEATURES, MODEL_VERSION, NUMERIC_FEATURES, TARGET
 from stayscope.sources.staging import new_path, shared_folder, stage
+from stayscope.sources.literal import literal_table
 
 SEED = 42
 FEATURES = CATEGORICAL_FEATURES + NUMERIC_FEATURES
@@ -299,7 +300,7 @@ def feature_importance(
     found = getattr(model.stages[-1], "featureImportances", None)
     values = [] if found is None else [float(v) for v in found.toArray()]
     rows = sorted(zip(names, values), key=lambda r: (-r[1], r[0]))[:top]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return literal_table(spark, rows, "feature string, importance double")
 
 
 def actual_vs_predicted(scored: DataFrame, label: str = TARGET) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from stayscope.functions.numeric import half_up, pct, row_count
 from stayscope.operators.distribution import value_counts, wide_quantiles
 from stayscope.schema import ENGINEERED_FIELDS
+from stayscope.sources.literal import literal_table
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -38,7 +39,7 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def columns(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(df.dtypes, "column_name string, dtype string")
+    return literal_table(df.sparkSession, df.dtypes, "column_name string, dtype string")
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -62,23 +63,29 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles, max and nulls per numeric column."""
+    """count, mean, sample deviation, min, quartiles, max and nulls per numeric column.
+
+    The plain figures ride along with a counting pass of the quartiles; they are one row
+    for the whole table.
+    """
     names = _numeric(df)
-    quartiles, _ = wide_quantiles(df, names, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    x = {c: F.col(c).cast("double") for c in names}
-    cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(c).alias("count"),
-            F.avg(x[c]).alias("mean"),
-            F.stddev_samp(x[c]).alias("std"),
-            F.min(x[c]).alias("min"),
-            F.max(x[c]).alias("max"),
-            F.count_if(F.col(c).isNull()).alias("null_count"),
-        )
-        for c in names
-    ]
-    stats = df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+    figures = {
+        "count": F.count,
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "max": F.max,
+        "null_count": lambda x: F.count_if(x.isNull()),
+    }
+    extra = tuple(
+        fn(F.col(c).cast("double")).alias(f"{f}_{c}") for c in names for f, fn in figures.items()
+    )
+    quartiles, row = wide_quantiles(df, names, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, extra=extra)
+    stats = literal_table(
+        df.sparkSession,
+        [(c, *[row[f"{f}_{c}"] for f in figures]) for c in names],
+        "column_name string, count long, mean double, std double, min double, max double, null_count long",
+    )
     wide = quartiles.groupBy("column").pivot("q", ["p25", "p50", "p75"]).agg(F.first("value"))
     return stats.join(
         wide.withColumnRenamed("column", "column_name"), "column_name", "left"
@@ -125,16 +132,26 @@ def price_profile(df: DataFrame) -> DataFrame:
             F.lit(True).alias("needs_parsing"),
         )
     x = F.col(name).cast("double")
-    median, _ = wide_quantiles(df, [name], {"median": 0.5})
-    return df.agg(
-        F.lit(name).alias("price_column"),
-        F.lit(kind.simpleString()).alias("dtype"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        half_up(F.avg(x), 2).alias("mean"),
-        F.count_if(x == 0).alias("zero_values"),
-        F.count_if(x < 0).alias("negative_values"),
-    ).withColumn("median", median.agg(F.max("value")).scalar())
+    median, row = wide_quantiles(
+        df,
+        [name],
+        {"median": 0.5},
+        extra=(
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+            half_up(F.avg(x), 2).alias("mean"),
+            F.count_if(x == 0).alias("zero_values"),
+            F.count_if(x < 0).alias("negative_values"),
+        ),
+    )
+    facts = ("min", "max", "mean", "zero_values", "negative_values")
+    found = literal_table(
+        df.sparkSession,
+        [(name, kind.simpleString(), *[row[f] for f in facts])],
+        "price_column string, dtype string, min double, max double, mean double, "
+        "zero_values long, negative_values long",
+    )
+    return found.withColumn("median", median.agg(F.max("value")).scalar())
 
 
 def schema_report(df: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ from stayscope.schema import (
     REQUEST_BOUNDS,
     ROOM_TYPES,
 )
+from stayscope.sources.literal import literal_table
 
 
 def with_violations(
@@ -80,9 +81,11 @@ def published_medians(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     areas = [(k, v, 1) for k, v in NEIGHBOURHOOD_MEDIANS.items()]
     boroughs = [(k, v, 1) for k, v in BOROUGH_MEDIANS.items()]
     return (
-        spark.createDataFrame(areas, "neighbourhood string, neighbourhood_median_price double, n long"),
-        spark.createDataFrame(
-            boroughs, "neighbourhood_group string, neighbourhood_group_median_price double, n long"
+        literal_table(spark, areas, "neighbourhood string, neighbourhood_median_price double, n long"),
+        literal_table(
+            spark,
+            boroughs,
+            "neighbourhood_group string, neighbourhood_group_median_price double, n long",
         ),
     )
 
@@ -92,16 +95,15 @@ def scoring_features(
     medians: tuple[DataFrame, DataFrame],
     days_since_review: float = DEFAULT_DAYS_SINCE_REVIEW,
     default_price: float = DEFAULT_MEDIAN_PRICE,
-    staged: bool = False,
 ) -> DataFrame:
-    """The model's 16 features from request fields and the median tables.
+    """The model's 16 features from request fields and the saved median tables.
 
     A neighbourhood without a median takes its borough's, an unknown borough the default.
     """
     by_area, by_borough = medians
     fallback = F.coalesce("neighbourhood_group_median_price", F.lit(default_price))
-    found = attach(requests, by_area, ["neighbourhood"], weight="n", staged=staged)
-    found = attach(found, by_borough, ["neighbourhood_group"], weight="n", staged=staged)
+    found = attach(requests, by_area, ["neighbourhood"], weight="n", staged=True)
+    found = attach(found, by_borough, ["neighbourhood_group"], weight="n", staged=True)
     derived = found.withColumns(
         {
             "neighbourhood_median_price": F.coalesce("neighbourhood_median_price", fallback),
@@ -150,11 +152,9 @@ def score(
     medians: tuple[DataFrame, DataFrame],
     predict: Callable[[DataFrame], DataFrame],
     mae: float = MODEL_MAE,
-    staged: bool = False,
     **feature_options,
 ) -> DataFrame:
     """Responses for valid requests. ``predict`` adds a ``prediction`` column, for example
     ``load_model(path).transform``."""
-    return price_response(
-        predict(scoring_features(requests, medians, staged=staged, **feature_options)), mae=mae
-    )
+    features = scoring_features(requests, medians, **feature_options)
+    return price_response(predict(features), mae=mae)

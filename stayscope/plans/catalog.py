@@ -15,6 +15,7 @@ from stayscope.plans.workspace import Workspace
 from stayscope.sources import readers, writers
 from stayscope.sources.order_listings import FIXTURE_REFERENCE_DATE
 from stayscope.sources.staging import new_path, stage
+from stayscope.sources.literal import literal_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -319,7 +320,7 @@ def _(w: Workspace) -> DataFrame:
     pre = ml.VectorAssembler(inputCols=["neighbourhood_median_price"], outputCol="features")
     model = ml.linear_model().fit(pre.transform(w.train))
     row = (float(model.coefficients[0]), float(model.intercept))
-    fitted = w.spark.createDataFrame([row], "slope double, intercept double")
+    fitted = literal_table(w.spark, [row], "slope double, intercept double")
     return fitted.select(*[half_up(F.col(c), 4).alias(c) for c in fitted.columns])
 
 

@@ -45,9 +45,13 @@ def listings_from_orders(spark: SparkSession, folder: str) -> DataFrame:
             F.col("host_listings").alias("weight"),
         )
     )
-    listed = orders.select(
+    wanted = orders.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
-    ).join(stays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    )
+    cores = spark.sparkContext.defaultParallelism
+    if wanted.rdd.getNumPartitions() < cores:  # a small input in few files: use every core
+        wanted = wanted.repartition(cores)
+    listed = wanted.join(stays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     joined = attach(listed, hosts, ["o_custkey"], weight="weight", how="inner")
 
     key, host = F.col("o_orderkey"), F.col("o_custkey")

@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stayscope.operators.score import score, validate_requests
 from stayscope.schema import BOROUGHS, MODEL_MAE, REQUEST_SCHEMA, ROOM_TYPES
-from stayscope.sources.staging import stage
 
 
 def read_requests(
@@ -38,12 +37,11 @@ def start_scoring(
 ) -> list[StreamingQuery]:
     """Start both sinks: responses of valid requests and rejected requests.
 
-    File sinks commit each batch once, so a restarted query repeats nothing. The median
-    tables are written once and joined as static tables.
+    File sinks commit each batch once, so a restarted query repeats nothing. The saved
+    median tables are joined as static tables.
     """
-    medians = tuple(stage(m, "medians") for m in medians)
     valid, rejected = validate_requests(requests, boroughs, room_types)
-    responses = score(valid, medians, predict, mae=mae, staged=True)
+    responses = score(valid, medians, predict, mae=mae)
     queries = []
     for df, path, name in ((responses, out, "responses"), (rejected, rejected_out, "rejected")):
         writer = (

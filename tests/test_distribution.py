@@ -32,23 +32,33 @@ def test_quantiles_match_pandas(skewed):
         assert got[name].sort_index().tolist() == pytest.approx(expected[p].sort_index().tolist())
 
 
-@pytest.mark.parametrize("k", [8, 200])
-def test_wide_quantiles_are_exact_whatever_the_sketch(skewed, k):
+@pytest.mark.parametrize("limit, k", [(1_000_000, 2_000), (100, 8), (100, 200), (5, 64)])
+def test_wide_quantiles_are_exact_whatever_the_sketch(skewed, limit, k):
     pdf, df = skewed
     probs = {"lo": 0.0, "q": 0.25, "m": 0.5, "t": 0.77, "hi": 1.0}
-    got, counts = d.wide_quantiles(df, ["id", "v", "w"], probs, k)
+    got, facts = d.wide_quantiles(df, ["id", "v", "w"], probs, limit, k)
     rows = {(r["column"], r["q"]): r["value"] for r in got.collect()}
-    assert counts == {c: len(pdf) for c in ("id", "v", "w")}
+    assert [facts[f"n_{c}"] for c in ("id", "v", "w")] == [len(pdf)] * 3
     for c in ("id", "v", "w"):
         for name, p in probs.items():
             assert rows[c, name] == pytest.approx(pdf[c].quantile(p))
 
 
+def test_narrowed_slices_are_small(skewed):
+    pdf, df = skewed
+    slices = [d._Slice(c, "m", 0.5 * (len(pdf) - 1), len(pdf)) for c in ("id", "w")]
+    d._narrow(df, slices, 100, 200)
+    for s in slices:
+        inside = pdf[s.column][(pdf[s.column] > s.low) & (pdf[s.column] <= s.high)]
+        assert s.size == len(inside) <= 100
+        assert s.skipped == (pdf[s.column] <= s.low).sum()
+
+
 def test_wide_quantiles_of_nulls_only(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0)], "a double, b double")
-    got, counts = d.wide_quantiles(df, ["a", "b"], {"m": 0.5})
+    got, _ = d.wide_quantiles(df, ["a", "b"], {"m": 0.5})
     assert [tuple(r) for r in got.collect()] == [("b", "m", 2.0)]
-    assert counts == {"a": 0, "b": 2}
+    assert d.wide_quantiles(df, ["a"], {"m": 0.5})[0].count() == 0
 
 
 def test_percent_rank_equals_window(skewed):
