@@ -23,18 +23,35 @@ def attach(
 ) -> DataFrame:
     """Join ``table`` (unique on ``keys``; ``weight`` = rows of the key) to ``rows``.
 
-    ``table`` is written first, so its size is known, not guessed. Up to
-    ``broadcast_rows`` rows it is broadcast and ``rows`` never moves. Beyond that only the
-    ``hot_keys`` heaviest keys are broadcast; each other key then holds less than
-    1/``hot_keys`` of the rows and goes through an ordinary shuffled join. Null keys match
-    nothing and stay in a left join.
+    ``table`` is written first unless it is ``staged``, so its size is known, not guessed.
+    Up to ``broadcast_rows`` rows it is broadcast and ``rows`` never moves. Beyond that the
+    ``hot_keys`` heaviest keys are broadcast; each other key holds less than 1/``hot_keys``
+    of the rows and goes through a shuffled join. Rows already served, or without a key,
+    pass that join spread by their input partition instead of by key. ``rows`` is read once.
     """
     if not staged:
         table = stage(table, "lookup")
     slim = table.drop(weight)
     if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return rows.join(F.broadcast(slim), keys, how)
-    hot = table.orderBy(F.desc(weight), *keys).limit(hot_keys).drop(weight)
-    heavy = rows.join(F.broadcast(hot), keys, "inner")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return heavy.unionByName(rest.join(slim, keys, how))
+
+    values = [c for c in slim.columns if c not in keys]
+    others = [c for c in rows.columns if c not in keys]
+    hot = table.orderBy(F.desc(weight), *keys).limit(hot_keys).select(
+        *keys, F.struct(*values).alias("_hot")
+    )
+    # Always 0, but not a constant to the optimizer, which would drop it from the join keys.
+    zero = F.when(F.col(weight) < 0, -1).otherwise(0)
+    cold = table.select(*keys, zero.alias("_spread"), F.struct(*values).alias("_cold"))
+    done = F.col("_hot").isNotNull()
+    for k in keys:
+        done |= F.col(k).isNull()
+    joined = (
+        rows.join(F.broadcast(hot), keys, "left")
+        .withColumn("_spread", F.when(done, F.spark_partition_id() + 1).otherwise(0))
+        .join(cold, [*keys, "_spread"], "left")
+        .withColumn("_found", F.coalesce("_hot", "_cold"))
+    )
+    if how == "inner":
+        joined = joined.where(F.col("_found").isNotNull())
+    return joined.select(*keys, *others, *[F.col(f"_found.{v}").alias(v) for v in values])

@@ -92,6 +92,13 @@ def _(w: Workspace) -> DataFrame:
     return writers.verify_load(w.spark, path, w.cleaned)
 
 
+@query("save_model")
+def _(w: Workspace) -> DataFrame:
+    """Metrics written beside a saved model, as read back from its folder."""
+    saved = w.spark.read.json(f"{_saved_linear(w)}/metadata")
+    return saved.select("model", "rmse", "mae", "r2")
+
+
 @query("load_model")
 def _(w: Workspace) -> DataFrame:
     """A one-feature linear model saved, loaded and applied to the test rows."""

@@ -742,6 +742,7 @@ def metrics(prediction: str) -> str:
 
 
 add("evaluate", ML, f"select {metrics('neighbourhood_median_price')} from test")
+add("save_model", LINE, f"select 'LinearRegression' as model, {metrics('guess')} from fitted")
 add(
     "model_metadata",
     LINE,

@@ -102,6 +102,28 @@ def test_attach_gives_the_same_rows_on_every_path(spark, skewed, how):
     assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
 
 
+def test_attach_beyond_the_broadcast_size_spreads_hot_rows(spark, skewed):
+    """No task of the shuffled join may get the hot key's rows, a third of all."""
+    _, df = skewed
+    rows = df.repartition(16)
+    table = df.groupBy("k").agg(F.count("*").alias("n"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        joined = attach(rows, table.withColumn("top", F.lit(1)), ["k"], "n", broadcast_rows=1, hot_keys=2)
+        sizes = joined.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sizes.sum() == 3_000 and sizes.max() < 600
+
+
 def test_results_do_not_depend_on_partitioning(skewed):
     _, df = skewed
     a = d.quantiles(df.repartition(1), ["k"], "v", {"m": 0.5})
