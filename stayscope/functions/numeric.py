@@ -10,13 +10,14 @@ def row_count() -> Column:
     return F.count(F.lit(1))
 
 
-def half_up(c: Column, digits: int) -> Column:
+def half_up(c: Column, digits: int, precision: int = 18) -> Column:
     """Round half away from zero in decimal, returned as double.
 
     Going through a decimal makes the result independent of how an engine rounds binary
-    fractions such as 0.285.
+    fractions such as 0.285. The default holds values below 1e12; 38 holds far larger ones,
+    at the cost of a slower decimal.
     """
-    return F.round(c.cast("decimal(18,6)"), digits).cast("double")
+    return F.round(c.cast(f"decimal({precision},6)"), digits).cast("double")
 
 
 def pct(part: Column, whole: Column, digits: int = 1) -> Column:

@@ -14,12 +14,13 @@ def strip(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Capitalise each run of letters: any non-letter starts a new word.
+    """Python's ``str.title``: any character without case starts a new word.
 
-    ``initcap`` breaks words at spaces only, so every other non-letter gets a marker ending
-    in a space first, removed again afterwards.
+    ``initcap`` breaks words at spaces only, so every other such character gets a marker
+    ending in a space first, removed again afterwards.
     """
-    marked = F.regexp_replace(c, r"([^\p{L} ])", "$1\x01 ")
+    caseless = r"([^\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase} ])"
+    marked = F.regexp_replace(c, caseless, "$1\x01 ")
     return F.replace(F.initcap(marked), F.lit("\x01 "), F.lit(""))
 
 

@@ -138,8 +138,19 @@ def fit_preprocessor(
 
 
 def linear_model(**kw) -> LinearRegression:
+    """Least squares from one pass of normal equations.
+
+    Constant or collinear features make those singular; Spark then iterates on the small
+    system, so the tolerance is tight and the rounds cost no further pass.
+    """
     return LinearRegression(
-        labelCol=TARGET, featuresCol="features", regParam=0.0, solver="normal", **kw
+        labelCol=TARGET,
+        featuresCol="features",
+        regParam=0.0,
+        solver="normal",
+        tol=1e-12,
+        maxIter=1_000,
+        **kw,
     )
 
 

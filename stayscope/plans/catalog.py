@@ -133,7 +133,7 @@ _register(
         "profile_columns": pf.columns,
         "profile_missing": pf.missing,
         "profile_numeric": lambda df: pf.numeric_summary(df).withColumns(
-            {c: half_up(F.col(c), 4) for c in ("mean", "std")}
+            {c: half_up(F.col(c), 4, precision=38) for c in ("mean", "std")}
         ),
         "profile_categorical": pf.categorical_summary,
         "profile_price": pf.price_profile,

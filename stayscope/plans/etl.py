@@ -32,18 +32,23 @@ def run_etl(
     raw_format: str = "csv",
     out_format: str = "parquet",
     reference_date: str = REFERENCE_DATE,
+    partition_by: tuple[str, ...] = (),
     jdbc_url: str | None = None,
     jdbc_options: dict | None = None,
 ) -> EtlResult:
-    """Run all steps into ``out``; with ``jdbc_url`` both tables are also loaded there."""
+    """Run all steps into ``out``; with ``jdbc_url`` both tables are also loaded there.
+
+    ``partition_by`` lays the featured table out by columns of few values, such as the
+    borough, so that filters on them skip whole folders.
+    """
     raw = load_listings(spark, raw_path, raw_format)
     cleaned_path, featured_path = f"{out}/cleaned_listings", f"{out}/featured_listings"
     save_table(clean(raw), cleaned_path)
     cleaned = load_listings(spark, cleaned_path, "parquet")
     medians = tuple(stage(m, "medians") for m in area_medians(cleaned))
     wanted = engineer_features(cleaned, reference_date, medians=medians)
-    save_table(wanted, featured_path, out_format)
-    featured = load_featured(spark, featured_path, out_format)
+    save_table(wanted, featured_path, out_format, partition_by=partition_by)
+    featured = load_featured(spark, featured_path, out_format).select(*wanted.columns)
     if jdbc_url:
         for df, name in ((cleaned, "cleaned_listings"), (featured, "featured_listings")):
             write_jdbc(df, jdbc_url, name, **(jdbc_options or {}))

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 
@@ -67,6 +68,11 @@ def test_title_matches_python(spark):
     ]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert values(cl.title_case_areas(df, ("t",)), "t") == [t.title() for t in texts]
+    pick = random.Random(5)
+    letters = "abcXYZ  '-_.59/&\t\néÑß中ǆﬁİıΩςσª²’ა\u0301"
+    mixed = ["".join(pick.choices(letters, k=pick.randint(0, 12))) for _ in range(2_000)]
+    df = spark.createDataFrame([(t,) for t in mixed], "t string")
+    assert values(cl.title_case_areas(df, ("t",)), "t") == [t.title() for t in mixed]
     assert "hell's kitchen".title() == "Hell'S Kitchen"
 
 

@@ -71,6 +71,16 @@ def test_models_beat_the_mean_and_survive_saving(spark, workspace):
             assert ml.feature_importance(spark, fitted).count() == 0
 
 
+def test_linear_residuals_are_orthogonal_to_features(workspace):
+    """The defining property of least squares, on every numeric feature and the constant."""
+    scored = ml.with_residual(ml.fit(workspace.train, ml.linear_model()).transform(workspace.train))
+    scaled = ml.standard_scale(scored, workspace.train)
+    sums = scaled.agg(
+        F.avg("residual"), *[F.avg(F.col("residual") * F.col(f"{c}_scaled")) for c in ml.NUMERIC_FEATURES]
+    ).first()
+    assert max(abs(v) for v in sums) < 1e-3
+
+
 def test_missing_model(spark):
     with pytest.raises(FileNotFoundError):
         ml.load_model(new_path(spark, "nothing"))

@@ -56,3 +56,14 @@ def test_etl_from_csv(spark, workspace, tmp_path):
     assert result.featured.exceptAll(workspace.featured).count() == 0
     assert result.validation.first()["n_rows"] == workspace.cleaned.count()
     assert result.summary.count() > 10
+
+
+def test_partitioned_featured_table_prunes(spark, workspace, tmp_path):
+    raw = writers.save_table(workspace.raw, str(tmp_path / "raw"))
+    result = run_etl(
+        spark, raw, str(tmp_path / "out"), "parquet", reference_date="2001-11-05",
+        partition_by=("neighbourhood_group",),
+    )
+    assert result.featured.exceptAll(workspace.featured).count() == 0
+    plan = result.featured.where("neighbourhood_group = 'Asia'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(neighbourhood_group" in plan
