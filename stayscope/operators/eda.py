@@ -157,9 +157,8 @@ def category_by_borough(df: DataFrame) -> DataFrame:
     Only categories that occur become columns; finding them takes one look at the few
     distinct labels.
     """
-    found = {
-        r[0] for r in df.where(F.col("price_category").isin(PRICE_LABELS)).select("price_category").distinct().take(len(PRICE_LABELS))
-    }
+    labels = df.where(F.col("price_category").isin(PRICE_LABELS)).select("price_category").distinct()
+    found = {r[0] for r in labels.take(len(PRICE_LABELS))}
     present = [c for c in PRICE_LABELS if c in found]
     return (
         df.where(F.col("price_category").isNotNull())

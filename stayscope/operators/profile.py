@@ -86,10 +86,13 @@ def numeric_summary(df: DataFrame) -> DataFrame:
         [(c, *[row[f"{f}_{c}"] for f in figures]) for c in names],
         "column_name string, count long, mean double, std double, min double, max double, null_count long",
     )
-    wide = quartiles.groupBy("column").pivot("q", ["p25", "p50", "p75"]).agg(F.first("value"))
-    return stats.join(
-        wide.withColumnRenamed("column", "column_name"), "column_name", "left"
-    ).select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "null_count")
+    wide = quartiles.groupBy(F.col("column").alias("column_name")).agg(
+        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(q) for q in ("p25", "p50", "p75")]
+    )
+    # The figures are one row per column of the table.
+    return wide.join(F.broadcast(stats), "column_name", "right").select(
+        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "null_count"
+    )
 
 
 def categorical_summary(df: DataFrame, top_n: int = 5) -> DataFrame:

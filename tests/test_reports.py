@@ -90,7 +90,8 @@ def test_sample_opens_its_limit_when_too_few_pass(spark):
 
 
 def test_category_columns_only_when_present(spark):
-    df = spark.createDataFrame([("A", "Luxury"), ("A", "Budget"), ("B", "Luxury")], "neighbourhood_group string, price_category string")
+    rows = [("A", "Luxury"), ("A", "Budget"), ("B", "Luxury")]
+    df = spark.createDataFrame(rows, "neighbourhood_group string, price_category string")
     got = eda.category_by_borough(df)
     assert got.columns == ["neighbourhood_group", "Budget", "Luxury"]
     assert [tuple(r) for r in got.collect()] == [("A", 1, 1), ("B", 0, 1)]
