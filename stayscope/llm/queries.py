@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stayscope.sources.literal import literal_table
 
-from . import chat_format, license_index, rendezvous, url_rules
+from . import chat_format, decontaminate, license_index, quality_rules, rendezvous, url_rules
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -56,6 +56,23 @@ select conv_id, count(*) as n_turns,
 from c group by conv_id
 """
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    rules = quality_rules.fit_rules(docs, read(spark, folder, "labels"))
+    judged = quality_rules.judge(docs, rules, ["doc_id"])
+    return judged.select(
+        "kept.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        F.col("passed").alias("kept"),
+        "rule",
+    )
+
+
 #: (verdict, host and path) of the curated list.
 URL_LIST = [
     ("allow", "com/"),
@@ -75,6 +92,52 @@ def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge_urls(pages, URL_LIST, url_rules.mine_rules(labelled))
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, read(spark, folder, "benchmark"), ["doc_id"])
+    return found.select(
+        "kept.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP4_SQL = r"""
+with w as (
+  select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as words from documents
+  union all
+  select 'i', item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') from benchmark
+), items as (
+  select id, words, least(len(words), 10) as n, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as pos
+  from w where kind = 'i' and len(words) > 0
+), windows as (
+  select distinct id, n, array_to_string(list_slice(words, pos, pos + n - 1), ' ') as passage from items
+), places as (
+  select d.id, s.n, p.pos, array_to_string(list_slice(d.words, p.pos, p.pos + s.n - 1), ' ') as passage
+  from w d, (select distinct n from windows) s, unnest(range(1, len(d.words) - s.n + 2)) p(pos)
+  where d.kind = 'd'
+), hits as (
+  select p.id, p.pos, p.n, i.id as item from places p join windows i on i.n = p.n and i.passage = p.passage
+), words_hit as (
+  select id, count(distinct k) as n_hit from (select id, unnest(range(pos, pos + n)) as k from hits) group by id
+), found as (
+  select id, count(distinct item) as n_items,
+    string_agg(distinct item::varchar, ',' order by item::varchar) as items from hits group by id
+)
+select d.id as doc_id, len(d.words)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit,
+  coalesce(f.n_items, 0)::bigint as n_items, sha256(coalesce(f.items, '')) as items_sha256,
+  coalesce(h.n_hit, 0) > 0 as contaminated
+from w d left join words_hit h on h.id = d.id left join found f on f.id = d.id where d.kind = 'd'
+"""
+
+
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return license_index.scan_licenses(docs, license_index.document_frequencies(docs)).drop("found")
@@ -87,8 +150,10 @@ def op7_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_quality_rules": op2_quality_rules,
     "op3_url_rules": op3_url_rules,
+    "op4_decontaminate": op4_decontaminate,
     "op6_license_scan": op6_license_scan,
     "op7_rendezvous_shards": op7_rendezvous_shards,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
