@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,22 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
+#: Prefixes of up to so many bytes are shared between pieces.
+_SHARED = 24
+
+
 class Vocabulary:
     """Ranks of byte tokens, and which tokens may follow each other."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], max_known: int = 400_000):
         self.ranks = ranks
+        #: Last tokens of short prefixes, shared by all pieces; emptied when it is full.
+        self.known: dict[bytes, bytes] = {}
+        self.max_known = max_known
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self._edges: tuple[dict, dict] = ({}, {})
         if len([t for t in ranks if len(t) == 1]) < 256:
             raise ValueError("the vocabulary lacks single bytes")
 
@@ -63,35 +71,36 @@ class Vocabulary:
             self._halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self._halves[token]
 
-    def is_made(self, token: bytes) -> bool:
-        return token in self.ranks and (len(token) == 1 or self.halves(token) is not None)
+    @cached_property
+    def made(self) -> frozenset[bytes]:
+        """Tokens that merging can end in."""
+        return frozenset(t for t in self.ranks if len(t) == 1 or self.halves(t) is not None)
 
     def _edge(self, token: bytes, right: bool) -> list[tuple[bytes, float, float]]:
         """Tokens at one edge while the token is made: token, from when, until when (by rank)."""
-        out, until = [], float("inf")
-        while True:
-            since = self.ranks[token] if len(token) > 1 else -1
-            out.append((token, since, until))
-            halves = self.halves(token) if len(token) > 1 else None
-            if halves is None:
-                return out
-            token, until = halves[1 if right else 0], since
+        out = self._edges[right].get(token)
+        if out is None:
+            out, until, part = [], float("inf"), token
+            while True:
+                since = self.ranks[part] if len(part) > 1 else -1
+                out.append((part, since, until))
+                halves = self.halves(part) if len(part) > 1 else None
+                if halves is None:
+                    break
+                part, until = halves[1 if right else 0], since
+            self._edges[right][token] = out
+        return out
 
     def may_follow(self, left: bytes, right: bytes) -> bool:
         """Whether merging ``left + right`` ends in these two tokens: no merge across comes first."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            known = True
-            for a, a_since, a_until in self._edge(left, right=True):
-                for b, b_since, b_until in self._edge(right, right=False):
-                    rank = self.ranks.get(a + b)
-                    # At equal ranks the leftmost merge comes first.
-                    if rank is not None and a_since < b_until and b_since < a_until and rank < a_until and rank <= b_until:
-                        known = False
-            if len(self._pairs) >= 500_000:
-                self._pairs.clear()
-            self._pairs[left, right] = known
-        return known
+        rank_of = self.ranks.get
+        for a, a_since, a_until in self._edge(left, True):
+            for b, b_since, b_until in self._edge(right, False):
+                rank = rank_of(a + b)
+                # At equal ranks the leftmost merge comes first.
+                if rank is not None and rank < a_until and rank <= b_until and a_since < b_until and b_since < a_until:
+                    return False
+        return True
 
 
 class PrefixEncoding:
@@ -105,18 +114,27 @@ class PrefixEncoding:
 
     def _last_at(self, data: bytes, end: int) -> bytes:
         words = self.vocabulary
+        made, last = words.made, self.last
         for start in range(max(0, end - words.longest), end):
             token = data[start:end]
-            if token in words.ranks and words.is_made(token):
-                if start == 0 or words.may_follow(self.last[start], token):
-                    return token
+            if token in made and (start == 0 or words.may_follow(last[start], token)):
+                return token
         raise ValueError("no token ends here")
 
     def append(self, more: bytes) -> None:
         """Add bytes; what is filled stays, as prefixes don't depend on what follows."""
-        self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._last_at(self.data, end))
+        self.data = data = self.data + more
+        known, last = self.vocabulary.known, self.last
+        for end in range(len(last), len(data) + 1):
+            if end > _SHARED:
+                last.append(self._last_at(data, end))
+                continue
+            token = known.get(data[:end])
+            if token is None:
+                token = known[data[:end]] = self._last_at(data, end)
+            last.append(token)
+        if len(known) > self.vocabulary.max_known:
+            known.clear()
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of [start, stop); returns how many places were filled anew.
@@ -211,7 +229,7 @@ class TextEncoding:
 class Codec:
     """Encoder and decoder of texts for one vocabulary and pattern."""
 
-    def __init__(self, rank_file: bytes, pattern: str, cached: int = 150_000):
+    def __init__(self, rank_file: bytes, pattern: str, cached: int = 250_000):
         self.vocabulary = Vocabulary(read_ranks(rank_file))
         self.encode = ChunkedEncoder(splitter(pattern, class_members), self._pieces, cached).encode
         self._bytes = self.vocabulary.bytes_of.__getitem__

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayscope.sources.literal import literal_table
 
-from . import chat_format, decontaminate, license_index, quality_rules, rendezvous, url_rules
+from . import chat_format, decontaminate, license_index, prefix_bpe, quality_rules, rendezvous, url_rules
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -138,6 +139,22 @@ from w d left join words_hit h on h.id = d.id left join found f on f.id = d.id w
 """
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = prefix_bpe.encode_texts(docs, path, public_tokenizers.PATTERN, ["doc_id"], decode=True)
+    return done.select(
+        "kept.doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return license_index.scan_licenses(docs, license_index.document_frequencies(docs)).drop("found")
@@ -153,6 +170,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_rules": op3_url_rules,
     "op4_decontaminate": op4_decontaminate,
+    "op5_prefix_bpe": op5_prefix_bpe,
     "op6_license_scan": op6_license_scan,
     "op7_rendezvous_shards": op7_rendezvous_shards,
 }
