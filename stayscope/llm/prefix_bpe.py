@@ -13,6 +13,8 @@ token; text is cut into pieces by the pattern first.
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .splitting import ChunkedEncoder, every_character, splitter
+from .splitting import ChunkedEncoder, every_character, written_out
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -176,10 +178,13 @@ def class_members(name: str) -> str:
 
 
 class TextEncoding:
-    """Encoding of a text by pieces, open to appends and edits at any place."""
+    """Encoding of a text by pieces, open to appends and edits at any place.
+
+    ``pattern`` is written out, as for ``Codec``.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, text: str = ""):
-        self.vocabulary, self.pattern = vocabulary, splitter(pattern, class_members)
+        self.vocabulary, self.pattern = vocabulary, re.compile(pattern)
         self.pieces: list[str] = []
         self.encoded: list[PrefixEncoding] = []
         self.append(text)
@@ -227,16 +232,17 @@ class TextEncoding:
 
 
 class Codec:
-    """Encoder and decoder of texts for one vocabulary and pattern."""
+    """Encoder and decoder of texts for one vocabulary and (written-out) pattern."""
 
     def __init__(self, rank_file: bytes, pattern: str, cached: int = 250_000):
         self.vocabulary = Vocabulary(read_ranks(rank_file))
-        self.encode = ChunkedEncoder(splitter(pattern, class_members), self._pieces, cached).encode
+        self._split = re.compile(pattern).findall
+        self.encode = ChunkedEncoder(self._pieces, cached).encode
         self._bytes = self.vocabulary.bytes_of.__getitem__
 
-    def _pieces(self, pieces: list[str]) -> bytes:
+    def _pieces(self, text: str) -> bytes:
         ids: list[int] = []
-        for piece in pieces:
+        for piece in self._split(text):
             data = piece.encode()
             whole = self.vocabulary.ranks.get(data)
             ids += [whole] if whole is not None else PrefixEncoding(self.vocabulary, data).tokens()
@@ -247,15 +253,24 @@ class Codec:
         return b"".join(map(self._bytes, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def _codec(shared, pattern: str) -> Codec:
+def _codec(shared) -> Codec:
     """One codec per Python worker, kept between its tasks."""
-    if shared.value[0] not in _codecs:
+    name, data, pattern = shared.value
+    if name not in _codecs:
         _codecs.clear()
-        _codecs[shared.value[0]] = Codec(shared.value[1], pattern)
-    return _codecs[shared.value[0]]
+        _codecs[name] = Codec(data, pattern)
+    return _codecs[name]
+
+
+def _share(df: DataFrame, rank_file: str, pattern: str):
+    """Rank file and written-out pattern for the tasks; their size doesn't depend on the data."""
+    with open(rank_file, "rb") as f:
+        data = f.read()
+    name = hashlib.sha256(data + pattern.encode()).hexdigest()
+    return df.sparkSession.sparkContext.broadcast((name, data, written_out(pattern, class_members)))
 
 
 def encode_texts(
@@ -264,18 +279,16 @@ def encode_texts(
     """Per row: kept (a struct of the ``keep`` columns), ids (binary, little-endian 32 bits each).
 
     With ``decode`` also decoded: the bytes that the ids stand for. The rank file is read on the
-    driver and sent to the tasks; its size doesn't depend on the data.
+    driver and sent to the tasks.
 
     Null texts count as empty and have no ids. Rows are encoded each by itself: repeated rows, ties
     and null keys keep their own results, and clashing column names are safe inside ``kept``. No
     special tokens are known: their strings are text.
     """
-    with open(rank_file, "rb") as f:
-        data = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast((hash((data, pattern)), data))
+    shared = _share(docs, rank_file, pattern)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = _codec(shared)
         for batch in batches:
             ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
             columns = {"kept": batch.column("kept"), "ids": pa.array(ids, pa.binary())}
@@ -291,12 +304,10 @@ def encode_texts(
 
 def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> DataFrame:
     """The rows with their ids and a column decoded: the bytes that the ids stand for."""
-    with open(rank_file, "rb") as f:
-        data = f.read()
-    shared = encoded.sparkSession.sparkContext.broadcast((hash((data, pattern)), data))
+    shared = _share(encoded, rank_file, pattern)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = _codec(shared)
         for batch in batches:
             decoded = pa.array([codec.decode(i or b"") for i in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])

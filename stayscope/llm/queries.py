@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stayscope.sources.literal import literal_table
 
-from . import chat_format, decontaminate, license_index, prefix_bpe, quality_rules, rendezvous, url_rules
+from . import bitplane, chat_format, decontaminate, license_index, prefix_bpe, quality_rules, rendezvous, url_rules
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -110,11 +110,11 @@ OP4_SQL = r"""
 with w as (
   select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as words from documents
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words from documents
   union all
   select 'i', item_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') from benchmark
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') from benchmark
 ), items as (
   select id, words, least(len(words), 10) as n, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as pos
   from w where kind = 'i' and len(words) > 0
@@ -165,6 +165,15 @@ def op7_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return rendezvous.assign_shards(docs, 16).withColumn("law", F.lit("key"))
 
 
+def op9_bitplane_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = bitplane.tokenizer_encoder(f.read())
+    files = bitplane.write_ids(docs, encoder, end_id=2)
+    documents = bitplane.read_ids(files, docs.schema["doc_id"])
+    return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -173,5 +182,6 @@ QUERIES = {
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_license_scan": op6_license_scan,
     "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op9_bitplane_ids": op9_bitplane_ids,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}

@@ -24,7 +24,7 @@ def _ranges(characters: str) -> str:
 
 
 @lru_cache(maxsize=8)
-def splitter(pattern: str, class_members: Callable[[str], str]) -> re.Pattern:
+def written_out(pattern: str, class_members: Callable[[str], str]) -> str:
     """The pattern with its letter, number and blank classes written out as ranges.
 
     ``class_members`` names the characters of a class as the tokenizer's own library sees them;
@@ -44,7 +44,7 @@ def splitter(pattern: str, class_members: Callable[[str], str]) -> re.Pattern:
         elif part in "[]":
             in_brackets = part == "["
         out.append(part)
-    return re.compile("".join(out))
+    return "".join(out)
 
 
 class _Recent(dict):
@@ -71,23 +71,22 @@ class _CutsElsewhere(Exception):
 
 
 class ChunkedEncoder:
-    """Encodes texts whose pattern never reaches across a single space between other characters.
+    """Encodes texts whose tokenizer never reaches across a single space between other characters.
 
     That holds for patterns of pieces like `` ?letters`` and runs of blanks: the piece before such a
-    space ends there. Texts are cut at these spaces and ids of what lies between are remembered;
-    the pattern and ``encode_pieces`` (ids of pieces, as bytes, one after another) run just for the
-    rest. A space beside another blank is no cut.
+    space ends there. Texts are cut at these spaces, ids (as bytes) of what lies between are
+    remembered, and ``encode`` runs just for the rest. A space beside another blank is no cut.
     """
 
-    def __init__(self, pattern: re.Pattern, encode_pieces: Callable[[list[str]], bytes], size: int = 150_000):
-        self._pattern, self._encode_pieces = pattern, encode_pieces
+    def __init__(self, encode: Callable[[str], bytes], size: int = 150_000):
+        self._encode = encode
         self._cut = re.compile(r"(?<!\s) (?!\s)")
         self._after_space = _Recent(self._chunk, size).__getitem__
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _CutsElsewhere
-        return self._encode_pieces(self._pattern.findall(" " + chunk))
+        return self._encode(" " + chunk)
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -97,9 +96,8 @@ class ChunkedEncoder:
             tail = b"".join(map(self._after_space, rest))
         except _CutsElsewhere:
             first, *rest = self._cut.split(text)
-            encode = self._encode_pieces
             tail = b"".join(
-                self._after_space(c) if c and not (c[0].isspace() or c[-1].isspace()) else encode(self._pattern.findall(" " + c))
+                self._encode(" " + c) if not c or c[0].isspace() or c[-1].isspace() else self._after_space(c)
                 for c in rest
             )
-        return self._encode_pieces(self._pattern.findall(first)) + tail
+        return self._encode(first) + tail
