@@ -25,7 +25,7 @@ def writing(folder: str, suffix: str) -> Iterator[tuple[str, object]]:
     store, base = _place(folder)
     store.create_dir(base, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    with store.open_output_stream(f"{base.rstrip('/')}/{name}") as stream:
+    with store.open_output_stream(f"{base.rstrip('/')}/{name}", compression=None) as stream:
         yield f"{folder.rstrip('/')}/{name}", stream
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stayscope.sources.literal import literal_table
 
-from . import bitplane, chat_format, decontaminate, license_index, prefix_bpe, quality_rules, rendezvous, url_rules
+from . import bitplane, chat_format, decontaminate, license_index, prefix_bpe, quality_rules, rendezvous, url_rules, warc_dict
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -165,6 +165,24 @@ def op7_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return rendezvous.assign_shards(docs, 16).withColumn("law", F.lit("key"))
 
 
+def op8_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    files = warc_dict.write_archives(read(spark, folder, "pages").select("page_id", "url", "html"))
+    return warc_dict.read_archives(files).drop("url")
+
+
+OP8_SQL = r"""
+with p as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as payload_digest,
+    strlen(coalesce(html, '')) as payload_bytes from pages
+), g as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as last from p
+)
+select page_id, payload_bytes, payload_digest,
+  case when last is not null and page_id is distinct from last then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from last then last end as refers_to from g
+"""
+
+
 def op9_bitplane_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -182,6 +200,7 @@ QUERIES = {
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_license_scan": op6_license_scan,
     "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op8_warc_dictionary": op8_warc_dictionary,
     "op9_bitplane_ids": op9_bitplane_ids,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_warc_dictionary": OP8_SQL}
