@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stayscope.sources.literal import literal_table
 
-from . import bitplane, chat_format, decontaminate, license_index, prefix_bpe, quality_rules, rendezvous, url_rules, warc_dict
+from . import bitplane, chat_format, decontaminate, jaccard_join, license_index, prefix_bpe, quality_rules, rendezvous, url_rules, warc_dict
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -192,6 +192,36 @@ def op9_bitplane_ids(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    linked = jaccard_join.link_texts(docs, k=3, percent=90)
+    return linked.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
+), s as (
+  select distinct doc_id, array_to_string(list_slice(words, pos, pos + 2), ' ') as shingle
+  from w, unnest(range(1, greatest(len(words) - 2, least(len(words), 1)) + 1)) p(pos)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), c as (
+  select a.doc_id as a, b.doc_id as b, count(*) as inter
+  from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select c.a, c.b from c join n x on x.doc_id = c.a join n y on y.doc_id = c.b
+  where 100 * inter >= 90 * (x.n + y.n - inter)
+), reach(a, b) as (
+  select doc_id, doc_id from w union select r.a, l.b from reach r join links l on l.a = r.b
+)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.b) as component_id
+from w left join n on n.doc_id = w.doc_id join reach r on r.a = w.doc_id group by 1, 2
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -202,5 +232,11 @@ QUERIES = {
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_warc_dictionary": op8_warc_dictionary,
     "op9_bitplane_ids": op9_bitplane_ids,
+    "op10_jaccard_join": op10_jaccard_join,
+}
+ORACLE_SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op8_warc_dictionary": OP8_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_warc_dictionary": OP8_SQL}
