@@ -29,9 +29,48 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/stayscope/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Shuffle files of a written step aren't read again; without this they stay until the driver's
+#: garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
+    return _staged(df, new_path(df.sparkSession, label))
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Steps that one operator writes for itself; they are removed when it is done.
+
+    ``with Scratch(spark) as scratch: scratch.stage(df)``. What the operator returns must be staged
+    by ``stage`` instead, or be computed before the end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folder = spark, new_path(spark, "scratch")
+
+    def stage(self, df: DataFrame, label: str = "step") -> DataFrame:
+        return _staged(df, f"{self._folder}/{label}-{uuid.uuid4().hex[:12]}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self._spark, self._folder)
