@@ -10,7 +10,7 @@ from stayscope.operators.clean import clean
 from stayscope.operators.features import area_medians, engineer_features
 from stayscope.operators.profile import feature_summary, validate_cleaned
 from stayscope.schema import REFERENCE_DATE
-from stayscope.sources.readers import load_featured, load_listings
+from stayscope.sources.readers import UNREAD, load_featured, load_listings, unread_counts
 from stayscope.sources.staging import stage
 from stayscope.sources.writers import save_table, verify_load, write_jdbc
 
@@ -23,6 +23,7 @@ class EtlResult:
     validation: DataFrame
     summary: DataFrame
     verification: DataFrame
+    unread: DataFrame | None = None
 
 
 def run_etl(
@@ -39,11 +40,13 @@ def run_etl(
     """Run all steps into ``out``; with ``jdbc_url`` both tables are also loaded there.
 
     ``partition_by`` lays the featured table out by columns of few values, such as the
-    borough, so that filters on them skip whole folders.
+    borough, so that filters on them skip whole folders. ``unread`` of the result counts the cells of a raw CSV
+    file that could not be read.
     """
     raw = load_listings(spark, raw_path, raw_format)
+    unread = unread_counts(raw) if UNREAD in raw.columns else None
     cleaned_path, featured_path = f"{out}/cleaned_listings", f"{out}/featured_listings"
-    save_table(clean(raw), cleaned_path)
+    save_table(clean(raw.drop(UNREAD)), cleaned_path)
     cleaned = load_listings(spark, cleaned_path, "parquet")
     medians = tuple(stage(m, "medians") for m in area_medians(cleaned))
     wanted = engineer_features(cleaned, reference_date, medians=medians)
@@ -59,4 +62,5 @@ def run_etl(
         validate_cleaned(cleaned),
         feature_summary(featured),
         verify_load(spark, featured_path, cleaned, out_format),
+        unread,
     )

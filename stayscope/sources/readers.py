@@ -34,29 +34,50 @@ def _read_text_columns(spark: SparkSession, path: str, multi_line: bool) -> Data
         raise
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Null tokens to null, then the known columns to their types; other columns stay text."""
-    types = {f.name: f.dataType for f in schema}
-
-    def column(name: str):
-        c = null_tokens_to_null(F.col(f"`{name}`"))
-        t = types.get(name)
-        if t is None or isinstance(t, T.StringType):
-            return c.alias(name)
+#: Columns that may hold fractions in a file, whatever they hold in a table made elsewhere.
+FRACTIONAL = ("price", "minimum_nights")
+UNREAD = "_unread"
+
+
+def _typed(df: DataFrame, schema: T.StructType, unread: str | None = None) -> DataFrame:
+    """Null tokens to null, then the known columns to their types; other columns stay text.
+
+    Whole-number columns take a decimal text only if its fraction is 0. ``unread`` names a column
+    for the names of those columns whose text could not be read.
+    """
+    types = {f.name: T.DoubleType() if f.name in FRACTIONAL else f.dataType for f in schema}
+    columns, failed = [], []
+    for name in df.columns:
+        text, t = null_tokens_to_null(F.col(f"`{name}`")), types.get(name)
+        value = text
         if isinstance(t, T.IntegralType):
-            return F.coalesce(c.try_cast(t), c.try_cast("double").try_cast(t)).alias(name)
-        return c.try_cast(t).alias(name)
+            number = text.try_cast("double")
+            value = F.coalesce(text.try_cast(t), F.when(number == F.floor(number), number.try_cast(t)))
+        elif t is not None and not isinstance(t, T.StringType):
+            value = text.try_cast(t)
+        if value is not text:
+            failed.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
+        columns.append(value.alias(name))
+    if unread:
+        columns.append(F.array_compact(F.array(*failed)).cast("array<string>").alias(unread))
+    return df.select(columns)
 
-    return df.select([column(n) for n in df.columns])
+
+def unread_counts(listings: DataFrame, unread: str = UNREAD) -> DataFrame:
+    """Cells that could not be read, per column that has any."""
+    names = listings.select(F.explode(unread).alias("column_name"))
+    return names.groupBy("column_name").agg(F.count("*").alias("n"))
 
 
 def load_listings(
-    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False, unread: str | None = UNREAD
 ) -> DataFrame:
-    """Raw listings. Quoted line breaks need ``multi_line``; turn it off for files without
-    them, so that Spark may split single files among tasks."""
+    """Raw listings. From CSV the column ``unread`` tells which cells could not be read.
+
+    Quoted line breaks need ``multi_line``, which makes every file one task; without it Spark
+    splits single files among tasks."""
     if fmt == "csv":
-        return _typed(_read_text_columns(spark, path, multi_line), RAW_SCHEMA)
+        return _typed(_read_text_columns(spark, path, multi_line), RAW_SCHEMA, unread)
     try:
         return spark.read.format(fmt).load(path)
     except AnalysisException as e:
@@ -66,7 +87,7 @@ def load_listings(
 
 
 def load_featured(
-    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True
+    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False
 ) -> DataFrame:
     """The featured table; from CSV the types come back, an unreadable date becomes null."""
     if fmt == "csv":

@@ -12,10 +12,26 @@ def test_quoted_line_breaks_and_null_tokens(spark, tmp_path):
         "2,n/a,,3.0,NaN,\n"
         "9007199254740993,x,y,oops,,z\n"
     )
-    rows = readers.load_listings(spark, str(path)).orderBy("id").collect()
-    assert tuple(rows[0]) == (1, 'two\nlines "quoted"', None, 100, "2019-01-02", "kept")
-    assert tuple(rows[1]) == (2, None, None, 3, None, None)
-    assert tuple(rows[2]) == (9007199254740993, "x", "y", None, None, "z")
+    rows = readers.load_listings(spark, str(path), multi_line=True).orderBy("id").collect()
+    assert tuple(rows[0]) == (1, 'two\nlines "quoted"', None, 100, "2019-01-02", "kept", [])
+    assert tuple(rows[1]) == (2, None, None, 3, None, None, [])
+    assert tuple(rows[2]) == (9007199254740993, "x", "y", None, None, "z", ["price"])
+
+
+def test_nothing_is_lost_without_a_trace(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text(
+        "id,price,minimum_nights,number_of_reviews\n1,149.99,1.5,3.0\n2,$120.00,2,3.5\n3,0.75,x,\n"
+    )
+    df = readers.load_listings(spark, str(path))
+    rows = [tuple(r) for r in df.orderBy("id").collect()]
+    assert rows == [
+        (1, 149.99, 1.5, 3, []),
+        (2, None, 2.0, None, ["price", "number_of_reviews"]),
+        (3, 0.75, None, None, ["minimum_nights"]),
+    ]
+    counts = {r["column_name"]: r["n"] for r in readers.unread_counts(df).collect()}
+    assert counts == {"price": 1, "number_of_reviews": 1, "minimum_nights": 1}
 
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
