@@ -143,9 +143,20 @@ def histogram(
     )
 
 
+@dataclass
+class _Point:
+    """A value of a slice: how many of its values are smaller, how many not larger, and those next to it."""
+
+    value: float
+    smaller: int
+    upto: int
+    before: float | None
+    after: float | None
+
+
 @dataclass
 class _Slice:
-    """Values in (low, high] of a column, known to hold the ranks around one quantile."""
+    """Values between two bounds of a column, known to hold the ranks around one quantile."""
 
     column: str
     name: str
@@ -154,6 +165,7 @@ class _Slice:
     skipped: int = 0
     low: float | None = None
     high: float | None = None
+    found: float | None = None
 
     def value(self) -> Column:
         x = F.col(self.column).cast("double")
@@ -161,28 +173,34 @@ class _Slice:
         if self.low is not None:
             inside &= x > F.lit(self.low)
         if self.high is not None:
-            inside &= x <= F.lit(self.high)
+            inside &= x < F.lit(self.high)
         return F.when(inside, x)
 
-    def cut(self, points: list[tuple[float, int]]) -> bool:
-        """Shrink to the part between counted points that holds the ranks; False if the
-        slice stays above half its size, which only values with many copies cause."""
+    def cut(self, points: list[_Point]) -> None:
+        """Shrink to the part around the ranks. A value that holds a rank settles the quantile, so
+        the copies of one value never keep a slice large; any other value leaves the slice."""
         first, last = math.floor(self.rank) - self.skipped, math.ceil(self.rank) - self.skipped
-        below = [(s, m) for s, m in points if m <= first]
-        above = [(s, m) for s, m in points if m > last]
-        start = max(below, key=lambda p: p[1], default=(self.low, 0))
-        end = min(above, key=lambda p: p[1], default=(self.high, self.size))
-        before, self.size = self.size, end[1] - start[1]
-        self.low, self.high, self.skipped = start[0], end[0], self.skipped + start[1]
-        return self.size * 2 <= before
+        part = self.rank - math.floor(self.rank)
+        start, end = 0, self.size
+        for p in points:
+            if p.smaller <= first < p.upto or p.smaller <= last < p.upto:
+                lo = p.value if first >= p.smaller else p.before
+                hi = p.value if last < p.upto else p.after
+                self.found = lo * (1 - part) + hi * part
+                return
+            if p.upto <= first and p.upto > start:
+                start, self.low = p.upto, p.value
+            if p.smaller > last and p.smaller < end:
+                end, self.high = p.smaller, p.value
+        self.size, self.skipped = end - start, self.skipped + start
 
 
 def _narrow(df: DataFrame, slices: list[_Slice], limit: int, k: int) -> None:
-    """Shrink each slice until it holds at most ``limit`` rows.
+    """Shrink each slice until it holds at most ``limit`` rows or its quantile is settled.
 
-    A round sketches the slices, takes one point on each side of the wanted rank, and
-    counts the rows up to each point. Sketches merge in two levels, so no task receives
-    one from every input split. A poor sketch costs a round, never the result.
+    A round sketches the slices, takes a point at the wanted rank and one on each side, and counts the
+    rows around each point. Sketches merge in two levels, so no task receives one from every input
+    split. A poor sketch costs a round, never the result.
     """
     active = [s for s in slices if s.size > limit]
     while active:
@@ -199,23 +217,26 @@ def _narrow(df: DataFrame, slices: list[_Slice], limit: int, k: int) -> None:
         sides = []
         for s, n in zip(active, names):
             at = (s.rank - s.skipped) / s.size
-            near = [min(max(at + d, 0.0), 1.0) for d in (-8.0 / k, 8.0 / k)]
+            near = [min(max(at + d, 0.0), 1.0) for d in (-8.0 / k, 0.0, 8.0 / k)]
             sides.append(
                 F.array(*[F.kll_sketch_get_quantile_double(n, F.lit(p)) for p in near]).alias(n)
             )
         points = sketches.select(*sides).first()
-        counts = df.agg(
-            *[
-                F.count_if(s.value() <= F.lit(v)).alias(f"{n}_{j}")
-                for s, n in zip(active, names)
-                for j, v in enumerate(points[n])
-            ]
-        ).first()
-        shrunk = [
-            s.cut([(v, counts[f"{n}_{j}"]) for j, v in enumerate(points[n])])
-            for s, n in zip(active, names)
-        ]
-        active = [s for s, ok in zip(active, shrunk) if ok and s.size > limit]
+        around = []
+        for s, n in zip(active, names):
+            x = s.value()
+            for j, v in enumerate(points[n]):
+                around += [
+                    F.count_if(x < F.lit(v)).alias(f"{n}_{j}_smaller"),
+                    F.count_if(x <= F.lit(v)).alias(f"{n}_{j}_upto"),
+                    F.max(F.when(x < F.lit(v), x)).alias(f"{n}_{j}_before"),
+                    F.min(F.when(x > F.lit(v), x)).alias(f"{n}_{j}_after"),
+                ]
+        counts = df.agg(*around).first()
+        for s, n in zip(active, names):
+            facts = ("smaller", "upto", "before", "after")
+            s.cut([_Point(v, *[counts[f"{n}_{j}_{f}"] for f in facts]) for j, v in enumerate(points[n])])
+        active = [s for s in active if s.found is None and s.size > limit]
 
 
 def wide_quantiles(
@@ -249,6 +270,8 @@ def wide_quantiles(
         for name, p in probs.items()
     ]
     _narrow(df, slices, limit, k)
+    settled = [(s.column, s.name, s.found) for s in slices if s.found is not None]
+    slices = [s for s in slices if s.found is None]
 
     cells = [(c, "*", F.col(c).cast("double")) for c in few]
     cells += [(s.column, s.name, s.value()) for s in slices]
@@ -256,8 +279,9 @@ def wide_quantiles(
         (c, "*", name, p * (facts[f"n_{c}"] - 1)) for c in few for name, p in probs.items()
     ] + [(s.column, s.name, s.name, s.rank - s.skipped) for s in slices]
     spark = df.sparkSession
+    known = literal_table(spark, settled, "column string, q string, value double")
     if not wanted:
-        return literal_table(spark, [], "column string, q string, value double"), facts
+        return known, facts
     ranks = literal_table(spark, wanted, "column string, slice string, q string, rank double")
     entries = F.array(
         *[F.struct(F.lit(c).alias("column"), F.lit(n).alias("slice"), v.alias("v")) for c, n, v in cells]
@@ -285,4 +309,4 @@ def wide_quantiles(
         )
         .select("column", "q", (F.col("lo") * (1 - part) + F.col("hi") * part).alias("value"))
     )
-    return picked, facts
+    return (picked.union(known) if settled else picked), facts

@@ -9,6 +9,12 @@ from stayscope.sources.staging import stage
 
 BROADCAST_ROWS = 50_000
 HOT_KEYS = 1_000
+SPREAD = 16
+
+
+def _dealt(others: list[str], keys: list[str], spread: int):
+    """A number below ``spread`` that differs between rows of one key."""
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *others, *keys), F.lit(spread)).cast("int")
 
 
 def attach(
@@ -20,6 +26,7 @@ def attach(
     broadcast_rows: int = BROADCAST_ROWS,
     hot_keys: int = HOT_KEYS,
     staged: bool = False,
+    spread: int = SPREAD,
 ) -> DataFrame:
     """Join ``table`` (unique on ``keys``; ``weight`` = rows of the key) to ``rows``.
 
@@ -27,7 +34,9 @@ def attach(
     Up to ``broadcast_rows`` rows it is broadcast and ``rows`` never moves. Beyond that the
     ``hot_keys`` heaviest keys are broadcast; each other key holds less than 1/``hot_keys``
     of the rows and goes through a shuffled join. Rows already served, or without a key,
-    pass that join spread by their input partition instead of by key. ``rows`` is read once.
+    pass that join spread by their input partition instead of by key. Keys that the table lacks
+    can be as frequent as they like and can't be counted ahead in a stream, so all other rows are
+    dealt over ``spread`` copies of the remaining table. ``rows`` is read once.
     """
     if not staged:
         table = stage(table, "lookup")
@@ -40,15 +49,14 @@ def attach(
     hot = table.orderBy(F.desc(weight), *keys).limit(hot_keys).select(
         *keys, F.struct(*values).alias("_hot")
     )
-    # Always 0, but not a constant to the optimizer, which would drop it from the join keys.
-    zero = F.when(F.col(weight) < 0, -1).otherwise(0)
-    cold = table.select(*keys, zero.alias("_spread"), F.struct(*values).alias("_cold"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    cold = table.select(*keys, copies.alias("_spread"), F.struct(*values).alias("_cold"))
     done = F.col("_hot").isNotNull()
     for k in keys:
         done |= F.col(k).isNull()
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_spread", F.when(done, F.spark_partition_id() + 1).otherwise(0))
+        .withColumn("_spread", F.when(done, -F.spark_partition_id() - 1).otherwise(_dealt(others, keys, spread)))
         .join(cold, [*keys, "_spread"], "left")
         .withColumn("_found", F.coalesce("_hot", "_cold"))
     )

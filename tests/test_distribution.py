@@ -49,9 +49,13 @@ def test_narrowed_slices_are_small(skewed):
     slices = [d._Slice(c, "m", 0.5 * (len(pdf) - 1), len(pdf)) for c in ("id", "w")]
     d._narrow(df, slices, 100, 200)
     for s in slices:
-        inside = pdf[s.column][(pdf[s.column] > s.low) & (pdf[s.column] <= s.high)]
+        column = pdf[s.column]
+        if s.found is not None:
+            assert s.found == pytest.approx(column.quantile(0.5))
+            continue
+        inside = column[(column > s.low) & (column < s.high)]
         assert s.size == len(inside) <= 100
-        assert s.skipped == (pdf[s.column] <= s.low).sum()
+        assert s.skipped == (column <= s.low).sum()
 
 
 def test_wide_quantiles_of_nulls_only(spark):
@@ -91,6 +95,26 @@ def test_histogram_by_group_shares_bounds(spark):
     assert got.loc[got["g"] == "b", "bin_low"].max() == 8.0
 
 
+@pytest.mark.parametrize("k", [200, 2_000])
+def test_a_heavy_value_does_not_keep_a_slice_large(spark, k):
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 5 < 3, F.lit(0.5)).otherwise(F.col("id") / 40_000).alias("v")
+    )
+    values = np.sort(df.toPandas()["v"].to_numpy())
+    probs = {"q": 0.1, "low": 0.25, "mid": 0.5, "high": 0.9, "top": 1.0}
+    slices = [d._Slice("v", n, p * (len(values) - 1), len(values)) for n, p in probs.items()]
+    d._narrow(df, slices, 1_000, k)
+    assert all(s.found is not None or s.size <= 1_000 for s in slices)
+    got, _ = d.wide_quantiles(df, ["v"], probs, 1_000, k)
+    assert {r["q"]: r["value"] for r in got.collect()} == pytest.approx({n: np.quantile(values, p) for n, p in probs.items()})
+
+
+def test_a_rank_between_two_heavy_values(spark):
+    df = spark.createDataFrame([(v,) for v in [1.0] * 300 + [2.0] * 300 + [float(x) for x in range(10, 210)]], "v double")
+    got, _ = d.wide_quantiles(df, ["v"], {"q": 299.5 / 799}, 20, 200)
+    assert got.first()["value"] == pytest.approx(1.5)
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_attach_gives_the_same_rows_on_every_path(spark, skewed, how):
     _, df = skewed
@@ -124,6 +148,27 @@ def test_attach_beyond_the_broadcast_size_spreads_hot_rows(spark, skewed):
     assert sizes.sum() == 3_000 and sizes.max() < 600
 
 
+def test_attach_spreads_a_frequent_key_that_the_table_lacks(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id") % 3_000).alias("k"))
+    table = spark.range(3_000).select(F.col("id").alias("k"), F.lit(1).alias("n"), (F.col("id") * 2).alias("top"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        joined = attach(rows, table, ["k"], "n", broadcast_rows=1, hot_keys=2)
+        sizes = joined.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        known = joined.where("top = 2 * k").count()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert known == 10_000 and sizes.sum() == 20_000 and sizes.max() < 5_000
+
+
 def test_results_do_not_depend_on_partitioning(skewed):
     _, df = skewed
     a = d.quantiles(df.repartition(1), ["k"], "v", {"m": 0.5})
