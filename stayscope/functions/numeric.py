@@ -10,14 +10,14 @@ def row_count() -> Column:
     return F.count(F.lit(1))
 
 
-def half_up(c: Column, digits: int, precision: int = 18) -> Column:
-    """Round half away from zero in decimal, returned as double.
+def half_up(c: Column, digits: int) -> Column:
+    """Round half away from zero, once, in decimal; returned as double.
 
-    Going through a decimal makes the result independent of how an engine rounds binary
-    fractions such as 0.285. The default holds values below 1e12; 38 holds far larger ones,
-    at the cost of a slower decimal.
+    Going through the shortest decimal makes the result independent of how an engine rounds
+    binary fractions such as 0.285. From 1e22 on (and for NaN) values stay as they are.
     """
-    return F.round(c.cast(f"decimal({precision},6)"), digits).cast("double")
+    x = c.cast("double")
+    return F.when(F.abs(x) < 1e22, F.round(x.cast("decimal(38,15)"), digits).cast("double")).otherwise(x)
 
 
 def pct(part: Column, whole: Column, digits: int = 1) -> Column:

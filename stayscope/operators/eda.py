@@ -85,69 +85,94 @@ def hist_minimum_nights(df: DataFrame, bins: int = 45) -> DataFrame:
     return histogram(df, "minimum_nights", bins)
 
 
-def _pair_sums(shift: list[float]):
-    """Arrow task: sums of every column pair over the rows where both are present.
-
-    Batches become matrix products; a task hands on one row per pair, whatever it read.
-    """
-    k = len(shift)
+def _pair_moments(k: int):
+    """Arrow task: count, means, squared deviations, co-deviation and range of every column pair
+    over the rows where both are present. A task hands on one row per pair, whatever it read."""
+
+    def of_batch(x: np.ndarray) -> dict[str, np.ndarray]:
+        seen = ~np.isnan(x)
+        m = seen.astype(float)
+        n = m.T @ m
+        rows = np.maximum(seen.sum(axis=0), 1)
+        shift = np.where(seen, x, 0).sum(axis=0) / rows
+        z = np.where(seen, x - shift, 0)
+        s, q, c = z.T @ m, (z * z).T @ m, z.T @ z
+        own = s / np.maximum(n, 1)
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+        for b in range(k):
+            both = np.where(seen & seen[:, [b]], x, np.nan)
+            low[:, b] = np.fmin.reduce(both, axis=0, initial=np.inf)
+            high[:, b] = np.fmax.reduce(both, axis=0, initial=-np.inf)
+        return {"n": n, "mean": shift[:, None] + own, "sq": q - s * own, "co": c - s * own.T, "low": low, "high": high}
+
+    def merged(one: dict, two: dict) -> dict:
+        n = one["n"] + two["n"]
+        some = np.maximum(n, 1)
+        step = two["mean"] - one["mean"]
+        weight = one["n"] * two["n"] / some
+        return {
+            "n": n,
+            "mean": one["mean"] + step * two["n"] / some,
+            "sq": one["sq"] + two["sq"] + step * step * weight,
+            "co": one["co"] + two["co"] + step * step.T * weight,
+            "low": np.minimum(one["low"], two["low"]),
+            "high": np.maximum(one["high"], two["high"]),
+        }
 
     def run(batches):
-        n, s, q, c = (np.zeros((k, k)) for _ in range(4))
+        total = None
         for batch in batches:
             x = np.column_stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
-            seen = ~np.isnan(x)
-            m = seen.astype(float)
-            z = np.where(seen, x - shift, 0)
-            n += m.T @ m
-            s += z.T @ m
-            q += (z * z).T @ m
-            c += z.T @ z
-        a, b = np.triu_indices(k)
-        sums = {"n": n[a, b], "sa": s[a, b], "sb": s[b, a], "aa": q[a, b], "bb": q[b, a], "ab": c[a, b]}
-        ends = {"a": a.astype("int32"), "b": b.astype("int32")}
-        yield pa.RecordBatch.from_pydict({**ends, **sums})
+            if len(x):
+                total = of_batch(x) if total is None else merged(total, of_batch(x))
+        if total is not None:
+            a, b = np.triu_indices(k)
+            ends = {"a": a.astype("int32"), "b": b.astype("int32"), "n": total["n"][a, b], "co": total["co"][a, b]}
+            sides = {f"{c}_{side}": total[c][i, j] for side, i, j in (("a", a, b), ("b", b, a)) for c in _SIDES}
+            yield pa.RecordBatch.from_pydict({**ends, **sides})
 
     return run
 
 
+_SIDES = ("mean", "sq", "low", "high")
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over the rows where both are present.
 
-    One pass; each task reduces its rows to sums per pair, which then merge in the usual
-    grouped sum. Values are shifted by the mean of a few rows, so that the sums of large
-    numbers do not cancel; any shift gives the same result. A constant column gives null.
+    One pass and no job before it. Each task reduces its rows to means and deviations around them;
+    these merge by the usual formulas for parts, so large offsets do not cancel. A column that is
+    constant over the rows of a pair gives null.
     """
     names = [c for c in (columns or CORRELATION_COLUMNS) if c in df.columns]
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    near = numbers.limit(1_000).agg(*[F.avg(c).alias(c) for c in names]).first()
-    shift = [0.0 if v is None or v != v else v for v in near]
-    parts = numbers.mapInArrow(
-        _pair_sums(shift),
-        "a int, b int, n double, sa double, sb double, aa double, bb double, ab double",
-    )
-    wanted = ("n", "sa", "sb", "aa", "bb", "ab")
-    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in wanted])
-    n = F.col("n")
-
-    def deviation(square: str, total: str):
-        """Root of the summed squares around the mean; rounding noise counts as none."""
-        rest = F.col(square) - F.try_divide(F.col(total) * F.col(total), n)
-        return F.when(rest > F.col(square) * 1e-12, F.sqrt(rest))
-
-    r = (F.col("ab") - F.try_divide(F.col("sa") * F.col("sb"), n)) / (
-        deviation("aa", "sa") * deviation("bb", "sb")
+    fields = [f"{c}_{side} double" for side in "ab" for c in _SIDES]
+    parts = numbers.mapInArrow(_pair_moments(len(names)), ", ".join(["a int, b int, n double, co double", *fields]))
+    parts = parts.where(F.col("n") > 0)
+    pair = Window.partitionBy("a", "b")
+    for side in "ab":
+        mean = F.sum(F.col("n") * F.col(f"mean_{side}")).over(pair) / F.sum("n").over(pair)
+        parts = parts.withColumn(f"off_{side}", F.col(f"mean_{side}") - mean)
+
+    def spread(side: str):
+        total = F.sum(F.col(f"sq_{side}") + F.col("n") * F.col(f"off_{side}") * F.col(f"off_{side}"))
+        return F.when(F.min(f"low_{side}") < F.max(f"high_{side}"), F.sqrt(total))
+
+    together = F.sum(F.col("co") + F.col("n") * F.col("off_a") * F.col("off_b"))
+    found = parts.groupBy("a", "b").agg(
+        F.try_divide(together, spread("a") * spread("b")).alias("r")
     )
     label = F.array(*[F.lit(c) for c in names])
-    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    return (
-        sums.select("a", "b", half_up(r, 6).alias("correlation"))
-        .select(F.explode(F.array_distinct(both)).alias("p"), "correlation")
-        .select(
-            label[F.col("p.a")].alias("column_a"),
-            label[F.col("p.b")].alias("column_b"),
-            "correlation",
-        )
+    every = df.sparkSession.range(len(names) * len(names)).select(
+        (F.col("id") / len(names)).cast("int").alias("i"), (F.col("id") % len(names)).cast("int").alias("j")
+    )
+    # Every pair is there, also when no row has both; the table has a row per pair.
+    return every.join(
+        F.broadcast(found), (F.least("i", "j") == F.col("a")) & (F.greatest("i", "j") == F.col("b")), "left"
+    ).select(
+        label[F.col("i")].alias("column_a"),
+        label[F.col("j")].alias("column_b"),
+        half_up(F.col("r"), 6).alias("correlation"),
     )
 
 

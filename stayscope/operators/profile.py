@@ -38,10 +38,6 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(row_count().alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def columns(df: DataFrame) -> DataFrame:
-    return literal_table(df.sparkSession, df.dtypes, "column_name string, dtype string")
-
-
 def missing(df: DataFrame) -> DataFrame:
     """Columns with missing values, the worst first."""
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +49,16 @@ def _register(table: str, functions: dict[str, Callable[[DataFrame], DataFrame]]
 
 @query("load_listings")
 def _(w: Workspace) -> DataFrame:
-    path = writers.save_table(w.raw, new_path(w.spark, "raw-csv"), "csv")
-    return readers.load_listings(w.spark, path)
+    """A file with whole, fractional and unreadable prices."""
+    price = F.col("price").cast("string")
+    odd = w.raw.withColumn(
+        "price",
+        F.when(F.col("id") % 10 == 0, (F.col("price") + 0.25).cast("string"))
+        .when(F.col("id") % 10 == 1, F.concat(F.lit("$"), price))
+        .otherwise(price),
+    )
+    path = writers.save_table(odd, new_path(w.spark, "raw-csv"), "csv")
+    return readers.load_listings(w.spark, path).withColumn("n_unread", F.size("_unread")).drop("_unread")
 
 
 @query("load_featured")
@@ -75,14 +84,19 @@ def _(w: Workspace) -> DataFrame:
     return readers.load_featured(w.spark, path).select(*w.featured.columns)
 
 
-@query("write_jdbc")
+@query("write_modes")
 def _(w: Workspace) -> DataFrame:
-    """The three write modes, on a file sink: replace, then append, keeps two copies."""
+    """The write modes, on a file sink: replace, then append, keeps two copies; fail adds none."""
     path = new_path(w.spark, "modes")
     areas = w.medians[0]
     writers.save_table(areas, path)
     writers.save_table(areas, path, if_exists="replace")
     writers.save_table(areas, path, if_exists="append")
+    try:
+        writers.save_table(areas, path, if_exists="fail")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
     return w.spark.read.parquet(path)
 
 
@@ -130,10 +144,9 @@ _register(
     {
         "schema_report": pf.schema_report,
         "profile_shape": pf.shape,
-        "profile_columns": pf.columns,
         "profile_missing": pf.missing,
         "profile_numeric": lambda df: pf.numeric_summary(df).withColumns(
-            {c: half_up(F.col(c), 4, precision=38) for c in ("mean", "std")}
+            {c: half_up(F.col(c), 4) for c in ("mean", "std")}
         ),
         "profile_categorical": pf.categorical_summary,
         "profile_price": pf.price_profile,
@@ -144,10 +157,8 @@ _register(
 
 @query("profile_duplicates")
 def _(w: Workspace) -> DataFrame:
-    """Listings without their ids, so that some repeat."""
-    return pf.duplicates(
-        w.raw.select("neighbourhood_group", "neighbourhood", "room_type", "minimum_nights", "last_review")
-    )
+    """Listings of which every seventh id is there twice."""
+    return pf.duplicates(w.raw.union(w.raw.where(F.col("id") % 7 == 0)))
 
 
 _register("cleaned", {"validate_cleaned": pf.validate_cleaned})
@@ -253,7 +264,7 @@ _register(
         "filtered_histogram": lambda df: db.filtered_histogram(df, **FILTERS),
         "filtered_room_mix": lambda df: db.filtered_room_mix(df, **FILTERS),
         "filtered_borough_avg": lambda df: db.filtered_borough_avg(df, **FILTERS),
-        "filtered_top15": lambda df: db.filtered_top15(df, min_listings=10, **FILTERS),
+        "filtered_top15": lambda df: db.filtered_top15(df, **FILTERS),
         "filtered_borough_room": lambda df: db.filtered_borough_room(df, **FILTERS),
         "areas_of_borough": lambda df: db.areas_of_borough(df, "Asia"),
         "compare_areas": lambda df: db.compare_areas(df, AREA_A, AREA_B),

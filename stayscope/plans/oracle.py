@@ -19,7 +19,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def rnd(x: str, digits: int) -> str:
-    return f"cast(round(cast({x} as decimal(18,6)), {digits}) as double)"
+    return f"cast(round(cast(cast(cast({x} as double) as varchar) as decimal(38,15)), {digits}) as double)"
 
 
 def pct(part: str, whole: str, digits: int = 1) -> str:
@@ -174,12 +174,20 @@ def hist(src: str, column: str, bins: int, where: str = "true", extra: str = "")
 
 # ---- Sources and sinks ----
 
-add("load_listings", RAW, f"select {names(RAW_SCHEMA.names)} from raw")
+add(
+    "load_listings",
+    RAW,
+    """select id, name, host_id, host_name, neighbourhood_group, neighbourhood, room_type,
+  case when id % 10 = 1 or price is null then null when id % 10 = 0 then price + 0.25 else price end::double as price,
+  minimum_nights::double as minimum_nights, number_of_reviews, last_review, reviews_per_month,
+  calculated_host_listings_count, availability_365,
+  case when id % 10 = 1 and price is not null then 1 else 0 end as n_unread from raw""",
+)
 for key in ("load_featured", "load_cached", "save_table", "engineer_features"):
     add(key, FEAT, f"select {names(FEATURED_SCHEMA.names)} from feat")
 add("select_ml_columns", ML, f"select {names(NEEDED)} from mlrows")
 add(
-    "write_jdbc",
+    "write_modes",
     CLEAN,
     """select a.* from (select neighbourhood, count(*) as n,
   quantile_cont(price, 0.5) as neighbourhood_median_price from cleaned group by neighbourhood) a, range(2)""",
@@ -204,21 +212,18 @@ add(
     f"n_rows, {len(SPARK_TYPES)} as n_columns from ({MISSING})",
 )
 add("profile_shape", RAW, f"select count(*) as n_rows, {len(SPARK_TYPES)} as n_columns from raw")
-ORACLE_SQL["profile_columns"] = " union all ".join(
-    f"select '{c}' as column_name, '{t}' as dtype" for c, t in SPARK_TYPES.items()
-)
 add(
     "profile_missing",
     RAW,
     f"select column_name, missing_count, {pct('missing_count', 'n_rows', 2)} as missing_pct "
     f"from ({MISSING}) where missing_count > 0",
 )
-PARTIAL = "neighbourhood_group, neighbourhood, room_type, minimum_nights, last_review"
 add(
     "profile_duplicates",
     RAW,
     f"select cast(sum(n - 1) as bigint) as duplicate_rows from "
-    f"(select count(*) as n from raw group by {PARTIAL})",
+    f"(select count(*) as n from (select * from raw union all select * from raw where id % 7 = 0) "
+    f"group by {names(RAW_SCHEMA.names)})",
 )
 NUMBERS = [c for c, t in SPARK_TYPES.items() if t != "string"]
 add(
@@ -605,7 +610,7 @@ union all select 'price_max', cast(cast(floor(max(price)) as int) as varchar) fr
 add("filtered_histogram", FILTERED, f"select * from {hist('chosen', 'price', 60)}")
 add("filtered_room_mix", FILTERED, "select room_type, count(*) as n from chosen group by 1")
 add("filtered_borough_avg", FILTERED, borough_avg("chosen"))
-add("filtered_top15", FILTERED, top15("chosen", 10))
+add("filtered_top15", FILTERED, top15("chosen", 30))
 add(
     "filtered_borough_room",
     FILTERED,

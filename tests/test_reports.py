@@ -1,8 +1,11 @@
+from decimal import ROUND_HALF_UP, Context, Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from stayscope.functions.numeric import half_up
 from stayscope.operators import dashboard as db
 from stayscope.operators import eda
 from stayscope.operators import market as mk
@@ -135,3 +138,33 @@ def test_filters_reach_the_scan(spark, workspace):
 def test_reports_read_only_their_columns(workspace):
     plan = mk.borough_summary(workspace.featured)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<neighbourhood_group:string,price:double>" in plan
+
+
+def test_correlation_of_a_table_with_odd_beginnings(spark):
+    """The first rows hold nulls or one value, and the numbers have a large offset."""
+    rng = np.random.default_rng(1)
+    n = 20_000
+    a = 1e9 + rng.integers(0, 7, n).astype(float)
+    b = a + rng.normal(size=n)
+    c = np.where(np.arange(n) < 1_000, 5.0, rng.normal(size=n))
+    a[:1_000] = np.nan
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c, "d": np.full(n, 3.3)})
+    for parts in (1, 5):
+        got = eda.correlation_matrix(spark.createDataFrame(pdf).repartition(parts), list("abcd")).collect()
+        want = pdf.corr()
+        for r in got:
+            x, y = r["column_a"], r["column_b"]
+            if "d" in (x, y):
+                assert r["correlation"] is None
+            else:
+                assert abs(r["correlation"] - want.loc[x, y]) < 2e-6
+
+
+def test_one_rounding_like_decimal(spark):
+    values = [149.9949996, 0.0049999996, 0.285, 2.675, -1.005, 1e-9, 2e12, 2.5e12 + 0.125, 1e21, -0.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", half_up(F.col("v"), 2).alias("r")).collect()
+    for r in got:
+        want = Decimal(repr(r["v"])).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP, context=Context(prec=60))
+        assert r["r"] == float(want)
+    odd = spark.createDataFrame([(1e30,), (float("inf"),), (None,)], "v double").select(half_up(F.col("v"), 2).alias("r"))
+    assert [r["r"] for r in odd.collect()] == [1e30, float("inf"), None]
