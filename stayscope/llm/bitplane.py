@@ -12,6 +12,7 @@ length.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -23,9 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tokenizers import Regex, Tokenizer, normalizers
+
 from stayscope.sources.staging import new_path, stage
 
 from .files import reading, writing
+from .splitting import ChunkedEncoder, Recent, every_character, written_out
 
 MAGIC = b"IDPLANE1"
 
@@ -235,27 +239,40 @@ def _documents(keys, sizes, starts, at: int, ids: list[bytes]) -> pa.RecordBatch
 _encoders: dict[str, object] = {}
 
 
-def tokenizer_encoder(definition: str, cached: int = 150_000):
-    """Encoder of a byte-level definition (JSON) of the tokenizers library, for ``write_ids``.
+def _class_members(name: str) -> str:
+    """Characters of a regex class in the tokenizers library's edition of Unicode."""
+    others = name.swapcase() if len(name) == 2 else name.replace(r"\p", r"\P")
+    return normalizers.Replace(Regex(f"{others}+"), "").normalize_str(every_character())
 
-    The library encodes; ids of frequent words are remembered. Strings of special tokens in a text
-    are ordinary text, and no special tokens are added.
-    """
 
-    def build():
-        from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level definitions write for each byte: printable ones as they are,
+    the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
-        from .splitting import ChunkedEncoder
+def tokenizer_encoder(definition: str, pattern: str, cached: int = 200_000):
+    """Encoder of a byte-level BPE definition (JSON) of the tokenizers library, for ``write_ids``.
 
+    ``pattern`` is the one by which the definition's pre-tokenizer splits. The library's model
+    encodes the pieces; ids of frequent words and pieces are remembered. Strings of special tokens in
+    a text are ordinary text, and no special tokens are added.
+    """
+    parts = written_out(pattern, _class_members)
+
+    def build():
         if definition not in _encoders:
-            tokenizer = Tokenizer.from_str(definition)
-            tokenizer.encode_special_tokens = True
+            model, split, letters = Tokenizer.from_str(definition).model, re.compile(parts).findall, _byte_letters()
 
-            def ids(text: str) -> bytes:
-                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            def piece(text: str) -> bytes:
+                found = model.tokenize(text.encode().decode("latin-1").translate(letters))
+                return np.array([t.id for t in found], "<u4").tobytes()
 
+            ids = Recent(piece, cached).__getitem__
             _encoders.clear()
-            _encoders[definition] = ChunkedEncoder(ids, cached).encode
+            _encoders[definition] = ChunkedEncoder(lambda text: b"".join(map(ids, split(text))), cached).encode
         encode = _encoders[definition]
         return lambda texts: [encode(text) for text in texts]
 

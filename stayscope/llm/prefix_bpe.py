@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .splitting import ChunkedEncoder, every_character, written_out
+from .splitting import ChunkedEncoder, Recent, every_character, written_out
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -50,6 +50,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=0)
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
+        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         if len([t for t in ranks if len(t) == 1]) < 256:
             raise ValueError("the vocabulary lacks single bytes")
 
@@ -95,6 +97,15 @@ class Vocabulary:
 
     def may_follow(self, left: bytes, right: bytes) -> bool:
         """Whether merging ``left + right`` ends in these two tokens: no merge across comes first."""
+        pair = left, right
+        known = self._pairs.get(pair)
+        if known is None:
+            if len(self._pairs) >= 200_000:
+                self._pairs.clear()
+            known = self._pairs[pair] = self._stand_apart(left, right)
+        return known
+
+    def _stand_apart(self, left: bytes, right: bytes) -> bool:
         rank_of = self.ranks.get
         for a, a_since, a_until in self._edge(left, True):
             for b, b_since, b_until in self._edge(right, False):
@@ -104,6 +115,36 @@ class Vocabulary:
                     return False
         return True
 
+    def last_token(self, data: bytes, end: int, last_of) -> bytes:
+        """Last token of ``data[:end]``; ``last_of(start)`` tells that of a shorter prefix."""
+        made = self.made
+        for start in range(max(0, end - self.longest), end):
+            token = data[start:end]
+            if token in made and (start == 0 or self.may_follow(last_of(start), token)):
+                return token
+        raise ValueError("no token ends here")
+
+    def encode(self, data: bytes) -> bytes:
+        """Ids of one piece, 32 bits each, from the table of prefixes that all pieces share."""
+        known, packed = self.known, self.packed
+        if data in packed:
+            return packed[data]
+        if len(data) > _SHARED:
+            return b"".join(packed[t] for t in PrefixEncoding(self, data).last_tokens())
+        if len(known) > self.max_known:
+            known.clear()
+        end = len(data)
+        while end and data[:end] not in known:
+            end -= 1
+        for stop in range(end + 1, len(data) + 1):
+            known[data[:stop]] = self.last_token(data, stop, lambda start: known[data[:start]])
+        out, end = [], len(data)
+        while end:
+            token = known[data[:end]]
+            out.append(packed[token])
+            end -= len(token)
+        return b"".join(reversed(out))
+
 
 class PrefixEncoding:
     """Last token of every prefix of some bytes."""
@@ -114,29 +155,11 @@ class PrefixEncoding:
         self.last: list[bytes] = [b""]
         self.append(data)
 
-    def _last_at(self, data: bytes, end: int) -> bytes:
-        words = self.vocabulary
-        made, last = words.made, self.last
-        for start in range(max(0, end - words.longest), end):
-            token = data[start:end]
-            if token in made and (start == 0 or words.may_follow(last[start], token)):
-                return token
-        raise ValueError("no token ends here")
-
     def append(self, more: bytes) -> None:
         """Add bytes; what is filled stays, as prefixes don't depend on what follows."""
-        self.data = data = self.data + more
-        known, last = self.vocabulary.known, self.last
-        for end in range(len(last), len(data) + 1):
-            if end > _SHARED:
-                last.append(self._last_at(data, end))
-                continue
-            token = known.get(data[:end])
-            if token is None:
-                token = known[data[:end]] = self._last_at(data, end)
-            last.append(token)
-        if len(known) > self.vocabulary.max_known:
-            known.clear()
+        self.data += more
+        for end in range(len(self.last), len(self.data) + 1):
+            self.last.append(self.vocabulary.last_token(self.data, end, self.last.__getitem__))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of [start, stop); returns how many places were filled anew.
@@ -148,7 +171,7 @@ class PrefixEncoding:
         self.last = old[: start + 1]
         same, filled = 0, 0
         for end in range(start + 1, len(self.data) + 1):
-            token = self._last_at(self.data, end)
+            token = self.vocabulary.last_token(self.data, end, self.last.__getitem__)
             self.last.append(token)
             filled += 1
             same = same + 1 if end - shift > stop and old[end - shift] == token else 0
@@ -163,9 +186,13 @@ class PrefixEncoding:
         whole = self.vocabulary.ranks.get(self.data[:end])
         if whole is not None:
             return [whole]
-        out = []
+        return [self.vocabulary.ranks[t] for t in self.last_tokens(end)]
+
+    def last_tokens(self, end: int | None = None) -> list[bytes]:
+        """The tokens of a prefix, read backwards from its end."""
+        end, out = len(self.data) if end is None else end, []
         while end:
-            out.append(self.vocabulary.ranks[self.last[end]])
+            out.append(self.last[end])
             end -= len(self.last[end])
         return out[::-1]
 
@@ -234,19 +261,15 @@ class TextEncoding:
 class Codec:
     """Encoder and decoder of texts for one vocabulary and (written-out) pattern."""
 
-    def __init__(self, rank_file: bytes, pattern: str, cached: int = 250_000):
+    def __init__(self, rank_file: bytes, pattern: str, cached: int = 300_000):
         self.vocabulary = Vocabulary(read_ranks(rank_file))
         self._split = re.compile(pattern).findall
         self.encode = ChunkedEncoder(self._pieces, cached).encode
+        self._piece = Recent(lambda piece: self.vocabulary.encode(piece.encode()), cached).__getitem__
         self._bytes = self.vocabulary.bytes_of.__getitem__
 
     def _pieces(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self._split(text):
-            data = piece.encode()
-            whole = self.vocabulary.ranks.get(data)
-            ids += [whole] if whole is not None else PrefixEncoding(self.vocabulary, data).tokens()
-        return np.array(ids, "<u4").tobytes()
+        return b"".join([self._piece(piece) for piece in self._split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that little-endian 32-bit ids stand for."""

@@ -186,7 +186,7 @@ select page_id, payload_bytes, payload_digest,
 def op9_bitplane_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        encoder = bitplane.tokenizer_encoder(f.read())
+        encoder = bitplane.tokenizer_encoder(f.read(), public_tokenizers.PATTERN)
     files = bitplane.write_ids(docs, encoder, end_id=2)
     documents = bitplane.read_ids(files, docs.schema["doc_id"])
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

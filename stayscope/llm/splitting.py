@@ -47,7 +47,7 @@ def written_out(pattern: str, class_members: Callable[[str], str]) -> str:
     return "".join(out)
 
 
-class _Recent(dict):
+class Recent(dict):
     """A cache of bounded size: when it is full it becomes the older generation of a new one."""
 
     def __init__(self, make: Callable[[str], bytes], size: int, longest: int = 64):
@@ -81,7 +81,7 @@ class ChunkedEncoder:
     def __init__(self, encode: Callable[[str], bytes], size: int = 150_000):
         self._encode = encode
         self._cut = re.compile(r"(?<!\s) (?!\s)")
-        self._after_space = _Recent(self._chunk, size).__getitem__
+        self._after_space = Recent(self._chunk, size).__getitem__
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
