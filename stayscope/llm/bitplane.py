@@ -253,7 +253,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def tokenizer_encoder(definition: str, pattern: str, cached: int = 200_000):
+def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
     """Encoder of a byte-level BPE definition (JSON) of the tokenizers library, for ``write_ids``.
 
     ``pattern`` is the one by which the definition's pre-tokenizer splits. The library's model
@@ -268,9 +268,9 @@ def tokenizer_encoder(definition: str, pattern: str, cached: int = 200_000):
 
             def piece(text: str) -> bytes:
                 found = model.tokenize(text.encode().decode("latin-1").translate(letters))
-                return np.array([t.id for t in found], "<u4").tobytes()
+                return b"".join([t.id.to_bytes(4, "little") for t in found])
 
-            ids = Recent(piece, cached).__getitem__
+            ids = Recent(piece, cached * 3 // 4).__getitem__
             _encoders.clear()
             _encoders[definition] = ChunkedEncoder(lambda text: b"".join(map(ids, split(text))), cached).encode
         encode = _encoders[definition]
