@@ -41,7 +41,7 @@ def stage(df: DataFrame, label: str = "step") -> DataFrame:
 
 def _staged(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
