@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayscope.sources.staging import stage
+from stayscope.sources.staging import Scratch, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,27 +27,28 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .where(F.col("u") != F.col("v"))
         .distinct()
     )
-    edges = stage(edges, "links")
-    before = _state(edges)
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        lowest = both.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
-        large = (
-            both.join(lowest, F.col("u") == F.col("of"))
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
-        )
-        large = stage(large, "large-star")
-        lowest = large.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
-        joined = large.join(lowest, F.col("u") == F.col("of"))
-        small = joined.select("u", F.col("m").alias("v")).union(
-            joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        edges = stage(small.distinct(), "small-star")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    with Scratch(links.sparkSession) as scratch:
+        edges = scratch.stage(edges, "links")
+        before = _state(edges)
+        while True:
+            edges = scratch.stage(_small_star(scratch.stage(_large_star(edges), "large")), "small")
+            now = _state(edges)
+            if now == before:
+                break
+            before = now
+        roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return stage(roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.union(edges.select("v", "u"))
+    lowest = both.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
+    moved = both.join(lowest, F.col("u") == F.col("of")).where(F.col("v") > F.col("u"))
+    return moved.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    lowest = edges.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
+    joined = edges.join(lowest, F.col("u") == F.col("of"))
+    others = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return joined.select("u", F.col("m").alias("v")).union(others).distinct()

@@ -1,12 +1,13 @@
 """N-gram Jaccard join: exact links between texts whose shingle sets are alike.
 
 Equal sets are one class, so copies are never paired. Sets are ordered by one global order, frequent
-shingles last. Two linked sets share a shingle within their first ones (prefixes), so classes meet in
-index lists of prefix shingles:
+shingles last. Two linked sets share some shingles within their first ones (prefixes), so classes
+meet in index lists of prefix shingles:
 
-* Lists up to a bound give pairs, filtered by size and position; each pair is then counted exactly.
-* Longer lists are cut into blocks by size, position and a hash. Pairs of blocks that sizes or
-  positions rule out are skipped. A remaining pair of blocks brings its whole sets into one task of
+* Lists up to a bound give pairs. Those that share enough of these lists are counted exactly.
+* Longer lists that begin with the same class are read as one, as those of a group of near copies
+  hold nearly the same sets. They are cut into blocks by size, position and a hash. Pairs of blocks
+  that sizes or positions rule out are skipped. A remaining pair of blocks brings its whole sets into one task of
   bounded size. There the overlaps of a set with all sets of the block are derived from those of
   the set before it, by the shingles in which the two differ, and only links that join something
   new leave the task. So a group of near copies never becomes all its pairs.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stayscope.sources.staging import stage
+from stayscope.sources.staging import Scratch, stage
 
 from .components import components
 
@@ -70,18 +71,28 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *sets]))
 
 
-def frequent_shingles(texts: DataFrame, k: int, most: int = 262_144, held: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the most frequent shingles, at most ``most`` of them.
+def _range_end(share: float) -> int:
+    """Hashes below it are about that share of all hashes."""
+    return int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
 
-    Counted over all texts in pieces of ``held`` shingles per task; what is rarer than three times
-    in its piece is no candidate. The result only orders shingles, so it needn't be exact.
+
+def frequent_shingles(
+    scratch: Scratch, texts: DataFrame, k: int, share: float, most: int = 2_000_000, held: int = 2_000_000
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that are in more than one text, at most ``most``.
+
+    All texts are counted. In the lower ``share`` of the hash range every shingle is; beyond it just
+    those found more than twice among ``held`` shingles of a task. If more than ``most`` shingles
+    repeat, the less frequent ones count as single. The result only orders shingles, so none of this
+    changes any link.
     """
+    end = _range_end(share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts > 2
-            return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["shingle", "n"])
+            told = (values < end) | (counts > 2)
+            return pa.RecordBatch.from_arrays([pa.array(values[told]), pa.array(counts[told])], ["shingle", "n"])
 
         sets, size = [], 0
         for batch in batches:
@@ -94,9 +105,8 @@ def frequent_shingles(texts: DataFrame, k: int, most: int = 262_144, held: int =
         if size:
             yield counted()
 
-    counts = stage(
-        texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "counts"
-    )
+    counted = texts.select("text").mapInArrow(count, "shingle long, n long")
+    counts = scratch.stage(counted.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
     # By powers of two: the lowest bound that leaves no more than ``most``.
     levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("n")).collect()
     total, bound = 0, 64
@@ -105,24 +115,39 @@ def frequent_shingles(texts: DataFrame, k: int, most: int = 262_144, held: int =
             break
         total, bound = total + n, level
     table = counts.where(F.floor(F.log2("n")) >= bound).toArrow()
-    values, n = np.asarray(table["shingle"], np.int64), np.asarray(table["n"], np.int64)
+    values, n = np.asarray(table["shingle"], np.int64), np.asarray(table["n"], np.int32)
     order = np.argsort(values)
     return values[order], n[order]
 
 
+def _in_order(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], end: int) -> np.ndarray:
+    """Shingles by frequency, then hash: single ones of the counted range first, unknown ones as if
+    they were in three texts."""
+    values, counts = frequent
+    weight = np.where(own < end, 1, 3)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        weight = np.where(values[at] == own, counts[at], weight)
+    return own[np.lexsort((own, weight))]
+
+
 class Threshold:
-    """Jaccard of at least ``percent`` / 100, in whole numbers."""
+    """Jaccard of at least ``percent`` / 100, in whole numbers.
+
+    Prefixes are so long that linked sets share ``shared`` shingles there, or all of their common
+    ones if these are fewer.
+    """
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, shared: int = 3):
         if not 0 < percent <= 100:
             raise ValueError("percent must be in 1 to 100")
-        self.percent = percent
+        self.percent, self.shared = percent, shared
 
     def prefix(self, n: int) -> int:
         """Length of the prefix of a set; 0 if only an equal set can be linked with it."""
         if 100 * n < self.percent * (n + 1):
             return 0
-        return n - -(-self.percent * n // 100) + 1
+        return min(n, n - -(-self.percent * n // 100) + self.shared)
 
     def links(self, inter, n_a, n_b):
         return 100 * inter >= self.percent * (n_a + n_b - inter)
@@ -132,12 +157,12 @@ class Threshold:
         return F.ceil(F.lit(self.percent) * (n_a + n_b) / F.lit(100 + self.percent) - F.lit(1e-9))
 
 
-def _describe(texts: DataFrame, k: int, threshold: Threshold, frequent) -> DataFrame:
+def _describe(texts: DataFrame, k: int, threshold: Threshold, frequent, share: float) -> DataFrame:
     """Rows with n_shingles, signature of the set, and its prefix in the global order."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    shared, end = texts.sparkSession.sparkContext.broadcast(frequent), _range_end(share)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = shared.value
+        frequent = shared.value
         for batch in batches:
             sizes, signatures, prefixes = [], [], []
             for text in _texts(batch):
@@ -145,10 +170,7 @@ def _describe(texts: DataFrame, k: int, threshold: Threshold, frequent) -> DataF
                 sizes.append(len(own))
                 signatures.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 length = threshold.prefix(len(own)) if len(own) else 0
-                if length and len(values):
-                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    own = own[np.lexsort((own, np.where(values[at] == own, counts[at], 0)))]
-                prefixes.append(own[:length])
+                prefixes.append(_in_order(own, frequent, end)[:length] if length else own[:0])
             columns = [
                 batch.column("id"),
                 batch.column("body"),
@@ -232,18 +254,28 @@ def _block_links(threshold: Threshold):
     return link
 
 
-def _blocks(entries: DataFrame, threshold: Threshold, block_sets: int, block_shingles: int) -> DataFrame:
-    """unit (a pair of blocks of one list), side and class of every entry of the long lists."""
+def _blocks(
+    scratch: Scratch, entries: DataFrame, threshold: Threshold, block_sets: int, block_shingles: int
+) -> DataFrame:
+    """Pairs of blocks (token, block1, block2), with side and class of every set in them."""
     # Linked sets are in the same or neighbouring size classes.
     ratio = math.log(100 / threshold.percent) * 1.0001 if threshold.percent < 100 else 1e9
-    placed = entries.select(
+    heads = entries.groupBy("token").agg(F.min("class").alias("head"))
+    members = (
+        entries.join(heads, "token")
+        .groupBy(F.col("head").alias("token"), "class", "n")
+        .agg(F.min("pos").alias("pos"), F.max("entries").alias("entries"))
+    )
+    placed = members.select(
         "token",
         "class",
         "n",
         (F.col("n") - F.col("pos")).alias("rest"),
         F.floor(F.log("n") / ratio).alias("size"),
+        # Positions in steps of a quarter of the usual prefix.
         F.when(
-            F.col("entries") > block_sets, F.floor(4 * F.col("pos") / F.col("length"))
+            F.col("entries") > block_sets,
+            F.floor(400 * F.col("pos") / ((100 - threshold.percent) * F.col("n") + 100)),
         )
         .otherwise(0)
         .alias("depth"),
@@ -253,7 +285,7 @@ def _blocks(entries: DataFrame, threshold: Threshold, block_sets: int, block_shi
         F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).alias("pieces")
     )
     cut = placed.join(pieces, where).withColumn("piece", F.pmod(F.xxhash64("class"), F.col("pieces")))
-    cut = stage(cut.withColumn("block", F.xxhash64(*where, "piece")), "blocks")
+    cut = scratch.stage(cut.withColumn("block", F.xxhash64(*where, "piece")), "blocks")
     known = cut.groupBy("token", "block", "size").agg(F.min("n").alias("least"), F.max("rest").alias("rest"))
     one, two = (known.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("block", "size", "least", "rest")]) for i in (1, 2))
     pairs = one.join(two, "token").where(
@@ -277,7 +309,7 @@ def link_texts(
     text: str = "text",
     k: int = 5,
     percent: int = 80,
-    list_entries: int = 32,
+    list_entries: int = 12,
     block_sets: int = 2048,
     block_shingles: int = 1_500_000,
 ) -> DataFrame:
@@ -289,11 +321,24 @@ def link_texts(
     rows are linked as equal sets. Other columns are not read. ``list_entries``, ``block_sets`` and
     ``block_shingles`` bound the work of one task; they leave no pair out.
     """
-    threshold = Threshold(percent)
+    with Scratch(docs.sparkSession) as scratch:
+        return _link_texts(scratch, docs, key, text, k, Threshold(percent), list_entries, block_sets, block_shingles)
+
+
+#: Up to so many wanted rows (of about 60 bytes) are sent to every executor.
+_BROADCAST_ROWS = 150_000
+#: The same for list sizes (16 bytes each).
+_BROADCAST_TOKENS = 500_000
+
+
+def _link_texts(scratch, docs, key, text, k, threshold, list_entries, block_sets, block_shingles) -> DataFrame:
     texts = docs.select(
         F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     ).withColumn("body", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    described = stage(_describe(texts, k, threshold, frequent_shingles(texts, k)), "sets")
+    # A prefix takes 1 - threshold of a set; twice that share has enough single shingles to choose from.
+    share = min(1.0, 2 * (1 - threshold.percent / 100) + 0.05)
+    frequent = frequent_shingles(scratch, texts, k, share)
+    described = scratch.stage(_describe(texts, k, threshold, frequent, share), "sets")
     classes = (
         described.where("n > 0")
         .groupBy("signature")
@@ -305,30 +350,40 @@ def link_texts(
         )
         .withColumn("class", F.monotonically_increasing_id())
     )
-    classes = stage(classes, "classes")
+    classes = scratch.stage(classes, "classes")
 
-    postings = classes.where(F.size("prefix") > 0).select("class", "n", F.size("prefix").alias("length"), F.posexplode("prefix").alias("pos", "token"))
+    postings = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1")
-    entries = stage(postings.join(lists, "token"), "lists")
+    lists = scratch.stage(lists, "list-sizes")
+    few = lists.count() <= _BROADCAST_TOKENS
+    entries = scratch.stage(postings.join(F.broadcast(lists) if few else lists, "token"), "lists")
 
     short = entries.where(F.col("entries") <= list_entries)
     one, two = (short.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("class", "n", "pos")]) for i in (1, 2))
     needed = threshold.needed(F.col("n1"), F.col("n2"))
     pairs = (
         one.join(two, "token")
-        .where((F.col("class1") < F.col("class2")) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= needed))
-        .where(F.least("n1", "n2") >= needed)
-        .select(F.col("class1").alias("a"), F.col("class2").alias("b"), "n1", "n2")
-        .distinct()
+        .where((F.col("class1") < F.col("class2")) & (F.least("n1", "n2") >= needed))
+        .groupBy(F.col("class1").alias("a"), F.col("class2").alias("b"), "n1", "n2")
+        .agg(F.count("*").alias("shared"))
+        # A linked pair with fewer short lists in common has a long one in common.
+        .where(F.col("shared") >= F.least(F.lit(threshold.shared), needed))
     )
-    pairs = stage(pairs, "pairs")
-    units = stage(_blocks(entries.where(F.col("entries") > list_entries), threshold, block_sets, block_shingles), "units")
+    pairs = scratch.stage(pairs, "pairs")
+    long = entries.where(F.col("entries") > list_entries)
+    units = scratch.stage(_blocks(scratch, long, threshold, block_sets, block_shingles), "units")
 
     asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(units.select("class")).distinct()
     examples = asked.join(classes.select("class", "example.id", "example.body"), "class")
-    wanted = examples.select("class", F.col("id").alias("of_id"), F.col("body").alias("of_body"))
-    rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("body") == F.col("of_body")))
-    sets = stage(_whole_sets(rows, k).dropDuplicates(["class"]), "whole-sets")
+    wanted = scratch.stage(examples.select("class", F.col("id").alias("of_id"), F.col("body").alias("of_body")), "wanted")
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("body") == F.col("of_body"))
+    few = wanted.count() <= _BROADCAST_ROWS
+    rows = texts.join(F.broadcast(wanted) if few else wanted, same)
+    sets = _whole_sets(rows, k)
+    repeated = described.join(wanted, same).groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        sets = sets.dropDuplicates(["class"])
+    sets = scratch.stage(sets, "whole-sets")
 
     counted = (
         pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a")
@@ -337,11 +392,13 @@ def link_texts(
         .where(threshold.links(F.col("inter"), F.col("n1"), F.col("n2")))
         .select("a", "b")
     )
+    counted = scratch.stage(counted, "pair-links")
     in_blocks = (
         units.join(sets, "class")
         .groupBy("token", "block1", "block2")
         .applyInArrow(_block_links(threshold), "a long, b long")
     )
+    in_blocks = scratch.stage(in_blocks.distinct(), "block-links")
     roots = components(counted.union(in_blocks))
     of_class = classes.select("class", "first_id").join(roots, F.col("class") == F.col("node"))
     smallest = of_class.groupBy("root").agg(F.min("first_id").alias("smallest"))
@@ -350,9 +407,10 @@ def link_texts(
         F.col("signature").alias("of"), F.coalesce("smallest", "first_id").alias("named")
     )
     done = described.join(named, F.col("signature") == F.col("of"), "left")
-    return done.select(
+    result = done.select(
         F.col("id").alias(key), "body", F.col("n").alias("n_shingles"), F.coalesce("named", "id").alias("component")
     )
+    return stage(result, "groups")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -361,7 +419,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     Rows without words all stay. Of repeated rows (same key and text) one stays. Null keys come
     last, unless a group has no others.
     """
-    groups = stage(link_texts(docs, key, text, **options), "groups")
+    groups = link_texts(docs, key, text, **options)
     worded = groups.where("n_shingles > 0").select(F.col(key).alias("id"), "body", "component")
     rank = F.struct(F.col("id").isNull().alias("no_key"), "id", "body")
     best = worded.groupBy(F.col("component").alias("of")).agg(F.min(rank).alias("best"))

@@ -79,6 +79,7 @@ def test_against_brute_force(texts, odd, k, percent, limits):
 
 def test_both_ways_of_fetching_texts(texts, odd, monkeypatch):
     monkeypatch.setattr(j, "_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(j, "_BROADCAST_TOKENS", 0)
     rows = odd + corpus(groups=4)
     got = j.link_texts(texts(rows), k=3, percent=80).collect()
     assert ordered((r["doc_id"], r["n_shingles"], r["component"]) for r in got) == ordered(brute(rows, 3, 80))
