@@ -291,7 +291,9 @@ def _blocks(
     pairs = one.join(two, "token").where(
         (F.col("block1") <= F.col("block2"))
         & (F.abs(F.col("size1") - F.col("size2")) <= 1)
-        & (F.least("rest1", "rest2") >= threshold.needed(F.col("least1"), F.col("least2")))
+        # Before the first long list in common, a pair that is not counted by its short lists has
+        # fewer than ``shared`` shingles in common.
+        & (F.least("rest1", "rest2") + (threshold.shared - 1) >= threshold.needed(F.col("least1"), F.col("least2")))
     )
     pairs = pairs.select("token", "block1", "block2")
     sides = [

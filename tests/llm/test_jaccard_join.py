@@ -136,3 +136,14 @@ def test_components(spark):
     want = roots(300, pairs)
     assert got == {x: want[x] for p in pairs for x in p}
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+@pytest.mark.parametrize("k, percent, fixed", [(3, 90, 20), (5, 80, 19)])
+def test_links_that_also_need_short_lists(texts, k, percent, fixed):
+    """Texts of one template, x different in all, y equal in two: only those two are linked."""
+    middle = " ".join(f"f{i}" for i in range(fixed))
+    rows = [(i, f"x{i} {middle} y{i // 2}") for i in range(20)]
+    want = brute(rows, k, percent)
+    assert {component for *_, component in want} == set(range(0, 20, 2))
+    got = j.link_texts(texts(rows), k=k, percent=percent).collect()
+    assert ordered((r["doc_id"], r["n_shingles"], r["component"]) for r in got) == ordered(want)
