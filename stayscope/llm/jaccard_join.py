@@ -315,9 +315,10 @@ def link_texts(
     block_sets: int = 2048,
     block_shingles: int = 1_500_000,
 ) -> DataFrame:
-    """Per row: key, body (MD5 of the text), n_shingles, component.
+    """Per row: key, body (MD5 of the text), n_shingles, component, group.
 
-    ``component`` is the smallest key reachable over links of at least ``percent`` / 100, the row's
+    ``group`` is the same for linked texts and no others (the smallest signature among them; null for
+    texts without words), whatever their keys. ``component`` is the smallest key reachable over links of at least ``percent`` / 100, the row's
     own included. Texts without words are in no links and keep their own key. Equal sets are linked.
     Null keys take part and get the smallest key of their component, null if there is none. Repeated
     rows are linked as equal sets. Other columns are not read. ``list_entries``, ``block_sets`` and
@@ -402,15 +403,17 @@ def _link_texts(scratch, docs, key, text, k, threshold, list_entries, block_sets
     )
     in_blocks = scratch.stage(in_blocks.distinct(), "block-links")
     roots = components(counted.union(in_blocks))
-    of_class = classes.select("class", "first_id").join(roots, F.col("class") == F.col("node"))
-    smallest = of_class.groupBy("root").agg(F.min("first_id").alias("smallest"))
-    linked = of_class.join(smallest, "root").select(F.col("class").alias("linked"), "smallest")
+    of_class = classes.select("class", "first_id", "signature").join(roots, F.col("class") == F.col("node"))
+    smallest = of_class.groupBy("root").agg(F.min("first_id").alias("smallest"), F.min("signature").alias("group"))
+    linked = of_class.join(smallest, "root").select(F.col("class").alias("linked"), "smallest", "group")
     named = classes.join(linked, F.col("class") == F.col("linked"), "left").select(
-        F.col("signature").alias("of"), F.coalesce("smallest", "first_id").alias("named")
+        F.col("signature").alias("of"),
+        F.coalesce("smallest", "first_id").alias("named"),
+        F.coalesce("group", "signature").alias("group"),
     )
     done = described.join(named, F.col("signature") == F.col("of"), "left")
     result = done.select(
-        F.col("id").alias(key), "body", F.col("n").alias("n_shingles"), F.coalesce("named", "id").alias("component")
+        F.col("id").alias(key), "body", F.col("n").alias("n_shingles"), F.coalesce("named", "id").alias("component"), "group"
     )
     return stage(result, "groups")
 
@@ -422,11 +425,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     last, unless a group has no others.
     """
     groups = link_texts(docs, key, text, **options)
-    worded = groups.where("n_shingles > 0").select(F.col(key).alias("id"), "body", "component")
+    worded = groups.where("n_shingles > 0").select(F.col(key).alias("id"), "body", "group")
     rank = F.struct(F.col("id").isNull().alias("no_key"), "id", "body")
-    best = worded.groupBy(F.col("component").alias("of")).agg(F.min(rank).alias("best"))
+    best = worded.groupBy(F.col("group").alias("of")).agg(F.min(rank).alias("best"))
     losers = (
-        worded.join(best, F.col("component").eqNullSafe(F.col("of")))
+        worded.join(best, F.col("group") == F.col("of"))
         .where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("body") == F.col("best.body"))))
         .select(F.col("id").alias("lost_id"), F.col("body").alias("lost_body"))
         .distinct()

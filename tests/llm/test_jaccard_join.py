@@ -147,3 +147,11 @@ def test_links_that_also_need_short_lists(texts, k, percent, fixed):
     assert {component for *_, component in want} == set(range(0, 20, 2))
     got = j.link_texts(texts(rows), k=k, percent=percent).collect()
     assert ordered((r["doc_id"], r["n_shingles"], r["component"]) for r in got) == ordered(want)
+
+
+def test_unrelated_texts_of_one_key_all_stay(texts):
+    apart = ["one two three four five six", "red green blue black white grey", "north south east west up down"]
+    rows = [(key, text) for key in (None, 7) for text in (f"{key} {t}" for t in apart)]
+    rows += [(9, rows[0][1]), (None, rows[4][1])]
+    got = [tuple(r) for r in j.keep_one(texts(rows), k=5, percent=80).select("doc_id", "text").collect()]
+    assert ordered(got) == ordered(rows[1:7])
