@@ -1,8 +1,8 @@
 """Licence scan by a positional index of rare licence words.
 
 Every template is a short notice with its key phrases. The index files each template word with the
-places where it stands. A text looks up its rarest licence words (highest inverse document
-frequency over the whole corpus); each lookup votes for the place where the template would start,
+places where it stands, for its rarest words (highest inverse document frequency over the whole
+corpus). A text looks up every filed word; each lookup votes for the place where the template would start,
 and starts with votes of enough different words are laid beside the text: the share of equal words
 is the score, and every key phrase must be there. Only DataFrame functions are used, and all of it
 happens within the row, so no text is shuffled.
@@ -77,7 +77,6 @@ def scan_licenses(
     phrases: dict[str, str] = PHRASES,
     templates=TEMPLATES,
     words_per_template: int = 4,
-    rare_words: int = 8,
     min_votes: int = 2,
     min_score: float = 0.8,
 ) -> DataFrame:
@@ -85,8 +84,9 @@ def scan_licenses(
 
     ``found`` lists the laid-out templates: label, start, score. Base places come from ``phrases``.
     ``score`` is the best template's, 0 if none was laid out. The index files each template under
-    its ``words_per_template`` rarest words. A text looks up the ``rare_words`` rarest of the filed
-    words that it has; every place of each counts.
+    its ``words_per_template`` rarest words, or more where ``min_votes`` of these could differ from a
+    span that reaches ``min_score``. A text looks up all filed words that it has; every place of
+    each counts. So no span that reaches the score is missed.
 
     Null and empty texts have no words and no labels. Rows are scanned each by itself, so repeated
     rows and keys, null keys and other columns change nothing.
@@ -96,7 +96,13 @@ def scan_licenses(
     def rarity(word: str) -> tuple[float, str]:
         return -math.log((1 + total) / (1 + frequencies.get(word, 0))), word
 
-    filed = [sorted(set(t.notice.split()), key=rarity)[:words_per_template] for t in templates]
+    def n_filed(n: int) -> int:
+        # Of so many words at least min_votes stand in their places when min_score of all do.
+        least_same = next(i for i in range(n + 1) if i / n >= min_score)
+        return max(words_per_template, n - least_same + min_votes)
+
+    notice_words = [t.notice.split() for t in templates]
+    filed = [sorted(set(words), key=rarity)[: n_filed(len(words))] for words in notice_words]
     ranked = sorted({w for words in filed for w in words}, key=rarity)
     looked_up = ranked + sorted({w for p in phrases for w in p.split()} - set(ranked))
     index = F.create_map(
@@ -121,7 +127,7 @@ def scan_licenses(
     names = F.array(*[F.lit(t.label) for t in templates])
 
     rows = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
-    # Licence words of the text, in the order of the list: rarest first.
+    # Licence words of the text.
     rows = rows.withColumn("own", F.array_intersect(F.lit(looked_up), "words"))
     places = {p: _starts(F.col("words"), p.split()) for p in phrases}
     none = F.array().cast("array<int>")
@@ -132,7 +138,7 @@ def scan_licenses(
         rows = rows.withColumn(f"base{n}", F.when(has_all, at).otherwise(none))
     base = [F.col(f"base{n}") for n in range(len(places))]
 
-    rows = rows.withColumn("rare", F.slice(F.array_intersect("own", F.lit(ranked)), 1, rare_words))
+    rows = rows.withColumn("rare", F.array_intersect("own", F.lit(ranked)))
     lookups = F.filter(
         F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))),
         lambda x: F.array_contains("rare", x["word"]),

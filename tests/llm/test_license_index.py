@@ -61,6 +61,38 @@ def test_against_brute_force(texts, odd):
     assert by_key[20][0]["score"] == 1.0 and by_key[23][0]["score"] == 1.0
 
 
+def laid_out(words):
+    """(label, start, score) of every template at every place that reaches the score and has the phrases."""
+    found = set()
+    for t in l.TEMPLATES:
+        notice = t.notice.split()
+        for start in range(1 - len(notice), len(words)):
+            same = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(notice))
+            span = " ".join(words[max(start, 0) : max(start, 0) + len(notice)])
+            if same / len(notice) >= 0.8 and all(f" {p} " in f" {span} " for p in t.phrases):
+                found.add((t.label, start, same / len(notice)))
+    return found
+
+
+def test_every_notice_is_found_whatever_else_the_text_holds(texts):
+    notices = [t.notice for t in l.TEMPLATES]
+    vocabulary = sorted({w for n in notices for w in n.split()})
+    noise = " ".join(vocabulary[::-1])
+    rows = [(0, ". ".join(notices)), (1, f"{noise}. {'. '.join(notices[::-1])}. {noise}")]
+    rows += [(10 + i, f"{noise}. {n}") for i, n in enumerate(notices)]
+    # The rarest words of a notice replaced, as many as its score allows.
+    rows += [(30, "permission is hereby granted free of charge to any human obtaining one copy of this thing")]
+    rows += [(31, f"{noise}. {rows[-1][1]}")]
+    df = texts(rows)
+    got = {r["doc_id"]: r for r in l.scan_licenses(df, l.document_frequencies(df)).collect()}
+    for key, text in rows:
+        want = laid_out(WORD.findall(text.translate(LOWER)))
+        assert {(f["label"], f["start"], f["score"]) for f in got[key]["found"]} == want, key
+    labels = {t.label for t in l.TEMPLATES}
+    assert labels <= set(got[0]["labels"].split(",")) and labels <= set(got[1]["labels"].split(","))
+    assert got[30]["labels"] == "mit" and got[30]["score"] == 13 / 16
+
+
 def test_empty_table(texts):
     df = texts([])
     assert l.scan_licenses(df, l.document_frequencies(df)).count() == 0
