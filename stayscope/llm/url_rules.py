@@ -65,13 +65,13 @@ def mine_rules(
     label: str = "label",
     min_support: float = 0.002,
     min_confidence: float = 0.6,
-    max_tokens: int = 3,
 ) -> DataFrame:
     """Rules: rule_id, tokens, verdict, confidence, support, key (its rarest token).
 
     Rows without a URL or label are left out, as they say nothing; repeated rows count each time.
     All labelled rows are mined. ``min_support`` is a share of the rows and so bounds the number
-    of rules at every size: a URL has few tokens, and each must be in that share of the URLs.
+    of rules at every size: a URL has few tokens, and each must be in that share of the URLs. Rules
+    have as many tokens as it takes.
     No labelled rows give no rules.
     """
     spark = labelled.sparkSession
@@ -89,24 +89,24 @@ def mine_rules(
     is_label = lambda x: x.startswith("label=")
     found = (
         model.associationRules.where(
-            (F.size("antecedent") <= max_tokens)
-            & is_label(F.col("consequent")[0])
-            & ~F.exists("antecedent", is_label)
+            is_label(F.col("consequent")[0]) & ~F.exists("antecedent", is_label)
         )
         .select(
             F.array_sort("antecedent").alias("tokens"),
-            F.substring(F.col("consequent")[0], len("label=") + 1, 1000).alias("verdict"),
+            F.substr(F.col("consequent")[0], F.lit(len("label=") + 1)).alias("verdict"),
             "confidence",
             "support",
         )
     )
     found = stage(found, "url-rules")
     # A rule is idle if one of its own parts already gives that verdict at least as surely.
-    token = F.explode("tokens").alias("token")
+    # Parts are looked for under their first token only, so each is met once.
     idle = (
-        found.select("tokens", "verdict", "confidence", token)
+        found.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token"))
         .join(
-            found.select(F.col("tokens").alias("t2"), "verdict", F.col("confidence").alias("c2"), token),
+            found.select(
+                F.col("tokens").alias("t2"), "verdict", F.col("confidence").alias("c2"), F.col("tokens")[0].alias("token")
+            ),
             ["token", "verdict"],
         )
         .where((F.col("c2") >= F.col("confidence")) & (F.size("t2") < F.size("tokens")))

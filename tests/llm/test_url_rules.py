@@ -58,6 +58,22 @@ def test_rules_are_found_and_match_like_brute_force(spark):
     assert got == want and got["http://q.ads.org/win/99999"] == "block"
 
 
+def test_a_pattern_of_four_tokens_and_a_long_label(spark):
+    """Only all four together tell: any three are as often allowed."""
+    verdict = "block" * 300
+    rows = []
+    for i in range(16 * 20):
+        a, b, c, d = (bool(i & 1 << k) for k in range(4))
+        url = f"http://s.{'ads' if a else 'news'}.org/{'win' if b else 'read'}/{'now' if c else 'later'}{'?id=' if d else '?page='}{i}"
+        rows.append((url, verdict if a and b and c and d else "allow"))
+    rules = u.mine_rules(spark.createDataFrame(rows, "url string, label string"), min_support=0.02)
+    blocking = [r["tokens"] for r in rules.collect() if r["verdict"] != "allow"]
+    assert blocking == [["host1=ads", "path0=win", "path1=now", "query=id"]]
+    urls = spark.createDataFrame([("http://s.ads.org/win/now?id=x",), ("http://s.ads.org/win/now?page=x",)], "url string")
+    got = {r["url"]: r["verdict"] for r in u.match_rules(urls, rules).collect()}
+    assert got == {"http://s.ads.org/win/now?id=x": verdict, "http://s.ads.org/win/now?page=x": "allow"}
+
+
 def test_no_python_in_the_plan(spark):
     data = labelled(spark)
     plan = u.match_rules(data, u.mine_rules(data, min_support=0.1))._jdf.queryExecution().executedPlan().toString()
