@@ -40,7 +40,7 @@ def _shown(role: Column) -> Column:
 
 
 def _role(name: Column) -> Column:
-    role = F.url_decode(F.substring(name, 2, 1_000_000))
+    role = F.url_decode(F.substr(name, F.lit(2)))
     for plain, shown in NAMES.items():
         role = F.when(name == shown, F.lit(plain)).otherwise(role)
     return role

@@ -73,6 +73,14 @@ def test_broken_text_is_not_parsed(spark):
     assert [r["p"] for r in rows] == [None, None, [], None]
 
 
+def test_roles_of_any_length_come_back(spark):
+    # Encoded, six characters each: more than a million, and a cut would fall into an escape.
+    role = "x" + "é" * 180_000
+    df = spark.createDataFrame([(1, 0, role, "hi")], "conv_id long, turn long, role string, text string")
+    row = c.format_conversations(df).first()
+    assert row["identical"] and row["turns"][0]["role"] == role
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert c.format_conversations(df).count() == 0
