@@ -331,18 +331,24 @@ def residual_histogram(scored: DataFrame, label: str = TARGET, bins: int = 60) -
 
 
 def train_all(
-    ml_rows: DataFrame, rounds: int | None = None, trees: int | None = None, folds: int = 5
+    ml_rows: DataFrame,
+    rounds: int | None = None,
+    trees: int | None = None,
+    folds: int = 5,
+    fitted: dict[str, PipelineModel] | None = None,
 ) -> dict:
     """Split, fit the four models, compare, cross-validate the winner, save it.
 
     Train and test parts are written once, so the many passes of fitting read ready columns.
+    ``fitted`` holds the four models if they are already fitted on these rows' train part.
     """
     spark = ml_rows.sparkSession
     train, test = train_test_split(ml_rows)
     train, test = stage(train, "train"), stage(test, "test")
-    pre = fit_preprocessor(train)
     models = model_set(rounds, trees)
-    fitted = {name: fit(train, e, pre) for name, e in models.items()}
+    if fitted is None:
+        pre = fit_preprocessor(train)
+        fitted = {name: fit(train, e, pre) for name, e in models.items()}
     comparison = stage(
         compare_models([(n, evaluate(m.transform(test))) for n, m in fitted.items()]), "comparison"
     )

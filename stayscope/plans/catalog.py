@@ -25,8 +25,6 @@ QUERIES: dict[str, Query] = {}
 BOROUGH_NAMES = ["Africa", "America", "Asia", "Europe", "Middle East"]
 FILTERS = {"boroughs": ["Asia", "Europe", "America"], "room_types": ["Entire home/apt", "Private room"]}
 AREA_A, AREA_B = "Nation_17'S D5", "Nation_12'S D14"
-# Boosting rounds and trees for checks; the operators default to the full numbers.
-CHECK_ROUNDS, CHECK_TREES = 5, 10
 
 
 def query(name: str):
@@ -323,13 +321,13 @@ def _(w: Workspace) -> DataFrame:
     )
 
 
-def _predictions(w: Workspace, estimator) -> DataFrame:
-    return ml.fit(w.train, estimator).transform(w.test).select("id", "price", "prediction")
+def _predictions(w: Workspace, name: str) -> DataFrame:
+    return w.model(name).transform(w.test).select("id", "price", "prediction")
 
 
 @query("fit_linear")
 def _(w: Workspace) -> DataFrame:
-    return _predictions(w, ml.linear_model())
+    return _predictions(w, "LinearRegression")
 
 
 @query("fit_linear_one_feature")
@@ -344,17 +342,17 @@ def _(w: Workspace) -> DataFrame:
 
 @query("fit_forest")
 def _(w: Workspace) -> DataFrame:
-    return _predictions(w, ml.forest_model(trees=CHECK_TREES))
+    return _predictions(w, "RandomForest")
 
 
 @query("fit_gbt")
 def _(w: Workspace) -> DataFrame:
-    return _predictions(w, ml.gbt_model(rounds=CHECK_ROUNDS))
+    return _predictions(w, "XGBoost")
 
 
 @query("fit_gbt_tuned")
 def _(w: Workspace) -> DataFrame:
-    return _predictions(w, ml.gbt_tuned_model(rounds=CHECK_ROUNDS))
+    return _predictions(w, "XGBoost_Tuned")
 
 
 @query("evaluate")
@@ -388,7 +386,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("feature_importance")
 def _(w: Workspace) -> DataFrame:
-    return ml.feature_importance(w.spark, ml.fit(w.train, ml.forest_model(trees=CHECK_TREES)))
+    return ml.feature_importance(w.spark, w.model("RandomForest"))
 
 
 @query("actual_vs_predicted")
@@ -403,14 +401,12 @@ def _(w: Workspace) -> DataFrame:
 
 @query("train_all")
 def _(w: Workspace) -> DataFrame:
-    return ml.train_all(w.ml_rows, rounds=CHECK_ROUNDS, trees=CHECK_TREES, folds=2)["comparison"]
+    return ml.train_all(w.ml_rows, fitted={name: w.model(name) for name in ml.model_set()})["comparison"]
 
 
 @query("model_report")
 def _(w: Workspace) -> DataFrame:
-    pre = ml.fit_preprocessor(w.train)
-    forest = ml.fit(w.train, ml.forest_model(trees=CHECK_TREES, depth=8), pre)
-    linear = ml.fit(w.train, ml.linear_model(), pre)
+    forest, linear = w.model("RandomForest"), w.model("LinearRegression")
     compared = ml.compare_models(
         [(n, ml.evaluate(m.transform(w.test))) for n, m in (("Linear", linear), ("Forest", forest))]
     )

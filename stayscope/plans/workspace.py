@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stayscope.operators.clean import clean
 from stayscope.operators.features import area_medians, engineer_features
-from stayscope.operators.ml import train_test_split
+from stayscope.operators.ml import PipelineModel, fit, fit_preprocessor, model_set, train_test_split
 from stayscope.sources.order_listings import FIXTURE_REFERENCE_DATE, listings_from_orders
 from stayscope.sources.readers import select_ml_columns
 from stayscope.sources.staging import stage
@@ -21,6 +21,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._tables: dict[str, DataFrame] = {}
+        self._models: dict[str, PipelineModel] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> "Workspace":
@@ -73,6 +74,12 @@ class Workspace:
     def test(self) -> DataFrame:
         return self._once("test", lambda: train_test_split(self.ml_rows)[1])
 
+    def model(self, name: str) -> PipelineModel:
+        """A model of ``model_set`` in full size, fitted once on the train part."""
+        if name not in self._models:
+            self._models[name] = fit(self.train, model_set()[name], fit_preprocessor(self.train))
+        return self._models[name]
+
     @property
     def requests(self) -> DataFrame:
         """Every raw listing as a scoring request. One in thirteen keeps a padded borough, so

@@ -157,3 +157,30 @@ def test_stream_equals_batch(spark, workspace):
     assert streamed.count() == batch.count() > 0
     assert streamed.exceptAll(batch).count() == 0
     assert spark.read.parquet(bad).count() == rejected.count() > 0
+
+
+def test_registered_models_are_full_size_and_fitted_once(spark, folder, monkeypatch):
+    from stayscope.plans import workspace as ws
+    from stayscope.plans.catalog import QUERIES
+
+    asked, folds, fit = [], [], ml.fit
+
+    def linear_instead(train, estimator, preprocessor=None):
+        asked.append(estimator)
+        return fit(train, ml.linear_model(), preprocessor)
+
+    def counted(train, estimator, n=5, *args, **kw):
+        folds.append(n)
+        return cross_validate(train, ml.linear_model(), n, *args, **kw)
+
+    cross_validate = ml.cross_validate
+    for module in (ml, ws):
+        monkeypatch.setattr(module, "fit", linear_instead, raising=False)
+    monkeypatch.setattr(ml, "cross_validate", counted)
+    monkeypatch.setitem(ws._OPEN, (spark.sparkContext.applicationId, folder), ws.Workspace(spark, folder))
+    for name in ("fit_forest", "fit_gbt", "fit_gbt_tuned", "feature_importance", "model_report", "train_all"):
+        QUERIES[name](spark, folder)
+    # Names of parameters instead of uids, as every estimator has its own.
+    sizes = lambda e: {p.name: v for p, v in e.extractParamMap().items()}
+    assert sorted(map(str, map(sizes, asked))) == sorted(map(str, map(sizes, ml.model_set().values())))
+    assert folds == [5]
