@@ -100,6 +100,13 @@ def mine_rules(
     )
     found = stage(found, "url-rules")
     # A rule is idle if one of its own parts already gives that verdict at least as surely.
+    # Most are idle by a part of one token less; what is left has all rules that can make others idle.
+    less = found.select(
+        "tokens", "verdict", "confidence", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part")
+    )
+    parts = found.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("c2"))
+    covered = less.join(parts, ["part", "verdict"]).where("c2 >= confidence").select("tokens", "verdict").distinct()
+    found = stage(found.join(covered, ["tokens", "verdict"], "left_anti"), "url-rules-left")
     # Parts are looked for under their first token only, so each is met once.
     idle = (
         found.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token"))
