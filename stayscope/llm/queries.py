@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stayscope.sources.literal import literal_table
 
-from . import bitplane, chat_format, decontaminate, jaccard_join, license_index, prefix_bpe, quality_rules, rendezvous, url_rules, warc_dict
+from . import bitplane, chat_format, decontaminate, jaccard_join, license_index, prefix_bpe, quality_rules, rendezvous, secrets, url_rules, warc_dict
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -222,6 +222,17 @@ from w left join n on n.doc_id = w.doc_id join reach r on r.a = w.doc_id group b
 """
 
 
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs, secrets.fit_models(secrets.label_samples(docs)))
+    return found.select(
+        "doc_id",
+        *[secrets.n_of_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -233,6 +244,7 @@ QUERIES = {
     "op8_warc_dictionary": op8_warc_dictionary,
     "op9_bitplane_ids": op9_bitplane_ids,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_secret_scan": op11_secret_scan,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
