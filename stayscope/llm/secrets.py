@@ -27,21 +27,29 @@ CODES = 95
 _PIECE = 64
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, computed once; an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_sums(values: Column) -> Column:
     """Sums of a non-empty array up to each element; in pieces, as long arrays of growing sums are dear."""
-    last = F.floor((F.size(values) - 1) / _PIECE).cast("int")
-    add = lambda a, b: a + b
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda p: F.slice(values, p * _PIECE + 1, F.lit(_PIECE)))
-    totals = F.transform(pieces, lambda piece: F.aggregate(piece, F.lit(0), add))
-    return F.flatten(
-        F.transform(
-            pieces,
-            lambda piece, p: F.transform(
-                piece,
-                lambda _, i: F.aggregate(F.slice(piece, F.lit(1), i + 1), F.aggregate(F.slice(totals, F.lit(1), p), F.lit(0), add), add),
-            ),
+    total = lambda piece: F.aggregate(piece, F.lit(0), lambda a, b: a + b)
+    first = lambda array, n: F.slice(array, F.lit(1), n)
+    n_pieces = lambda v: F.floor((F.size(v) - 1) / _PIECE).cast("int")
+    cut = lambda v: F.transform(
+        F.sequence(F.lit(0), n_pieces(v)), lambda p: F.slice(v, p * _PIECE + 1, F.lit(_PIECE))
+    )
+    joined = lambda pieces, offsets: F.flatten(
+        F.zip_with(
+            pieces, offsets, lambda piece, offset: F.transform(piece, lambda _, i: offset + total(first(piece, i + 1)))
         )
     )
+    offsets = lambda totals: F.transform(totals, lambda _, p: total(first(totals, p)))
+    return _once(
+        values,
+        lambda v: _once(cut(v), lambda pieces: joined(pieces, _once(F.transform(pieces, total), offsets))),
+    )
 
 
 def _with_matches(rows: DataFrame, name: str, pattern: str) -> DataFrame:
