@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stayscope.sources.literal import literal_table
 
-from . import bitplane, chat_format, decontaminate, jaccard_join, license_index, prefix_bpe, quality_rules, rendezvous, secrets, url_rules, warc_dict
+from . import bitplane, chat_format, decontaminate, hard_negatives, jaccard_join, license_index, prefix_bpe, quality_rules, rendezvous, secrets, url_rules, warc_dict
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -233,6 +233,34 @@ def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", relabelled), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+OP12_SQL = r"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, e.vec_id, a.label = e.label as same, list_dot_product(a.q, e.q)::bigint as score
+  from e a join e on a.vec_id <> e.vec_id where a.vec_id % 50 = 0
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id,
+  row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same
+  and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -245,10 +273,12 @@ QUERIES = {
     "op9_bitplane_ids": op9_bitplane_ids,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_secret_scan": op11_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
     "op4_decontaminate": OP4_SQL,
     "op8_warc_dictionary": OP8_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
