@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from stayscope.sources.literal import literal_table
 
-from . import bitplane, chat_format, decontaminate, hard_negatives, jaccard_join, license_index, prefix_bpe, quality_rules, rendezvous, secrets, url_rules, warc_dict
+from . import bitplane, chat_format, decontaminate, hard_negatives, jaccard_join, license_index, prefix_bpe, quality_rules, rendezvous, secrets, spelling, url_rules, warc_dict
+from .text import ascii_lower
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -261,6 +262,63 @@ qualify rank <= 3
 """
 
 
+def runs_with_typos(docs: DataFrame) -> DataFrame:
+    """Lower-cased runs of letters that can have seven; one in 31 runs of a document lacks a character."""
+    run = ascii_lower(F.col("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    place = (F.col("h") % F.length("word")).cast("int")
+    typo = F.concat(F.substring("word", F.lit(1), place), F.substring(F.col("word"), place + 2, F.length("word")))
+    return (
+        docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z\x{C0}-\x{FF}]{7,}"), F.lit(0))).alias("run"))
+        .select("doc_id", run.alias("word"))
+        .withColumn("h", h)
+        .select(F.when(F.col("h") % 31 == 0, typo).otherwise(F.col("word")).alias("word"))
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return spelling.group_variants(spelling.count_words(runs_with_typos(docs)))
+
+
+OP13_SQL = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as crcs
+), runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents
+), counted as (
+  select doc_id, run, count(*) as times from runs group by all
+), hashed as (
+  select run, times, xor(list_reduce([4294967295] || flatten(list_transform(
+      string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+      lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195, unicode(c)::bigint - 64] end)),
+    lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295) as h from counted, crc
+), w as (
+  select word, sum(times)::bigint as n from (
+    select case when h % 31 = 0 then run[:(h % length(run))] || run[(h % length(run)) + 2:] else run end as word, times
+    from hashed) where length(word) >= 7 group by word having sum(times) >= 2
+), cut as (
+  select word, n, pos, word[:pos - 1] || word[pos + 1:] as rest from w, unnest(range(1, length(word) + 1)) p(pos)
+), pairs as (
+  select a.word, b.word as near, b.n as near_n from cut a join cut b on a.rest = b.rest and a.pos = b.pos and a.word <> b.word
+  union select cut.word, w.word, w.n from cut join w on w.word = cut.rest
+  union select w.word, cut.word, cut.n from cut join w on w.word = cut.rest
+), best as (
+  select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from pairs group by word
+), forms as (
+  select w.word, case when near_n >= 10 * n then near end as form, n, coalesce(n_near, 0)::bigint as n_near,
+    case when near_n >= 10 * n then near_n end as form_n from w left join best using (word)
+), way(word, last, step) as (
+  select word, word, 0 from forms
+  union all select way.word, f.form, step + 1 from way join forms f on f.word = way.last where f.form is not null
+)
+select f.word, form, arg_max(way.last, step) as root, n, n_near, form_n
+from forms f join way on way.word = f.word group by all
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -274,6 +332,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_secret_scan": op11_secret_scan,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
@@ -281,4 +340,5 @@ ORACLE_SQL = {
     "op8_warc_dictionary": OP8_SQL,
     "op10_jaccard_join": OP10_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
