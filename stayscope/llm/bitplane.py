@@ -28,8 +28,9 @@ from tokenizers import Regex, Tokenizer, normalizers
 
 from stayscope.sources.staging import new_path, stage
 
-from .files import reading, writing
-from .splitting import ChunkedEncoder, Recent, every_character, written_out
+from .files import qualified, reading, writing
+from .splitting import ChunkedEncoder, Recent, every_character, keeps_words, written_out
+from .text import few_rows
 
 MAGIC = b"IDPLANE1"
 
@@ -160,7 +161,7 @@ def write_ids(
     keys stand side by side. An empty table writes no file. Other columns are not read.
     """
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "ids")
+    folder = qualified(spark, folder or new_path(spark, "ids"))
     rows = docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     ).withColumn("spread", F.xxhash64("text"))
@@ -169,20 +170,26 @@ def write_ids(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, number = encoder(), TaskContext.get().partitionId(), 0
-        pending = ((k, b) for batch in batches for k, b in _encoded(batch, encode))
-        following = next(pending, None)
-        while following is not None:
+        pending = (
+            (few.column("key"), encode(few.column("text").to_pylist())) for few in few_rows(batches)
+        )
+        few, at = next(pending, None), 0
+        while few is not None:
             with writing(folder, ".ids") as (path, stream):
                 out, keys, sizes = PlaneWriter(stream, by), [], []
-                while following is not None and (not sizes or out.n_ids < ids_per_file):
-                    ids = following[1] + end
-                    out.add(ids)
-                    keys.append(following[0])
-                    sizes.append(len(ids) // 4)
-                    following = next(pending, None)
+                while few is not None and (not sizes or out.n_ids < ids_per_file):
+                    first = at
+                    while at < len(few[1]) and (not sizes or out.n_ids < ids_per_file):
+                        ids = few[1][at] + end
+                        out.add(ids)
+                        sizes.append(len(ids) // 4)
+                        at += 1
+                    keys.append(few[0].slice(first, at - first))
+                    if at == len(few[1]):
+                        few, at = next(pending, None), 0
                 documents = pa.table({"key": pa.concat_arrays(keys), "n": pa.array(sizes, pa.int64())})
                 n_bytes = out.close(documents)
-            found = [part], [number], [path], [len(keys)], [out.n_ids], [n_bytes]
+            found = [part], [number], [path], [len(sizes)], [out.n_ids], [n_bytes]
             types = pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()
             names = "part", "number", "path", "n_documents", "n_ids", "n_bytes"
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, types)], list(names))
@@ -194,14 +201,6 @@ def write_ids(
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _encoded(batch: pa.RecordBatch, encode) -> Iterator[tuple[pa.Array, bytes]]:
-    """Key (as an array of one) and ids of a batch's rows, a few texts at a time."""
-    keys, texts = batch.column("key"), batch.column("text").to_pylist()
-    for start in range(0, len(texts), 256):
-        for i, ids in enumerate(encode(texts[start : start + 256]), start):
-            yield keys.slice(i, 1), ids
-
-
 def read_ids(files: DataFrame, key_field: StructField, tasks: int | None = None) -> DataFrame:
     """Documents of the listed files: key, start, n_tokens, ids (binary, 32 bits each)."""
 
@@ -226,8 +225,8 @@ def read_ids(files: DataFrame, key_field: StructField, tasks: int | None = None)
     fields = [StructField("key", key_field.dataType), StructField("start", LongType()), StructField("n_tokens", LongType())]
     schema = StructType(fields).add("ids", "binary")
     listed = files.select("path", "start")
-    dealt = listed.repartition(tasks) if tasks else listed.repartition("path")
-    return dealt.mapInArrow(read, schema).withColumnRenamed("key", key_field.name)
+    # A count given outright: small lists would be joined into a single task otherwise.
+    return listed.repartition(tasks or max(files.count(), 1)).mapInArrow(read, schema).withColumnRenamed("key", key_field.name)
 
 
 def _documents(keys, sizes, starts, at: int, ids: list[bytes]) -> pa.RecordBatch:
@@ -253,12 +252,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _added_tokens(definition: str):
+    """Pattern of the added tokens' strings with the blanks they take in, and their ids; None without any."""
+    tokens = sorted(json.loads(definition).get("added_tokens") or [], key=lambda t: -len(t["content"]))
+    if not tokens:
+        return None, {}
+    parts = []
+    for n, t in enumerate(tokens):
+        word = r"(?<!\w)", r"(?!\w)"
+        left, right = word if t.get("single_word") else ("", "")
+        before, after = (r"\s*" if t.get(side) else "" for side in ("lstrip", "rstrip"))
+        parts.append(f"{before}{left}(?P<t{n}>{re.escape(t['content'])}){right}{after}")
+    return re.compile("|".join(parts)), {f"t{n}": t["id"].to_bytes(4, "little") for n, t in enumerate(tokens)}
+
+
 def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
     """Encoder of a byte-level BPE definition (JSON) of the tokenizers library, for ``write_ids``.
 
     ``pattern`` is the one by which the definition's pre-tokenizer splits. The library's model
-    encodes the pieces; ids of frequent words and pieces are remembered. Strings of special tokens in
-    a text are ordinary text, and no special tokens are added.
+    encodes the pieces; ids of frequent words and pieces are remembered. Strings of the definition's
+    added tokens become those tokens, as in the library; none is added besides.
     """
     parts = written_out(pattern, _class_members)
 
@@ -270,9 +283,23 @@ def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
                 found = model.tokenize(text.encode().decode("latin-1").translate(letters))
                 return b"".join([t.id.to_bytes(4, "little") for t in found])
 
-            ids = Recent(piece, cached * 3 // 4).__getitem__
+            def word(text: str) -> bytes:
+                return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(space + text)])
+
+            space = letters[ord(" ")]
+            ids = Recent(piece, cached // 8).__getitem__
             _encoders.clear()
-            _encoders[definition] = ChunkedEncoder(lambda text: b"".join(map(ids, split(text))), cached).encode
+            whole = ChunkedEncoder(lambda text: b"".join(map(ids, split(text))), cached, word if keeps_words(split) else None)
+            added, id_of = _added_tokens(definition)
+
+            def encode(text: str) -> bytes:
+                out, at = [], 0
+                for found in added.finditer(text) if added else ():
+                    out += [whole.encode(text[at : found.start()]), id_of[found.lastgroup]]
+                    at = found.end()
+                return b"".join([*out, whole.encode(text[at:])])
+
+            _encoders[definition] = encode
         encode = _encoders[definition]
         return lambda texts: [encode(text) for text in texts]
 

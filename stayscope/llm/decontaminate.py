@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from stayscope.sources.staging import stage
 
-from .text import words_of
+from .text import few_rows, words_of
 
 #: Bytes to their normal form: A-Z in lower case, what is between words to spaces.
 _FOLD = bytes(
@@ -108,7 +108,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _scanner(shared, last_pass: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = PassageFinder(shared.value)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             before = zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist())
             n_words, ranges, items, spans, n_hit = [], [], [], [], []

@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 from stayscope.sources.staging import Scratch, stage
 
 from .components import components
+from .text import few_rows
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -37,7 +38,7 @@ _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.u
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -95,7 +96,7 @@ def frequent_shingles(
             return pa.RecordBatch.from_arrays([pa.array(values[told]), pa.array(counts[told])], ["shingle", "n"])
 
         sets, size = [], 0
-        for batch in batches:
+        for batch in few_rows(batches):
             for text in _texts(batch):
                 sets.append(shingle_set(text, k))
                 size += len(sets[-1])
@@ -163,7 +164,7 @@ def _describe(texts: DataFrame, k: int, threshold: Threshold, frequent, share: f
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        for batch in batches:
+        for batch in few_rows(batches):
             sizes, signatures, prefixes = [], [], []
             for text in _texts(batch):
                 own = shingle_set(text, k)
@@ -188,7 +189,7 @@ def _whole_sets(texts: DataFrame, k: int) -> DataFrame:
     """class and shingles (sorted) of rows with class and text."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             sets = [shingle_set(text, k) for text in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("class"), _lists(sets)], ["class", "shingles"])
 

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .splitting import ChunkedEncoder, Recent, every_character, written_out
+from .splitting import ChunkedEncoder, Recent, every_character, keeps_words, written_out
+from .text import few_rows
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -41,7 +42,7 @@ _SHARED = 24
 class Vocabulary:
     """Ranks of byte tokens, and which tokens may follow each other."""
 
-    def __init__(self, ranks: dict[bytes, int], max_known: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_known: int = 250_000):
         self.ranks = ranks
         #: Last tokens of short prefixes, shared by all pieces; emptied when it is full.
         self.known: dict[bytes, bytes] = {}
@@ -264,8 +265,9 @@ class Codec:
     def __init__(self, rank_file: bytes, pattern: str, cached: int = 300_000):
         self.vocabulary = Vocabulary(read_ranks(rank_file))
         self._split = re.compile(pattern).findall
-        self.encode = ChunkedEncoder(self._pieces, cached).encode
-        self._piece = Recent(lambda piece: self.vocabulary.encode(piece.encode()), cached).__getitem__
+        word = (lambda letters: self.vocabulary.encode(b" " + letters.encode())) if keeps_words(self._split) else None
+        self.encode = ChunkedEncoder(self._pieces, cached, word).encode
+        self._piece = Recent(lambda piece: self.vocabulary.encode(piece.encode()), cached // 8).__getitem__
         self._bytes = self.vocabulary.bytes_of.__getitem__
 
     def _pieces(self, text: str) -> bytes:
@@ -312,7 +314,7 @@ def encode_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
             columns = {"kept": batch.column("kept"), "ids": pa.array(ids, pa.binary())}
             if decode:
@@ -331,7 +333,7 @@ def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in batches:
+        for batch in few_rows(batches):
             decoded = pa.array([codec.decode(i or b"") for i in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
 

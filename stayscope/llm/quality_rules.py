@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .text import few_rows
+
 #: What is counted of a text.
 COUNTS = (
     "n_words",
@@ -76,7 +78,7 @@ def text_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     """Per row: kept (a struct of the ``keep`` columns) and the counts. Null counts as no text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             rows = np.array([count_text(t or b"") for t in texts], np.int64).reshape(-1, len(COUNTS))
             columns = [batch.column("kept"), *(pa.array(rows[:, k]) for k in range(len(COUNTS)))]

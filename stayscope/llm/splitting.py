@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import sys
 from collections.abc import Callable
 from functools import lru_cache
@@ -66,6 +67,11 @@ class Recent(dict):
         return value
 
 
+def keeps_words(split: Callable[[str], list[str]]) -> bool:
+    """Whether a pattern leaves ASCII letters and the space before them in one piece."""
+    return split(" " + string.ascii_letters) == [" " + string.ascii_letters]
+
+
 class _CutsElsewhere(Exception):
     """A blank stands beside a space, so the text can't be cut there."""
 
@@ -76,14 +82,18 @@ class ChunkedEncoder:
     That holds for patterns of pieces like `` ?letters`` and runs of blanks: the piece before such a
     space ends there. Texts are cut at these spaces, ids (as bytes) of what lies between are
     remembered, and ``encode`` runs just for the rest. A space beside another blank is no cut.
+
+    ``word`` encodes ASCII letters with the space before them, where the pattern leaves these whole.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], size: int = 150_000):
-        self._encode = encode
+    def __init__(self, encode: Callable[[str], bytes], size: int = 150_000, word: Callable[[str], bytes] | None = None):
+        self._encode, self._word = encode, word
         self._cut = re.compile(r"(?<!\s) (?!\s)")
         self._after_space = Recent(self._chunk, size).__getitem__
 
     def _chunk(self, chunk: str) -> bytes:
+        if self._word and chunk.isascii() and chunk.isalpha():
+            return self._word(chunk)
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _CutsElsewhere
         return self._encode(" " + chunk)

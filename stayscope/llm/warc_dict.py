@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stayscope.sources.staging import new_path, stage
 
-from .files import reading, writing
+from .files import qualified, reading, writing
 
 DICTIONARY_FRAME = 0x184D2A5D
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -197,7 +197,7 @@ def write_archives(
     Null payloads are empty. An empty table writes no file. ``sample_bytes`` bounds what a dictionary
     is trained on; all rows are written. Other columns are not read.
     """
-    folder = folder or new_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder or new_path(pages.sparkSession, "warc"))
     columns = "page_id", "url", "payload", "digest", "refers_to"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,8 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                         yield _batch(held, with_payload)
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
-    listed = files.select("path").repartition("path")
+    # A count given outright: small lists would be joined into a single task otherwise.
+    listed = files.select("path").repartition(max(files.count(), 1))
     return listed.mapInArrow(read, schema + (", payload binary" if with_payload else ""))
 
 

@@ -18,9 +18,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def tools():
     with open(PATH, encoding="utf-8") as f:
         definition = f.read()
-    own = Tokenizer.from_str(definition)
-    own.encode_special_tokens = True
-    return b.tokenizer_encoder(definition, public_tokenizers.PATTERN), own
+    return b.tokenizer_encoder(definition, public_tokenizers.PATTERN), Tokenizer.from_str(definition)
 
 
 def test_encoder_equals_the_library(tools):
@@ -73,6 +71,35 @@ def test_table(tools, texts, odd):
         at += len(ids)
 
 
+def test_files_are_read_by_many_tasks(spark, tools, texts):
+    df = texts([(i, f"text of {i}") for i in range(300)])
+    files = b.write_ids(df.repartition(5), tools[0], ids_per_file=20)
+    read = b.read_ids(files, df.schema["doc_id"]).select(F.spark_partition_id().alias("task"), "doc_id")
+    n = files.count()
+    assert n > 20 and read.select("task").distinct().count() > n // 2 and read.count() == 300
+
+
+def test_folders_are_qualified(spark):
+    from stayscope.llm import files
+
+    assert files.qualified(spark, "/user/x").startswith("file:/")
+    assert files.qualified(spark, "s3a://bucket/x") == "s3a://bucket/x"
+    with pytest.raises(ValueError, match="stores"):
+        files.qualified(spark, "odd://host/x")
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}])
+def test_added_tokens_equal_the_library(tools, flags):
+    from tokenizers import AddedToken
+
+    own = Tokenizer.from_str(tools[1].to_str())
+    own.add_special_tokens([AddedToken("<x>", **flags), AddedToken("<x>y", special=True)])
+    encode = b.tokenizer_encoder(own.to_str(), public_tokenizers.PATTERN)()
+    texts = ["<x>", "a <x> b", "a<x>b", "  <x>  y", "<x>y<x><|endoftext|>", " <|endoftext|> <x>\n", "a <x>. <x", "a<x> <x>b"]
+    for text, packed in zip(texts, encode(texts)):
+        assert np.frombuffer(packed, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text
+
+
 def test_empty_table(tools, texts):
     df = texts([])
     files = b.write_ids(df, tools[0])
