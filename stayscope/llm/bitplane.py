@@ -266,7 +266,7 @@ def _added_tokens(definition: str):
     return re.compile("|".join(parts)), {f"t{n}": t["id"].to_bytes(4, "little") for n, t in enumerate(tokens)}
 
 
-def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
+def tokenizer_encoder(definition: str, pattern: str, cached: int = 600_000):
     """Encoder of a byte-level BPE definition (JSON) of the tokenizers library, for ``write_ids``.
 
     ``pattern`` is the one by which the definition's pre-tokenizer splits. The library's model
@@ -279,12 +279,15 @@ def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
         if definition not in _encoders:
             model, split, letters = Tokenizer.from_str(definition).model, re.compile(parts).findall, _byte_letters()
 
+            def packed(found: list) -> bytes:
+                return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
             def piece(text: str) -> bytes:
                 found = model.tokenize(text.encode().decode("latin-1").translate(letters))
-                return b"".join([t.id.to_bytes(4, "little") for t in found])
+                return packed(found)
 
             def word(text: str) -> bytes:
-                return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(space + text)])
+                return packed(model.tokenize(space + text))
 
             space = letters[ord(" ")]
             ids = Recent(piece, cached // 8).__getitem__
