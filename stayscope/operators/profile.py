@@ -169,7 +169,6 @@ def profile_all(df: DataFrame) -> dict[str, DataFrame]:
     """All reports of one table."""
     return {
         "shape": shape(df),
-        "columns": columns(df),
         "missing": missing(df),
         "duplicates": duplicates(df),
         "numeric": numeric_summary(df),

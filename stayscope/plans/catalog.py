@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stayscope.functions.numeric import half_up
 from stayscope.operators import clean as cl
 from stayscope.operators import dashboard as db
-from stayscope.operators import eda, features as ft, market as mk, ml, profile as pf, score as sc
+from stayscope.operators import boosting as bo, eda, features as ft, market as mk, ml, profile as pf, score as sc
 from stayscope.plans.workspace import Workspace
 from stayscope.sources import readers, writers
 from stayscope.sources.order_listings import FIXTURE_REFERENCE_DATE
@@ -347,12 +347,33 @@ def _(w: Workspace) -> DataFrame:
 
 @query("fit_gbt")
 def _(w: Workspace) -> DataFrame:
-    return _predictions(w, "XGBoost")
+    return _predictions(w, "Boosting")
 
 
 @query("fit_gbt_tuned")
 def _(w: Workspace) -> DataFrame:
-    return _predictions(w, "XGBoost_Tuned")
+    return _predictions(w, "Boosting_Tuned")
+
+
+#: Features of the checked splits; bins hold all their values.
+SPLIT_FEATURES = [
+    "neighbourhood_group_median_price", "minimum_nights", "calculated_host_listings_count", "name_length", "number_of_reviews",
+]
+SPLIT_PENALTIES = {"none": bo.Penalties(l2=0.0), "all": bo.Penalties(l1=500.0, l2=250.0, leaf=100.0, min_rows=50)}
+
+
+@query("boost_splits")
+def _(w: Workspace) -> DataFrame:
+    """The first split of one boosting round of depth 1, without and with penalties."""
+    rows = w.train.select("price", F.array(*[F.col(c).cast("double") for c in SPLIT_FEATURES]).alias("features"))
+    found = []
+    for name, penalties in SPLIT_PENALTIES.items():
+        tree = bo.PenalisedBoosting(rounds=1, step=1.0, depth=1, penalties=penalties).fit(rows).trees[0]
+        if tree.feature[0] >= 0:
+            found.append((name, SPLIT_FEATURES[tree.feature[0]], tree.threshold[0], tree.gain[0], *tree.value[1:]))
+    schema = "penalties string, feature string, threshold double, gain double, left_value double, right_value double"
+    splits = literal_table(w.spark, found, schema)
+    return splits.withColumns({c: half_up(F.col(c), 3) for c in ("gain", "left_value", "right_value")})
 
 
 @query("evaluate")

@@ -715,6 +715,36 @@ add(
     f"""select {rnd("regr_slope(price, neighbourhood_median_price)", 4)} as slope,
   {rnd("regr_intercept(price, neighbourhood_median_price)", 4)} as intercept from train""",
 )
+SPLIT_COLUMNS = (
+    "neighbourhood_group_median_price", "minimum_nights", "calculated_host_listings_count", "name_length", "number_of_reviews",
+)
+
+
+def split_search(name: str, l1: float, l2: float, leaf: float, least: int) -> str:
+    """Best split of all features by second-order gain, squared error around the mean."""
+    shrunk = lambda g: f"(sign({g}) * greatest(abs({g}) - {l1}, 0))"
+    score = lambda g, n: f"({shrunk(g)} ** 2 / ({n} + {l2}))"
+    value = lambda g, n: f"(-{shrunk(g)} / ({n} + {l2}))"
+    return f"""(select '{name}' as penalties, feature, threshold, {rnd("gain", 3)} as gain,
+  {rnd(value("gl", "nl"), 3)} as left_value, {rnd(value("g - gl", "n - nl"), 3)} as right_value
+  from (select *, ({score("gl", "nl")} + {score("g - gl", "n - nl")} - {score("g", "n")}) / 2 - {leaf} as gain
+    from sides where nl >= {least} and n - nl >= {least}) where gain > 0
+  order by gain desc, place, threshold limit 1)"""
+
+
+add(
+    "boost_splits",
+    ML
+    + ", long as ("
+    + " union all ".join(
+        f"select {i} as place, '{c}' as feature, cast({c} as double) as x, (select avg(price) from train) - price as g0 from train"
+        for i, c in enumerate(SPLIT_COLUMNS)
+    )
+    + """), per_value as (select place, feature, x as threshold, sum(g0) as gv, count(*) as nv from long group by all),
+sides as (select *, sum(gv) over w as gl, sum(nv) over w as nl, sum(gv) over (partition by place) as g,
+  sum(nv) over (partition by place) as n from per_value window w as (partition by place order by threshold))""",
+    f"select * from {split_search('none', 0, 0, 0, 1)} union all select * from {split_search('all', 500, 250, 100, 50)}",
+)
 
 PREPARED = ", ".join(
     [

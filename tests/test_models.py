@@ -57,7 +57,7 @@ def test_models_beat_the_mean_and_survive_saving(spark, workspace):
     for name, estimator in ml.model_set(rounds=3, trees=5).items():
         fitted = ml.fit(workspace.train, estimator, pre)
         assert ml.evaluate(fitted.transform(workspace.train)).first()["rmse"] < base, name
-        if name == "XGBoost":
+        if name == "Boosting_Tuned":
             metrics = ml.evaluate(fitted.transform(workspace.test)).withColumn("model", F.lit(name))
             path = ml.save_model(fitted, metrics, new_path(spark, "test-model"))
             a = fitted.transform(workspace.test).select("id", "prediction")
@@ -88,7 +88,10 @@ def test_missing_model(spark):
 
 def test_default_model_sizes():
     assert ml.forest_model().getNumTrees() == 200 and ml.forest_model().getMaxDepth() == 15
-    assert ml.gbt_model().getMaxIter() == 300 and ml.gbt_tuned_model().getMaxIter() == 500
+    growth, tuned = ml.gbt_model().growth, ml.gbt_tuned_model().growth
+    assert (growth.rounds, growth.step, growth.depth, growth.row_share, growth.column_share) == (300, 0.05, 6, 0.8, 0.8)
+    assert (tuned.rounds, tuned.step, tuned.depth, tuned.row_share, tuned.column_share) == (500, 0.02, 5, 0.75, 0.75)
+    assert tuned.penalties == ml.Penalties(l1=0.1, l2=1.5, leaf=0.1, min_rows=5)
 
 
 GOOD = dict(
@@ -181,6 +184,6 @@ def test_registered_models_are_full_size_and_fitted_once(spark, folder, monkeypa
     for name in ("fit_forest", "fit_gbt", "fit_gbt_tuned", "feature_importance", "model_report", "train_all"):
         QUERIES[name](spark, folder)
     # Names of parameters instead of uids, as every estimator has its own.
-    sizes = lambda e: {p.name: v for p, v in e.extractParamMap().items()}
+    sizes = lambda e: {p.name: v for p, v in e.extractParamMap().items()} | {"growth": getattr(e, "growth", None)}
     assert sorted(map(str, map(sizes, asked))) == sorted(map(str, map(sizes, ml.model_set().values())))
     assert folds == [5]
