@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stayscope.functions.numeric import row_count
 from stayscope.operators.lookup import attach
 from stayscope.sources.literal import literal_table
+from stayscope.sources.staging import stage
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, *extra: Column) -> DataFrame:
@@ -30,19 +31,62 @@ def value_counts(df: DataFrame, keys: list[str], value: str, *extra: Column) ->
     )
 
 
-def quantiles_from_counts(
-    counts: DataFrame, keys: list[str], value: str, probs: dict[str, float], *extra: Column
-) -> DataFrame:
-    """Linearly interpolated quantiles per key from (keys, value, n).
+#: Rows of (keys, value, n) up to which a group's running counts may be one task's work.
+RANGE_ROWS = 1_000_000
 
-    The running count over sorted distinct values spills to disk if it must, and the final
-    grouping reuses the window's partitioning.
+
+def running_counts(counts: DataFrame, keys: list[str], value: str, limit: int = RANGE_ROWS) -> DataFrame:
+    """(keys, value, n) with ``_upto``, rows of the key up to the value, and ``_total``, all its rows.
+
+    ``counts`` is written first, so its size is known. Up to ``limit`` rows it is a window per key. A larger
+    table is cut into ranges of (keys, value) of about ``limit`` rows: running counts within
+    a range, plus what the key has in the ranges before. A key in several ranges is the last of one and
+    the first of the next, so the table of these offsets has at most two rows per range and is
+    broadcast. Null keys are a group of their own.
     """
+    counts = stage(counts, "value-counts")
+    many = counts.limit(limit + 1).count() > limit
+    if many:
+        ranges = 2 * math.ceil(counts.count() / limit)
+        dealt = counts.repartitionByRange(ranges, *keys, value).withColumn("_range", F.spark_partition_id())
+        counts = stage(dealt, "value-ranges")
+        keys = [*keys, "_range"]
     by = Window.partitionBy(*keys)
     upto = by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_upto", F.sum("n").over(upto)).withColumn(
-        "_total", F.sum("n").over(by)
+    ranked = counts.withColumn("_upto", F.sum("n").over(upto)).withColumn("_total", F.sum("n").over(by))
+    return _joined_ranges(ranked, counts, keys[:-1]) if many else ranked
+
+
+def _joined_ranges(ranked: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Running counts within ranges turned into those within keys."""
+    by = Window.partitionBy(*keys)
+    before = by.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spread = (
+        counts.groupBy(*keys, "_range")
+        .agg(F.sum("n").alias("_in_range"))
+        .withColumn("_before", F.coalesce(F.sum("_in_range").over(before), F.lit(0)))
+        .withColumn("_whole", F.sum("_in_range").over(by))
+        .where(F.col("_whole") != F.col("_in_range"))
+        .select(F.struct(F.lit(0), *keys).alias("_key"), F.col("_range").alias("_at"), "_before", "_whole")
     )
+    same = (F.col("_range") == F.col("_at")) & F.struct(F.lit(0), *keys).eqNullSafe(F.col("_key"))
+    return (
+        ranked.join(F.broadcast(spread), same, "left")
+        .withColumn("_upto", F.col("_upto") + F.coalesce("_before", F.lit(0)))
+        .withColumn("_total", F.coalesce("_whole", "_total"))
+        .drop("_key", "_at", "_before", "_whole", "_range")
+    )
+
+
+def quantiles_from_counts(
+    counts: DataFrame, keys: list[str], value: str, probs: dict[str, float], *extra: Column, limit: int = RANGE_ROWS
+) -> DataFrame:
+    """Linearly interpolated quantiles per key from (keys, value, n).
+
+    A key's values beyond ``limit`` are counted by ranges (``running_counts``); what follows is a
+    grouping with partial results in the tasks, so no task takes a whole large key.
+    """
+    ranked = running_counts(counts, keys, value, limit)
     v = F.col(value).cast("double")
     aggs, parts = [], []
     for name, p in probs.items():
@@ -68,21 +112,11 @@ def weighted_mean(value: str) -> Column:
     return F.sum(F.col(value) * F.col("n")) / F.sum("n")
 
 
-def percent_rank_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def percent_rank_table(df: DataFrame, keys: list[str], value: str, limit: int = RANGE_ROWS) -> DataFrame:
     """(keys, value, n, percent_rank): SQL PERCENT_RANK worked out once per distinct value."""
-    by = Window.partitionBy(*keys)
-    before = by.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(by)
-    return (
-        value_counts(df, keys, value)
-        .withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("_total", total)
-        .withColumn(
-            "percent_rank",
-            F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(0.0),
-        )
-        .drop("_before", "_total")
-    )
+    rank = F.when(F.col("_total") > 1, (F.col("_upto") - F.col("n")) / (F.col("_total") - 1)).otherwise(0.0)
+    ranked = running_counts(value_counts(df, keys, value), keys, value, limit)
+    return ranked.withColumn("percent_rank", rank).drop("_upto", "_total")
 
 
 def with_percent_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:

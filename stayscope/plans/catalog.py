@@ -396,8 +396,14 @@ def _(w: Workspace) -> DataFrame:
 
 @query("cross_validate_linear")
 def _(w: Workspace) -> DataFrame:
-    """One-feature linear model, refitted per fold."""
-    return ml.cross_validate(w.train, ml.linear_model(), fit_fn=_fit_on_area_median)
+    """One-feature linear model, all folds from one pass."""
+    return ml.cross_validate_least_squares(w.train, ["neighbourhood_median_price"])
+
+
+@query("cross_validate_least_squares")
+def _(w: Workspace) -> DataFrame:
+    """Two features, all folds from one pass."""
+    return ml.cross_validate_least_squares(w.train, ["neighbourhood_median_price", "minimum_nights"])
 
 
 @query("cv_summary")

@@ -794,6 +794,18 @@ add(
   {rnd("sqrt(avg((t.price - k * t.neighbourhood_median_price - d) ** 2))", 2)} as rmse
 from train t join line on line.fold = t.fold group by 1""",
 )
+add(
+    "cross_validate_least_squares",
+    ML
+    + """, z as (select *, cast(neighbourhood_median_price as double) as x1, cast(minimum_nights as double) as x2 from train),
+c as (select k.fold, var_pop(x1) as c11, var_pop(x2) as c22, covar_pop(x1, x2) as c12, covar_pop(x1, price) as c1y,
+  covar_pop(x2, price) as c2y, avg(x1) as m1, avg(x2) as m2, avg(price) as my
+  from range(5) k(fold) join z on z.fold <> k.fold group by 1),
+line as (select *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) as b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) as b2 from c)""",
+    f"""select cast(z.fold as int) as fold,
+  {rnd("sqrt(avg((price - my - b1 * (x1 - m1) - b2 * (x2 - m2)) ** 2))", 2)} as rmse
+from z join line on line.fold = z.fold group by 1""",
+)
 RIVALS = {
     "Borough": "neighbourhood_group_median_price",
     "Area": "neighbourhood_median_price",

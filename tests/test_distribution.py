@@ -174,3 +174,45 @@ def test_results_do_not_depend_on_partitioning(skewed):
     a = d.quantiles(df.repartition(1), ["k"], "v", {"m": 0.5})
     b = d.quantiles(df.repartition(13), ["k"], "v", {"m": 0.5})
     assert a.exceptAll(b).count() == 0
+
+
+@pytest.fixture(scope="module")
+def spread(spark):
+    """One group with half of the rows, nearly all values different; a null group, repeats, a small group."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("g"), F.col("id") % 11)).alias("g"),
+        F.when(F.col("id") % 5 == 0, 77).otherwise((F.xxhash64("id") % 1_000_000)).cast("double").alias("x"),
+    )
+    return rows.union(spark.createDataFrame([("lone", 3.0)], "g string, x double")).cache()
+
+
+def test_large_groups_are_counted_by_ranges(spread):
+    limit = 2_000
+    counts = d.value_counts(spread, ["g"], "x")
+    ranked = d.running_counts(counts, ["g"], "x", limit)
+    plain = d.running_counts(counts, ["g"], "x")
+    assert sorted(map(tuple, ranked.collect()), key=str) == sorted(map(tuple, plain.select(ranked.columns).collect()), key=str)
+    assert counts.where("g = 'hot'").count() > 7 * limit
+    # The window's groups are the ranges of a key; none reaches the limit.
+    dealt = ranked.groupBy("g", F.spark_partition_id().alias("task")).count().where("g = 'hot'")
+    assert dealt.count() > 3
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_quantiles_and_ranks_by_ranges(spread):
+    got = d.quantiles_from_counts(d.value_counts(spread, ["g"], "x"), ["g"], "x", {"q": 0.37, "m": 0.5}, limit=1_500)
+    want = spread.groupBy("g").agg(F.percentile("x", 0.37).alias("q"), F.percentile("x", 0.5).alias("m"))
+    key = lambda r: str(r["g"])
+    for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert a["g"] == b["g"] and (a["q"], a["m"]) == pytest.approx((b["q"], b["m"]))
+    ranks = d.percent_rank_table(spread, ["g"], "x", limit=1_500)
+    plain = d.percent_rank_table(spread, ["g"], "x")
+    assert ranks.count() == plain.count() and ranks.exceptAll(plain.select(ranks.columns)).count() == 0
+
+
+def test_no_keys_and_no_rows(spread):
+    counts = d.value_counts(spread, [], "x")
+    a, b = (d.running_counts(counts, [], "x", n) for n in (3_000, 10**6))
+    assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
+    assert d.running_counts(counts.limit(0), [], "x", 5).count() == 0

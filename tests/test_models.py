@@ -187,3 +187,26 @@ def test_registered_models_are_full_size_and_fitted_once(spark, folder, monkeypa
     sizes = lambda e: {p.name: v for p, v in e.extractParamMap().items()} | {"growth": getattr(e, "growth", None)}
     assert sorted(map(str, map(sizes, asked))) == sorted(map(str, map(sizes, ml.model_set().values())))
     assert folds == [5]
+
+
+def test_least_squares_folds_equal_refitting(workspace):
+    """Every fold from one pass equals a model refitted on the other folds' rows."""
+    columns = ["neighbourhood_median_price", "minimum_nights", "availability_365"]
+    got = ml.cross_validate_least_squares(workspace.train, columns).collect()
+
+    def refit(train, estimator):
+        from pyspark.ml.feature import VectorAssembler
+
+        pre = VectorAssembler(inputCols=columns, outputCol="features")
+        return ml.PipelineModel([pre, estimator.fit(pre.transform(train))])
+
+    want = ml.cross_validate(workspace.train, ml.linear_model(), fit_fn=refit).collect()
+    assert [(r["fold"], r["rmse"]) for r in got] == sorted((r["fold"], r["rmse"]) for r in want)
+
+
+def test_least_squares_odd_rows(spark):
+    rows = [(i, float(i % 7) + 1e9, 5.0, None if i % 10 == 0 else 3.0 * (i % 7) + 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, same double, price double")
+    # Large means, a constant column and missing labels: the line is still found exactly.
+    assert {r["rmse"] for r in ml.cross_validate_least_squares(df, ["x", "same"]).collect()} == {0.0}
+    assert {r["rmse"] for r in ml.cross_validate_least_squares(df.limit(0), ["x"]).collect()} == {None}
