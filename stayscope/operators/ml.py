@@ -20,7 +20,7 @@ from stayscope.functions.numeric import half_up, hash_bucket
 from stayscope.operators.boosting import PenalisedBoosting, Penalties
 from stayscope.operators.distribution import histogram, quantiles_from_counts
 from stayscope.operators.lookup import attach
-from stayscope.schema import CATEGORICAL_FEATURES, MODEL_VERSION, NUMERIC_FEATURES, TARGET
+from stayscope.schema import CATEGORICAL_FEATURES, DEFAULT_DAYS_SINCE_REVIEW, MODEL_VERSION, NUMERIC_FEATURES, TARGET
 from stayscope.sources.staging import new_path, shared_folder, stage
 from stayscope.sources.literal import literal_table
 
@@ -411,7 +411,7 @@ def train_all(
     scored = stage(fitted[best].transform(test).drop("features"), "scored")
     cv = stage(cross_validate(train, models[best], folds), "cv")
     path = new_path(spark, "model")
-    save_model(fitted[best], comparison.where(F.col("is_best") == 1), path)
+    save_model(fitted[best], comparison.where(F.col("is_best") == 1), path, train)
     return {
         "models": fitted,
         "comparison": comparison,
@@ -429,13 +429,32 @@ def train_all(
 # ---- Saved models ----
 
 
-def save_model(model: PipelineModel, metrics: DataFrame, path: str) -> str:
-    """Pipeline and its one-row metrics (model, rmse, mae, r2) side by side."""
+#: Saved with a model, besides its name and metrics.
+_FACTS = "model string, rmse double, mae double, r2 double, version string, mean_days_since_review double"
+
+
+def save_model(model: PipelineModel, metrics: DataFrame, path: str, train: DataFrame | None = None, release: int = 1) -> str:
+    """Pipeline and its one-row metrics (model, rmse, mae, r2) side by side.
+
+    The version is the model's name in small letters with the release; the mean days since a review
+    are those of ``train``, which scoring takes for requests.
+    """
     model.write().overwrite().save(f"{path}/pipeline")
-    metrics.select("model", "rmse", "mae", "r2").write.mode("overwrite").json(f"{path}/metadata")
+    days = F.lit(None).cast("double") if train is None else train.agg(F.avg("days_since_last_review")).scalar()
+    facts = metrics.select(
+        "model", "rmse", "mae", "r2", F.concat(F.lower("model"), F.lit(f"_v{release}")).alias("version"), days.alias("mean_days_since_review")
+    )
+    facts.write.mode("overwrite").json(f"{path}/metadata")
     return path
 
 
+def model_facts(spark: SparkSession, path: str) -> dict:
+    """Name, metrics, version and mean days since a review of a saved model."""
+    facts = spark.read.schema(_FACTS).json(f"{path}/metadata").first().asDict()
+    missing = facts["mean_days_since_review"] is None
+    return facts | ({"mean_days_since_review": DEFAULT_DAYS_SINCE_REVIEW} if missing else {})
+
+
 def load_model(path: str) -> PipelineModel:
     try:
         return PipelineModel.load(f"{path}/pipeline")

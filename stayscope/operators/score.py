@@ -19,6 +19,7 @@ from stayscope.operators.features import (
     superhost_flag,
 )
 from stayscope.operators.lookup import attach
+from stayscope.operators.ml import load_model, model_facts
 from stayscope.schema import (
     BOROUGH_MEDIANS,
     BOROUGHS,
@@ -152,9 +153,18 @@ def score(
     medians: tuple[DataFrame, DataFrame],
     predict: Callable[[DataFrame], DataFrame],
     mae: float = MODEL_MAE,
+    version: str = MODEL_VERSION,
     **feature_options,
 ) -> DataFrame:
     """Responses for valid requests. ``predict`` adds a ``prediction`` column, for example
     ``load_model(path).transform``."""
     features = scoring_features(requests, medians, **feature_options)
-    return price_response(predict(features), mae=mae)
+    return price_response(predict(features), mae=mae, version=version)
+
+
+def score_saved(requests: DataFrame, medians: tuple[DataFrame, DataFrame], path: str) -> DataFrame:
+    """Responses of a saved model: version, price range and mean days since a review are its own."""
+    facts = model_facts(requests.sparkSession, path)
+    return score(
+        requests, medians, load_model(path).transform, facts["mae"], facts["version"], days_since_review=facts["mean_days_since_review"]
+    )

@@ -470,18 +470,30 @@ def _(w: Workspace) -> DataFrame:
     return _flat(sc.score(valid, w.medians, _median_predictor))
 
 
-@query("score_stream")
-def _(w: Workspace) -> DataFrame:
-    """The same requests as files of a stream, scored until none is left."""
+def _streamed(w: Workspace) -> tuple[str, str]:
+    """The same requests as files of a stream, scored until none is left: both outputs."""
     from stayscope.streaming.scoring import read_requests, start_scoring
 
     source = writers.save_table(w.requests, new_path(w.spark, "request-files"))
     out, rejected, state = (new_path(w.spark, n) for n in ("responses", "rejected", "stream-state"))
-    for q in start_scoring(
-        read_requests(w.spark, source), w.medians, _median_predictor, out, rejected, state, BOROUGH_NAMES
-    ):
-        q.awaitTermination()
-    return _flat(w.spark.read.parquet(out))
+    stream = read_requests(w.spark, source)
+    start_scoring(stream, w.medians, _median_predictor, out, rejected, state, BOROUGH_NAMES).awaitTermination()
+    return out, rejected
+
+
+@query("score_stream")
+def _(w: Workspace) -> DataFrame:
+    from stayscope.streaming.scoring import read_written
+
+    return _flat(read_written(w.spark, _streamed(w)[0]))
+
+
+@query("score_stream_rejected")
+def _(w: Workspace) -> DataFrame:
+    from stayscope.streaming.scoring import read_written
+
+    rejected = read_written(w.spark, _streamed(w)[1])
+    return rejected.select("request_id", F.concat_ws("|", "violations").alias("violations"))
 
 
 @query("score_model")
@@ -490,3 +502,13 @@ def _(w: Workspace) -> DataFrame:
     valid, _ = sc.validate_requests(w.requests, BOROUGH_NAMES)
     model = ml.fit(w.train, ml.linear_model())
     return _flat(sc.score(valid, w.medians, model.transform))
+
+
+@query("score_saved")
+def _(w: Workspace) -> DataFrame:
+    """A line on the area median, saved with its facts; the answers come from what was loaded."""
+    valid, _ = sc.validate_requests(w.requests, BOROUGH_NAMES)
+    line = _fit_on_area_median(w.train, ml.linear_model())
+    facts = ml.evaluate(line.transform(w.test)).withColumn("model", F.lit("Line"))
+    path = ml.save_model(line, facts, new_path(w.spark, "scored-model"), w.train)
+    return _flat(sc.score_saved(valid, w.medians, path))

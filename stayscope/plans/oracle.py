@@ -884,6 +884,24 @@ add(
     SCORED,
     f"select request_id, {names(CATEGORICAL_FEATURES + NUMERIC_FEATURES)} from ready",
 )
+add(
+    "score_saved",
+    ML + SCORED.removeprefix(CLEAN)
+    + f""", line as (select regr_slope(price, neighbourhood_median_price) as k,
+  regr_intercept(price, neighbourhood_median_price) as d from train),
+fact as (select {rnd("avg(abs(price - k * neighbourhood_median_price - d))", 2)} as mae from test, line),
+priced_requests as (
+  select *, {rnd("greatest(10, least(k * neighbourhood_median_price + d, 799))", 2)} as p from ready, line, fact)""",
+    f"""select request_id, p as predicted_price, {rnd("greatest(10, p - mae)", 2)} as price_range_low,
+  {rnd("least(799, p + mae)", 2)} as price_range_high, 'USD' as currency,
+  'line_v1' as model_version, neighbourhood_group as borough, neighbourhood, room_type,
+  minimum_nights as min_nights from priced_requests""",
+)
+add(
+    "score_stream_rejected",
+    REQUESTS,
+    f"select request_id, concat_ws('|', {VIOLATIONS}) as violations from asked where concat_ws('|', {VIOLATIONS}) <> ''",
+)
 for key in ("score", "score_stream"):
     add(
         key,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from stayscope.operators.score import score, validate_requests
-from stayscope.schema import BOROUGHS, MODEL_MAE, REQUEST_SCHEMA, ROOM_TYPES
+from stayscope.schema import BOROUGHS, REQUEST_SCHEMA, ROOM_TYPES
 
 
 def read_requests(
@@ -32,23 +32,29 @@ def start_scoring(
     checkpoint: str,
     boroughs: list[str] = BOROUGHS,
     room_types: list[str] = ROOM_TYPES,
-    mae: float = MODEL_MAE,
     available_now: bool = True,
-) -> list[StreamingQuery]:
-    """Start both sinks: responses of valid requests and rejected requests.
+    **score_options,
+) -> StreamingQuery:
+    """One query, one read of the source: responses of valid requests, and rejected requests.
 
-    File sinks commit each batch once, so a restarted query repeats nothing. The saved
-    median tables are joined as static tables.
+    Every micro-batch is written under its number, over what an earlier attempt at the same batch
+    left, so a repeated batch changes neither output. ``read_written`` reads them. The saved median
+    tables are joined as static tables.
     """
-    valid, rejected = validate_requests(requests, boroughs, room_types)
-    responses = score(valid, medians, predict, mae=mae)
-    queries = []
-    for df, path, name in ((responses, out, "responses"), (rejected, rejected_out, "rejected")):
-        writer = (
-            df.writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", path)
-            .option("checkpointLocation", f"{checkpoint}/{name}")
-        )
-        queries.append((writer.trigger(availableNow=True) if available_now else writer).start())
-    return queries
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            valid, rejected = validate_requests(batch, boroughs, room_types)
+            for df, path in ((score(valid, medians, predict, **score_options), out), (rejected, rejected_out)):
+                df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of an output of ``start_scoring``."""
+    return spark.read.parquet(path).drop("batch")
