@@ -125,14 +125,14 @@ class PlaneReader:
 
     def __iter__(self) -> Iterator[bytes]:
         """Ids of the documents in order."""
-        number, held = 0, b""
+        number, held, at = 0, b"", 0
         for n in self.documents.column("n").to_pylist():
             parts, missing = [], 4 * n
             while missing:
-                if not held:
-                    held, number = self.block(number).tobytes(), number + 1
-                parts.append(held[:missing])
-                held = held[missing:]
+                if at == len(held):
+                    held, number, at = self.block(number).tobytes(), number + 1, 0
+                parts.append(held[at : at + missing])
+                at += len(parts[-1])
                 missing -= len(parts[-1])
             yield b"".join(parts)
 
@@ -266,7 +266,7 @@ def _added_tokens(definition: str):
     return re.compile("|".join(parts)), {f"t{n}": t["id"].to_bytes(4, "little") for n, t in enumerate(tokens)}
 
 
-def tokenizer_encoder(definition: str, pattern: str, cached: int = 600_000):
+def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
     """Encoder of a byte-level BPE definition (JSON) of the tokenizers library, for ``write_ids``.
 
     ``pattern`` is the one by which the definition's pre-tokenizer splits. The library's model
