@@ -428,17 +428,13 @@ def _(w: Workspace) -> DataFrame:
 
 @query("train_all")
 def _(w: Workspace) -> DataFrame:
-    return ml.train_all(w.ml_rows, fitted={name: w.model(name) for name in ml.model_set()})["comparison"]
+    return w.trained["comparison"]
 
 
 @query("model_report")
 def _(w: Workspace) -> DataFrame:
-    forest, linear = w.model("RandomForest"), w.model("LinearRegression")
-    compared = ml.compare_models(
-        [(n, ml.evaluate(m.transform(w.test))) for n, m in (("Linear", linear), ("Forest", forest))]
-    )
-    folds = ml.cross_validate_median(w.train, "neighbourhood")
-    return ml.model_report(compared, folds, ml.feature_importance(w.spark, forest))
+    """All four models, and the winner's folds and importances."""
+    return ml.model_report(*[w.trained[part] for part in ("comparison", "cv", "importance")])
 
 
 # ---- Scoring ----

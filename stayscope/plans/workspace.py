@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayscope.operators import ml
 from stayscope.operators.clean import clean
 from stayscope.operators.features import area_medians, engineer_features
 from stayscope.operators.ml import PipelineModel, fit, fit_preprocessor, model_set, train_test_split
@@ -22,6 +23,7 @@ class Workspace:
         self.spark, self.folder = spark, folder
         self._tables: dict[str, DataFrame] = {}
         self._models: dict[str, PipelineModel] = {}
+        self._trained: dict | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> "Workspace":
@@ -80,6 +82,13 @@ class Workspace:
             self._models[name] = fit(self.train, model_set()[name], fit_preprocessor(self.train))
         return self._models[name]
 
+    @property
+    def trained(self) -> dict:
+        """Comparison of the four models, and the winner's folds, importances and saved form."""
+        if self._trained is None:
+            self._trained = ml.train_all(self.ml_rows, fitted={name: self.model(name) for name in model_set()})
+        return self._trained
+
     @property
     def requests(self) -> DataFrame:
         """Every raw listing as a scoring request. One in thirteen keeps a padded borough, so
