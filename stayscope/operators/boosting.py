@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayscope.sources.staging import Scratch
@@ -295,6 +295,12 @@ class Growth:
         return parts, state.unpersist()
 
 
+def _as_array(dataset: DataFrame, column: str) -> Column:
+    """Features as an array, from a vector or an array."""
+    is_vector = isinstance(dataset.schema[column].dataType, VectorUDT)
+    return vector_to_array(F.col(column)) if is_vector else F.col(column)
+
+
 class BoostedTrees(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     """Fitted trees; saved and loaded like any other stage."""
 
@@ -333,9 +339,7 @@ class BoostedTrees(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadabl
 
             return pd.Series(base + added(trees, np.stack(x.to_numpy()).reshape(-1, features), False))
 
-        column = F.col(self.getFeaturesCol())
-        as_array = vector_to_array(column) if dataset.schema[self.getFeaturesCol()].dataType.typeName() == "vector" else column
-        return dataset.withColumn(self.getPredictionCol(), predict(as_array))
+        return dataset.withColumn(self.getPredictionCol(), predict(_as_array(dataset, self.getFeaturesCol())))
 
 
 class PenalisedBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
@@ -363,9 +367,7 @@ class PenalisedBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
 
     def _rows(self, dataset: DataFrame, fold, scratch: Scratch) -> tuple[DataFrame, list[list[float]]]:
         """Training rows, written, and the edges of their features' bins."""
-        column = self.getFeaturesCol()
-        x = vector_to_array(F.col(column)) if dataset.schema[column].dataType.typeName() == "vector" else F.col(column)
-        y = F.col(self.getLabelCol())
+        x, y = _as_array(dataset, self.getFeaturesCol()), F.col(self.getLabelCol())
         rows = dataset.where(y.isNotNull()).select(
             F.monotonically_increasing_id().alias("row"), y.cast("double").alias("y"), fold.cast("int").alias("fold"), x.cast("array<double>").alias("x")
         )
