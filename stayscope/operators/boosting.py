@@ -1,21 +1,24 @@
 """Gradient boosting with leaf penalties: second-order trees over binned columns.
 
-Every level of a tree is one pass, for all models that grow together (the folds of a cross-validation): tasks add up gradients and row counts per node, feature and bin, Spark
-sums these over the tasks, and the driver picks splits from a table whose size depends on nodes, features and bins
-alone. L1, L2 and a cost per leaf enter the gain of splits and the leaf values; rows and columns are drawn
-anew for each tree by hashes. Predictions so far are written with the rows every few rounds, so a
-pass adds up only the trees since then, and a lost executor costs a re-read.
+All rounds are one barrier stage. Its tasks keep their binned rows and predictions in files of their own. At every
+level of a tree, for all models that grow together (the folds of a cross-validation), they add up gradients and row
+counts per node, feature and bin, exchange these tables, whose size does not depend on the rows, and pick the same
+splits. L1, L2 and a cost per leaf enter the gain of splits and the leaf values; rows and columns are drawn
+anew for each tree by hashes. A lost task costs the stage.
 """
 
 from __future__ import annotations
 
+import base64
 import json
-from collections.abc import Iterator
+import math
+import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import BarrierTaskContext, TaskContext, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, VectorUDT
@@ -28,6 +31,9 @@ from pyspark.sql import functions as F
 from stayscope.sources.staging import Scratch
 
 BINS = 256
+#: Rows of a growing model that are worth a task, the tasks that exchange sums at most, rows worked on at a
+#: time, and bytes of sums that reach a task in one exchange.
+TASK_ROWS, MOST_TASKS, BLOCK_ROWS, EXCHANGED = 100_000, 32, 65_536, 8_000_000
 
 
 def shrunk(gradient, l1: float):
@@ -98,29 +104,10 @@ def bin_edges(rows: DataFrame, features: int, bins: int = BINS) -> list[list[flo
     return [sorted(set(edges[f"e{i}"] or [0.0]))[-bins:] for i in range(features)]
 
 
-def _binned(edges: list[list[float]]):
-    sorted_edges = [np.array(e) for e in edges]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _table(batch["x"], len(edges))
-            bins = np.empty(x.shape, np.uint8)
-            for i, e in enumerate(sorted_edges):
-                bins[:, i] = np.minimum(np.searchsorted(e, x[:, i]), len(e) - 1)
-            packed = pa.array([row.tobytes() for row in bins], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch[c] for c in _STATE[:3]] + [packed, batch["margins"]], _STATE)
-
-    return run
-
-
 def _table(lists: pa.Array, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _unpacked(batch: pa.RecordBatch, features: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(-1, features)
-
-
 def _drawn(rows: np.ndarray, seed: int, share: float) -> np.ndarray:
     """Whether each row is drawn for a tree, by a hash of its number."""
     h = (rows.astype(np.uint64) + np.uint64(seed * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -135,62 +122,114 @@ class _Part:
     held_out: int | None
     base: float = 0.0
     trees: list[Tree] = field(default_factory=list)
-    #: Trees that the written predictions lack, the tree that grows, and its nodes that may split.
-    since: list[Tree] = field(default_factory=list)
+    #: The tree that grows, and its nodes that may split.
     tree: Tree | None = None
     active: list[int] = field(default_factory=list)
 
 
-def _sums(parts: list[_Part], features: int, seed: int, share: float):
-    """Task function: (slot, g, n) of all active nodes; a slot is a node's place, a feature and a bin."""
-    places = sum(len(p.active) for p in parts)
-    work, first = [], 0
-    for at, p in enumerate(parts):
-        where = np.full(len(p.tree.feature), -1)
-        where[p.active] = np.arange(first, first + len(p.active))
-        first += len(p.active)
-        if p.active:
-            work.append((at, p.held_out, p.since, p.tree, where))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros(places * features * BINS)
-        n = np.zeros(places * features * BINS, np.int64)
-        for batch in batches:
-            bins, y, fold = _unpacked(batch, features), batch["y"].to_numpy(), batch["fold"].to_numpy()
-            margins, drawn = _table(batch["margins"], len(parts)), _drawn(batch["row"].to_numpy(), seed, share)
-            for at, held_out, since, tree, where in work:
-                keep = drawn if held_out is None else drawn & (fold != held_out)
-                node = where[tree.leaves(bins, tree.bin)]
-                keep = keep & (node >= 0)
-                own, node = bins[keep], node[keep]
-                gradient = margins[keep, at] - y[keep] + added(since, own, True)
-                for f in range(features):
-                    slot = (node * features + f) * BINS + own[:, f]
-                    g += np.bincount(slot, gradient, len(g))
-                    n += np.bincount(slot, minlength=len(n))
-        slot = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"slot": slot, "g": g[slot], "n": n[slot]})
-
-    return run
-
-
-def _moved_on(parts: list[_Part], features: int):
-    """Task function: rows with the trees' values added to what is predicted so far."""
-    since = [p.since for p in parts]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins, margins = _unpacked(batch, features), _table(batch["margins"], len(since)).copy()
-            for at, trees in enumerate(since):
-                margins[:, at] += added(trees, bins, True)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1) * len(since), pa.int32()), pa.array(margins.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in _STATE[:4]], lists], _STATE)
-
-    return run
-
-
-_STATE = ["row", "y", "fold", "bins", "margins"]
-_STATE_TYPES = "row long, y double, fold int, bins binary, margins array<double>"
+class _Rows:
+    """A task's rows in files of ``folder``: row number, label, fold and bins, and each model's prediction and node."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], edges: list[list[float]], bases: list[float], folder: str):
+        self._folder, self.n, sorted_edges = folder, 0, [np.array(e) for e in edges]
+        with open(f"{folder}/row", "wb") as row, open(f"{folder}/y", "wb") as y, open(f"{folder}/fold", "wb") as fold, open(f"{folder}/bins", "wb") as bins:
+            for batch in batches:
+                x = _table(batch["x"], len(edges))
+                found = np.empty(x.shape, np.uint8)
+                for i, e in enumerate(sorted_edges):
+                    found[:, i] = np.minimum(np.searchsorted(e, x[:, i]), len(e) - 1)
+                self.n += len(x)
+                bins.write(found.tobytes())
+                row.write(batch["row"].to_numpy().astype(np.int64).tobytes())
+                y.write(batch["y"].to_numpy().astype(np.float64).tobytes())
+                fold.write(batch["fold"].to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+        self.row, self.y, self.fold = self._file("row", np.int64), self._file("y", np.float64), self._file("fold", np.int32)
+        self.bins = self._file("bins", np.uint8, len(edges))
+        self.margins = [self._file(f"margin{k}", np.float64) for k in range(len(bases))]
+        self.nodes = [self._file(f"node{k}", np.int32) for k in range(len(bases))]
+        for margins, base in zip(self.margins, bases):
+            margins[:] = base
+
+    def _file(self, name: str, kind, width: int | None = None) -> np.ndarray:
+        shape = (self.n,) if width is None else (self.n, width)
+        return np.memmap(f"{self._folder}/{name}", kind, "r+" if name in ("row", "y", "fold", "bins") else "w+", shape=shape) if self.n else np.empty(shape, kind)
+
+    def blocks(self) -> Iterator[slice]:
+        for start in range(0, self.n, BLOCK_ROWS):
+            yield slice(start, min(start + BLOCK_ROWS, self.n))
+
+    def move(self, k: int, tree: Tree, block: slice) -> np.ndarray:
+        """Rows that stand on a node which has split go on to its leaves; returns where the rows stand."""
+        feature, node = np.array(tree.feature), self.nodes[k][block]
+        rows = np.flatnonzero(feature[node] >= 0)
+        at = node[rows]
+        node[rows] = np.array(tree.left)[at] + (self.bins[block][rows, feature[at]] > np.array(tree.bin)[at])
+        return node
+
+    def sums(self, parts: list[_Part], columns: np.ndarray, seed: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients and row counts of all active nodes by place of the node, drawn column and bin."""
+        size = len(columns) * BINS
+        g, n, first = np.zeros(sum(len(p.active) for p in parts) * size), np.zeros(sum(len(p.active) for p in parts) * size, np.int64), 0
+        for k, p in enumerate(parts):
+            if not p.active:
+                continue
+            where, own = np.full(len(p.tree.feature), -1), slice(first, first + len(p.active) * size)
+            where[p.active] = np.arange(len(p.active))
+            for block in self.blocks():
+                place = where[self.move(k, p.tree, block)]
+                keep = _drawn(self.row[block], seed, share) & (place >= 0)
+                if p.held_out is not None:
+                    keep &= self.fold[block] != p.held_out
+                gradient = self.margins[k][block][keep] - self.y[block][keep]
+                slot = (place[keep, None] * len(columns) + np.arange(len(columns))) * BINS + self.bins[block][keep][:, columns]
+                g[own] += np.bincount(slot.ravel(), np.repeat(gradient, len(columns)), len(p.active) * size)
+                n[own] += np.bincount(slot.ravel(), minlength=len(p.active) * size)
+            first = own.stop
+        return g, n
+
+    def add(self, k: int, tree: Tree) -> None:
+        """Add a grown tree's values to the predictions; the next tree starts at its root."""
+        values = np.array(tree.value)
+        for block in self.blocks():
+            self.margins[k][block] += values[self.move(k, tree, block)]
+            self.nodes[k][block] = 0
+
+    def errors(self, k: int, held_out: int | None) -> tuple[int, float]:
+        """Rows and squared errors of the fold that a model left out."""
+        n, total = 0, 0.0
+        for block in self.blocks():
+            own = self.fold[block] == (-1 if held_out is None else held_out)
+            n, total = n + int(own.sum()), total + float(((self.y[block] - self.margins[k][block])[own] ** 2).sum())
+        return n, total
+
+
+def _over_tasks(tasks: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Function that adds up tables of gradients and counts over the tasks of a barrier stage.
+
+    Every task adds them in the same order, so all hold the same sums. Long tables go in parts.
+    """
+    if tasks == 1:
+        return lambda g, n: (g, n)
+    context, step = BarrierTaskContext.get(), max(EXCHANGED // (22 * tasks), 1)
+
+    def add(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        all_g, all_n = np.zeros(len(g)), np.zeros(len(n), np.int64)
+        for first in range(0, len(g), step):
+            part_g, part_n = g[first : first + step], n[first : first + step]
+            slot = np.flatnonzero(part_n)
+            own = slot.astype("<u4").tobytes() + part_n[slot].astype("<u4").tobytes() + part_g[slot].astype("<f8").tobytes()
+            for message in context.allGather(base64.b64encode(own).decode()):
+                held = base64.b64decode(message)
+                size = len(held) // 16
+                at = np.frombuffer(held, "<u4", size).astype(np.int64) + first
+                all_n[at] += np.frombuffer(held, "<u4", size, 4 * size)
+                all_g[at] += np.frombuffer(held, "<f8", size, 8 * size)
+        return all_g, all_n
+
+    return add
+
+
+_GROWN = "part int, n long, sse double, trees string"
 
 
 @dataclass
@@ -239,23 +278,19 @@ class Growth:
     row_share: float = 1.0
     column_share: float = 1.0
     seed: int = 0
-    #: Rounds after which predictions are written with the rows.
-    rewrite: int = 25
-
-    def _split(self, parts: list[_Part], sums, edges: list[list[float]], columns: np.ndarray) -> None:
-        """Split the active nodes by the sums of a pass; their new leaves are the next active ones."""
-        features = len(edges)
-        total = sum(len(p.active) for p in parts) * features * BINS
-        g, n, slot = np.zeros(total), np.zeros(total), sums["slot"].to_numpy()
-        g[slot], n[slot] = sums["g"].to_numpy(), sums["n"].to_numpy()
-        g, n, place = g.reshape(-1, features, BINS), n.reshape(-1, features, BINS), 0
+
+    def _split(self, parts: list[_Part], g: np.ndarray, n: np.ndarray, edges: list[list[float]], columns: np.ndarray) -> None:
+        """Split the active nodes by their sums; their new leaves are the next active ones."""
+        sums, counts = np.zeros((len(edges), BINS)), np.zeros((len(edges), BINS))
+        g, n, place = g.reshape(-1, len(columns), BINS), n.reshape(-1, len(columns), BINS), 0
         for p in parts:
             following = []
             for node in p.active:
-                all_g, all_n = float(g[place, 0].sum()), float(n[place, 0].sum())
+                sums[columns], counts[columns] = g[place], n[place]
+                all_g, all_n = float(np.cumsum(sums[columns[0]])[-1]), float(counts[columns[0]].sum())
                 if node == 0:
                     p.tree.value[0] = self.step * self.penalties.value(all_g, all_n)
-                best = self.penalties.best_split(g[place], n[place], columns)
+                best = self.penalties.best_split(sums, counts, columns)
                 if best is not None:
                     gain, f, b, left_g, left_n = best
                     values = self.penalties.value(left_g, left_n), self.penalties.value(all_g - left_g, all_n - left_n)
@@ -264,35 +299,55 @@ class Growth:
                 place += 1
             p.active = following
 
-    def grow(self, rows: DataFrame, edges: list[list[float]], held_out: list[int | None], scratch: Scratch) -> tuple[list[_Part], DataFrame]:
+    def _task(self, parts: list[_Part], edges: list[list[float]], tasks: int):
+        """Task function: grows all models with the other tasks.
+
+        Returns rows and squared errors of the folds left out and, from the first task, the trees of a
+        model that leaves none out.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with tempfile.TemporaryDirectory() as folder:
+                rows, over_tasks = _Rows(batches, edges, [p.base for p in parts], folder), _over_tasks(tasks)
+                rng = np.random.default_rng(self.seed)
+                for k in range(self.rounds):
+                    columns = np.sort(rng.permutation(len(edges))[: max(1, round(self.column_share * len(edges)))])
+                    for p in parts:
+                        p.tree, p.active = Tree(), [0]
+                    for _ in range(self.depth):
+                        g, n = rows.sums(parts, columns, self.seed * 1_000_003 + k, self.row_share)
+                        self._split(parts, *over_tasks(g, n), edges, columns)
+                        if not any(p.active for p in parts):
+                            break
+                    for at, p in enumerate(parts):
+                        rows.add(at, p.tree)
+                        if p.held_out is None:
+                            p.trees.append(p.tree)
+                found = [rows.errors(at, p.held_out) for at, p in enumerate(parts)]
+            first = TaskContext.get().partitionId() == 0
+            trees = [json.dumps([asdict(t) for t in p.trees]) if first else None for p in parts]
+            columns = pa.array(range(len(parts)), pa.int32()), pa.array([n for n, _ in found]), pa.array([e for _, e in found]), pa.array(trees, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns), ["part", "n", "sse", "trees"])
+
+        return run
+
+    def grow(self, rows: DataFrame, edges: list[list[float]], held_out: list[int | None]) -> list[tuple[float, list[Tree], float | None]]:
         """Models of (row, y, fold, x) rows, one for each fold left out, all from the same passes.
 
-        Returns them and the rows with every model's predictions (``margins``).
+        Returns each one's first prediction, its trees if it leaves no fold out, and its RMSE on the fold
+        that it leaves out. The tasks run at the same time, so there are no more than the cluster has cores.
         """
-        means = rows.agg(*[F.avg(F.when(F.lit(k is None) | (F.col("fold") != (k or 0)), F.col("y"))) for k in held_out]).first()
-        parts = [_Part(k, base=m or 0.0) for k, m in zip(held_out, means)]
-        features, rng = len(edges), np.random.default_rng(self.seed)
-        first = F.array(*[F.lit(p.base) for p in parts]).alias("margins")
-        state = scratch.stage(rows.select("row", "y", "fold", "x", first).mapInArrow(_binned(edges), _STATE_TYPES), "binned").persist()
-        for k in range(self.rounds):
-            columns = np.sort(rng.permutation(features)[: max(1, round(self.column_share * features))])
-            for p in parts:
-                p.tree, p.active = Tree(), [0]
-            for _ in range(self.depth):
-                run = _sums(parts, features, self.seed * 1_000_003 + k, self.row_share)
-                sums = state.mapInArrow(run, "slot long, g double, n long").groupBy("slot")
-                self._split(parts, sums.agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toArrow(), edges, columns)
-                if not any(p.active for p in parts):
-                    break
-            for p in parts:
-                p.trees.append(p.tree)
-                p.since.append(p.tree)
-            if (k + 1) % self.rewrite == 0 or k + 1 == self.rounds:
-                old, state = state, scratch.stage(state.mapInArrow(_moved_on(parts, features), _STATE_TYPES), "binned").persist()
-                old.unpersist()
-                for p in parts:
-                    p.since = []
-        return parts, state.unpersist()
+        means = rows.agg(F.count("*"), *[F.avg(F.when(F.lit(k is None) | (F.col("fold") != (k or 0)), F.col("y"))) for k in held_out]).first()
+        parts = [_Part(k, base=m or 0.0) for k, m in zip(held_out, means[1:])]
+        wanted = math.ceil(means[0] * len(parts) / TASK_ROWS)
+        tasks = max(min(wanted, MOST_TASKS, rows.sparkSession.sparkContext.defaultParallelism), 1)
+        grown = rows.select("row", "y", "fold", "x").repartition(tasks).mapInArrow(self._task(parts, edges, tasks), _GROWN, barrier=tasks > 1).collect()
+        out = []
+        for at, p in enumerate(parts):
+            own = [r for r in grown if r["part"] == at]
+            n, trees = sum(r["n"] for r in own), next(r["trees"] for r in own if r["trees"] is not None)
+            out.append((p.base, [Tree(**t) for t in json.loads(trees)], math.sqrt(sum(r["sse"] for r in own) / n) if n else None))
+        return out
 
 
 def _as_array(dataset: DataFrame, column: str) -> Column:
@@ -380,8 +435,7 @@ class PenalisedBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
         with Scratch(dataset.sparkSession) as scratch:
             rows, edges = self._rows(dataset, F.lit(0), scratch)
             if edges:
-                (part,), _ = self.growth.grow(rows, edges, [None], scratch)
-                base, trees = part.base, part.trees
+                ((base, trees, _),) = self.growth.grow(rows, edges, [None])
         content = json.dumps({"base": base, "features": len(edges), "trees": [asdict(t) for t in trees]})
         return BoostedTrees(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), content=content)
 
@@ -394,8 +448,5 @@ class PenalisedBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
             rows, edges = self._rows(dataset, F.col(fold), scratch)
             if not edges:
                 return [(k, None) for k in range(folds)]
-            _, scored = self.growth.grow(rows, edges, list(range(folds)), scratch)
-            e = F.col("y") - F.get("margins", F.col("fold"))
-            found = scored.groupBy("fold").agg(F.sqrt(F.avg(e * e)).alias("rmse")).collect()
-        errors = {r["fold"]: r["rmse"] for r in found}
-        return [(k, errors.get(k)) for k in range(folds)]
+            grown = self.growth.grow(rows, edges, list(range(folds)))
+        return [(k, error) for k, (_, _, error) in enumerate(grown)]

@@ -128,3 +128,28 @@ def test_folds_grow_together(spark):
         part = df.where(F.col("fold") == k)
         alone = boost.fit(df.where(F.col("fold") != k)).transform(part)
         assert error == pytest.approx(alone.agg(F.sqrt(F.avg((F.col("price") - F.col("prediction")) ** 2))).first()[0])
+
+
+def test_tasks_share_their_sums(spark, monkeypatch):
+    """Several tasks that exchange sums, and a task alone, grow the same trees."""
+    x, y = rows()
+    p = b.Penalties(l1=5.0, l2=2.0, min_rows=5)
+    df = table(spark, x, y).withColumn("fold", F.pmod(F.xxhash64("features"), F.lit(3)).cast("int"))
+    boost = b.PenalisedBoosting(rounds=3, step=0.4, depth=3, penalties=p, row_share=0.8, column_share=0.67)
+    alone, errors = boost.fit(df).trees, boost.fold_errors(df, "fold", 3)
+    monkeypatch.setattr(b, "TASK_ROWS", 150)
+    for one, many in zip(alone, boost.fit(df).trees, strict=True):
+        assert (one.feature, one.bin, one.left) == (many.feature, many.bin, many.left)
+        assert one.value == pytest.approx(many.value)
+    assert [e for _, e in boost.fold_errors(df, "fold", 3)] == pytest.approx([e for _, e in errors])
+
+
+def test_jobs_do_not_grow_with_rounds(spark):
+    df = table(spark, *rows(200))
+    spark.sparkContext.setJobGroup("boosting-jobs", "one stage for all rounds")
+    try:
+        model = b.PenalisedBoosting(rounds=60, step=0.1, depth=4).fit(df)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.trees) == 60
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting-jobs")) < 20
