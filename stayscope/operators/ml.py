@@ -25,6 +25,8 @@ from stayscope.sources.staging import new_path, shared_folder, stage
 from stayscope.sources.literal import literal_table
 
 SEED = 42
+#: Megabytes of split statistics that a task of the forest holds at a time; executors hold that times their cores.
+FOREST_MB = 128
 FEATURES = CATEGORICAL_FEATURES + NUMERIC_FEATURES
 
 
@@ -165,7 +167,7 @@ def forest_model(trees: int = 200, depth: int = 15, **kw) -> RandomForestRegress
         minInstancesPerNode=5,
         featureSubsetStrategy="0.8",
         seed=SEED,
-        maxMemoryInMB=1024,
+        maxMemoryInMB=FOREST_MB,
         **kw,
     )
 

@@ -221,3 +221,8 @@ def test_least_squares_odd_rows(spark):
     # Large means, a constant column and missing labels: the line is still found exactly.
     assert {r["rmse"] for r in ml.cross_validate_least_squares(df, ["x", "same"]).collect()} == {0.0}
     assert {r["rmse"] for r in ml.cross_validate_least_squares(df.limit(0), ["x"]).collect()} == {None}
+
+
+def test_forest_statistics_fit_small_executors():
+    """Tasks of an executor with four cores together hold at most half a gigabyte of split statistics."""
+    assert 4 * ml.forest_model().getMaxMemoryInMB() <= 512
