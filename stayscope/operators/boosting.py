@@ -32,8 +32,8 @@ from stayscope.sources.staging import Scratch
 
 BINS = 256
 #: Rows of a growing model that are worth a task, the tasks that exchange sums at most, rows worked on at a
-#: time, and bytes of sums that reach a task in one exchange.
-TASK_ROWS, MOST_TASKS, BLOCK_ROWS, EXCHANGED = 100_000, 32, 65_536, 8_000_000
+#: time, and bytes of sums that reach a task in one exchange. Spark lets a task wait a second per exchange, so few rows are one task.
+TASK_ROWS, MOST_TASKS, BLOCK_ROWS, EXCHANGED = 1_000_000, 32, 65_536, 8_000_000
 
 
 def shrunk(gradient, l1: float):
