@@ -289,10 +289,20 @@ def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
             def word(text: str) -> bytes:
                 return packed(model.tokenize(space + text))
 
-            space = letters[ord(" ")]
+            def pieces(text: str) -> bytes:
+                """Ids of a text; a lone piece and a word in front are remembered elsewhere."""
+                found = split(text)
+                if len(found) == 1:
+                    return piece(found[0])
+                first = found[0][1:] if keeps and found and found[0][0] == " " else ""
+                if first.isascii() and first.isalpha():
+                    return whole.after_space(first) + b"".join(map(ids, found[1:]))
+                return b"".join(map(ids, found))
+
+            space, keeps = letters[ord(" ")], keeps_words(split)
             ids = Recent(piece, cached // 8).__getitem__
             _encoders.clear()
-            whole = ChunkedEncoder(lambda text: b"".join(map(ids, split(text))), cached, word if keeps_words(split) else None)
+            whole = ChunkedEncoder(pieces, cached, word if keeps else None)
             added, id_of = _added_tokens(definition)
 
             def encode(text: str) -> bytes:

@@ -89,7 +89,8 @@ class ChunkedEncoder:
     def __init__(self, encode: Callable[[str], bytes], size: int = 150_000, word: Callable[[str], bytes] | None = None):
         self._encode, self._word = encode, word
         self._cut = re.compile(r"(?<!\s) (?!\s)")
-        self._after_space = Recent(self._chunk, size).__getitem__
+        #: Ids of what stands after a space and holds no blank at its ends.
+        self.after_space = Recent(self._chunk, size).__getitem__
 
     def _chunk(self, chunk: str) -> bytes:
         if self._word and chunk.isascii() and chunk.isalpha():
@@ -103,11 +104,11 @@ class ChunkedEncoder:
         try:
             if first[-1:].isspace():
                 raise _CutsElsewhere
-            tail = b"".join(map(self._after_space, rest))
+            tail = b"".join(map(self.after_space, rest))
         except _CutsElsewhere:
             first, *rest = self._cut.split(text)
             tail = b"".join(
-                self._encode(" " + c) if not c or c[0].isspace() or c[-1].isspace() else self._after_space(c)
+                self._encode(" " + c) if not c or c[0].isspace() or c[-1].isspace() else self.after_space(c)
                 for c in rest
             )
         return self._encode(first) + tail

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stayscope.llm import bitplane as b
+from stayscope.llm.splitting import Recent
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -104,3 +105,16 @@ def test_empty_table(tools, texts):
     df = texts([])
     files = b.write_ids(df, tools[0])
     assert files.count() == 0 and b.read_ids(files, df.schema["doc_id"]).count() == 0
+
+
+def test_words_before_marks_share_what_is_remembered(tools, monkeypatch):
+    """A word followed by a mark is not encoded again; ids stay those of the library."""
+    build, library = tools
+    encode = build()
+    made = []
+    missing = Recent.__missing__
+    monkeypatch.setattr(Recent, "__missing__", lambda self, key: made.append(key) or missing(self, key))
+    text = "so zorblax zorblax, zorblax. zorblaxé zorblaxé\nzorblax"
+    (ids,) = encode([text])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert " zorblax" not in made and made.count("zorblax") == 2 and " zorblaxé" in made
