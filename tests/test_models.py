@@ -223,6 +223,6 @@ def test_least_squares_odd_rows(spark):
     assert {r["rmse"] for r in ml.cross_validate_least_squares(df.limit(0), ["x"]).collect()} == {None}
 
 
-def test_forest_statistics_fit_small_executors():
+def test_forest_statistics_fit_small_executors(spark):
     """Tasks of an executor with four cores together hold at most half a gigabyte of split statistics."""
     assert 4 * ml.forest_model().getMaxMemoryInMB() <= 512
