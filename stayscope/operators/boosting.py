@@ -14,7 +14,9 @@ import json
 import math
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from dataclasses import asdict, dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayscope.functions.side_by_side import side_by_side
 from stayscope.sources.staging import Scratch
 
 BINS = 256
@@ -132,12 +135,17 @@ class _Rows:
 
     def __init__(self, batches: Iterator[pa.RecordBatch], edges: list[list[float]], bases: list[float], folder: str):
         self._folder, self.n, sorted_edges = folder, 0, [np.array(e) for e in edges]
-        with open(f"{folder}/row", "wb") as row, open(f"{folder}/y", "wb") as y, open(f"{folder}/fold", "wb") as fold, open(f"{folder}/bins", "wb") as bins:
+        with ExitStack() as files:
+            row, y, fold, bins, *by_column = [
+                files.enter_context(open(f"{folder}/{name}", "wb"))
+                for name in ("row", "y", "fold", "bins", *(f"bins{i}" for i in range(len(edges))))
+            ]
             for batch in batches:
                 x = _table(batch["x"], len(edges))
                 found = np.empty(x.shape, np.uint8)
                 for i, e in enumerate(sorted_edges):
                     found[:, i] = np.minimum(np.searchsorted(e, x[:, i]), len(e) - 1)
+                    by_column[i].write(found[:, i].tobytes())
                 self.n += len(x)
                 bins.write(found.tobytes())
                 row.write(batch["row"].to_numpy().astype(np.int64).tobytes())
@@ -145,6 +153,8 @@ class _Rows:
                 fold.write(batch["fold"].to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
         self.row, self.y, self.fold = self._file("row", np.int64), self._file("y", np.float64), self._file("fold", np.int32)
         self.bins = self._file("bins", np.uint8, len(edges))
+        #: The same bins a column each: sums read whole columns, moves single cells of a row.
+        self.by_column = [self._file(f"bins{i}", np.uint8) for i in range(len(edges))]
         self.margins = [self._file(f"margin{k}", np.float64) for k in range(len(bases))]
         self.nodes = [self._file(f"node{k}", np.int32) for k in range(len(bases))]
         for margins, base in zip(self.margins, bases):
@@ -152,7 +162,7 @@ class _Rows:
 
     def _file(self, name: str, kind, width: int | None = None) -> np.ndarray:
         shape = (self.n,) if width is None else (self.n, width)
-        return np.memmap(f"{self._folder}/{name}", kind, "r+" if name in ("row", "y", "fold", "bins") else "w+", shape=shape) if self.n else np.empty(shape, kind)
+        return np.memmap(f"{self._folder}/{name}", kind, "r+" if name in ("row", "y", "fold") or name.startswith("bins") else "w+", shape=shape) if self.n else np.empty(shape, kind)
 
     def blocks(self) -> Iterator[slice]:
         for start in range(0, self.n, BLOCK_ROWS):
@@ -175,15 +185,18 @@ class _Rows:
                 continue
             where, own = np.full(len(p.tree.feature), -1), slice(first, first + len(p.active) * size)
             where[p.active] = np.arange(len(p.active))
+            tables_g, tables_n = (t[own].reshape(-1, len(columns), BINS) for t in (g, n))
             for block in self.blocks():
                 place = where[self.move(k, p.tree, block)]
                 keep = _drawn(self.row[block], seed, share) & (place >= 0)
                 if p.held_out is not None:
                     keep &= self.fold[block] != p.held_out
-                gradient = self.margins[k][block][keep] - self.y[block][keep]
-                slot = (place[keep, None] * len(columns) + np.arange(len(columns))) * BINS + self.bins[block][keep][:, columns]
-                g[own] += np.bincount(slot.ravel(), np.repeat(gradient, len(columns)), len(p.active) * size)
-                n[own] += np.bincount(slot.ravel(), minlength=len(p.active) * size)
+                keep = np.flatnonzero(keep)
+                gradient, start = self.margins[k][block][keep] - self.y[block][keep], place[keep] * BINS
+                for c, column in enumerate(columns):
+                    slot = start + self.by_column[column][block][keep]
+                    tables_g[:, c] += np.bincount(slot, gradient, len(p.active) * BINS).reshape(-1, BINS)
+                    tables_n[:, c] += np.bincount(slot, minlength=len(p.active) * BINS).reshape(-1, BINS)
             first = own.stop
         return g, n
 
@@ -335,13 +348,22 @@ class Growth:
         """Models of (row, y, fold, x) rows, one for each fold left out, all from the same passes.
 
         Returns each one's first prediction, its trees if it leaves no fold out, and its RMSE on the fold
-        that it leaves out. The tasks run at the same time, so there are no more than the cluster has cores.
+        that it leaves out. Models of few rows take a task each, without exchanges. The tasks of larger ones run at
+        the same time, so there are no more than the cluster has cores.
         """
         means = rows.agg(F.count("*"), *[F.avg(F.when(F.lit(k is None) | (F.col("fold") != (k or 0)), F.col("y"))) for k in held_out]).first()
         parts = [_Part(k, base=m or 0.0) for k, m in zip(held_out, means[1:])]
-        wanted = math.ceil(means[0] * len(parts) / TASK_ROWS)
-        tasks = max(min(wanted, MOST_TASKS, rows.sparkSession.sparkContext.defaultParallelism), 1)
-        grown = rows.select("row", "y", "fold", "x").repartition(tasks).mapInArrow(self._task(parts, edges, tasks), _GROWN, barrier=tasks > 1).collect()
+        own_rows, cores = rows.select("row", "y", "fold", "x"), rows.sparkSession.sparkContext.defaultParallelism
+        if means[0] <= TASK_ROWS:
+            # A task for each model, side by side: none has to wait for the others' sums.
+            def alone(p: _Part) -> list:
+                return own_rows.repartition(1).mapInArrow(self._task([p], edges, 1), _GROWN).collect()
+
+            found = side_by_side(rows.sparkSession, [partial(alone, p) for p in parts])
+            grown = [{**r.asDict(), "part": at} for at, own in enumerate(found) for r in own]
+        else:
+            tasks = max(min(math.ceil(means[0] * len(parts) / TASK_ROWS), MOST_TASKS, cores), 1)
+            grown = own_rows.repartition(tasks).mapInArrow(self._task(parts, edges, tasks), _GROWN, barrier=tasks > 1).collect()
         out = []
         for at, p in enumerate(parts):
             own = [r for r in grown if r["part"] == at]

@@ -7,6 +7,7 @@ yields the same rows. Fitted preprocessing is part of the saved pipeline.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stayscope.functions.numeric import half_up, hash_bucket
+from stayscope.functions.side_by_side import side_by_side
 from stayscope.operators.boosting import PenalisedBoosting, Penalties
 from stayscope.operators.distribution import histogram, quantiles_from_counts
 from stayscope.operators.lookup import attach
@@ -203,6 +205,14 @@ def fit(
     return PipelineModel(stages=[*pre.stages, estimator.fit(pre.transform(train))])
 
 
+def fit_all(train: DataFrame, models: dict[str, Estimator], preprocessor: PipelineModel | None = None) -> dict[str, PipelineModel]:
+    """The fitted models, all fitted at the same time: boosting of few rows is one task, the others use the rest of the cores."""
+    pre = preprocessor or fit_preprocessor(train)
+    shared_folder(train.sparkSession)
+    fitted = side_by_side(train.sparkSession, [partial(fit, train, e, pre) for e in models.values()])
+    return dict(zip(models, fitted))
+
+
 # ---- Evaluation ----
 
 
@@ -254,9 +264,10 @@ def cross_validate(
         ready = fit_preprocessor(folded).transform(folded)
         errors = literal_table(train.sparkSession, estimator.fold_errors(ready, "fold", folds), "fold int, rmse double")
         return errors.withColumn("rmse", half_up(F.col("rmse"), 2))
-    out = None
-    for k in range(folds):
-        fitted = fit_fn(folded.where(F.col("fold") != k), estimator)
+    rest = [folded.where(F.col("fold") != k) for k in range(folds)]
+    shared_folder(train.sparkSession)
+    models, out = side_by_side(train.sparkSession, [partial(fit_fn, r, estimator) for r in rest]), None
+    for k, fitted in enumerate(models):
         scored = fitted.transform(folded.where(F.col("fold") == k))
         row = evaluate(scored, label).select(F.lit(k).alias("fold"), "rmse")
         out = row if out is None else out.unionByName(row)
@@ -404,8 +415,7 @@ def train_all(
     train, test = stage(train, "train"), stage(test, "test")
     models = model_set(rounds, trees)
     if fitted is None:
-        pre = fit_preprocessor(train)
-        fitted = {name: fit(train, e, pre) for name, e in models.items()}
+        fitted = fit_all(train, models)
     comparison = stage(
         compare_models([(n, evaluate(m.transform(test))) for n, m in fitted.items()]), "comparison"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stayscope.operators import ml
 from stayscope.operators.clean import clean
 from stayscope.operators.features import area_medians, engineer_features
-from stayscope.operators.ml import PipelineModel, fit, fit_preprocessor, model_set, train_test_split
+from stayscope.operators.ml import PipelineModel, model_set, train_test_split
 from stayscope.sources.order_listings import FIXTURE_REFERENCE_DATE, listings_from_orders
 from stayscope.sources.readers import select_ml_columns
 from stayscope.sources.staging import stage
@@ -76,17 +76,21 @@ class Workspace:
     def test(self) -> DataFrame:
         return self._once("test", lambda: train_test_split(self.ml_rows)[1])
 
+    def models(self, names: list[str]) -> dict[str, PipelineModel]:
+        """Models of ``model_set`` in full size, each fitted once on the train part, missing ones at the same time."""
+        missing = {name: e for name, e in model_set().items() if name in names and name not in self._models}
+        if missing:
+            self._models |= ml.fit_all(self.train, missing)
+        return {name: self._models[name] for name in names}
+
     def model(self, name: str) -> PipelineModel:
-        """A model of ``model_set`` in full size, fitted once on the train part."""
-        if name not in self._models:
-            self._models[name] = fit(self.train, model_set()[name], fit_preprocessor(self.train))
-        return self._models[name]
+        return self.models([name])[name]
 
     @property
     def trained(self) -> dict:
         """Comparison of the four models, and the winner's folds, importances and saved form."""
         if self._trained is None:
-            self._trained = ml.train_all(self.ml_rows, fitted={name: self.model(name) for name in model_set()})
+            self._trained = ml.train_all(self.ml_rows, fitted=self.models(list(model_set())))
         return self._trained
 
     @property

@@ -4,6 +4,7 @@ lost executors, since they live in the shared folder the cluster names."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 #: Shuffle files of a written step aren't read again; without this they stay until the driver's
 #: garbage is collected.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The setting belongs to the session, so threads write one after another.
+_WRITING = threading.Lock()
 
 
 def stage(df: DataFrame, label: str = "step") -> DataFrame:
@@ -41,12 +44,13 @@ def stage(df: DataFrame, label: str = "step") -> DataFrame:
 
 def _staged(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    with _WRITING:
+        before = spark.conf.get(_CLEANUP, "false")
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -153,3 +153,30 @@ def test_jobs_do_not_grow_with_rounds(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(model.trees) == 60
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting-jobs")) < 20
+
+
+def test_folds_of_few_rows_take_a_task_each(spark, monkeypatch):
+    """Models that fit a task need no exchanges, however many grow."""
+    x, y = rows(400)
+    df = table(spark, x, y).withColumn("fold", F.pmod(F.xxhash64("features"), F.lit(4)).cast("int"))
+    asked, task = [], b.Growth._task
+    monkeypatch.setattr(b.Growth, "_task", lambda self, parts, edges, tasks: asked.append((len(parts), tasks)) or task(self, parts, edges, tasks))
+    monkeypatch.setattr(b, "TASK_ROWS", 500)
+    errors = b.PenalisedBoosting(rounds=2, step=0.5, depth=2).fold_errors(df, "fold", 4)
+    assert asked == [(1, 1)] * 4 and None not in dict(errors).values()
+
+
+@pytest.mark.parametrize("block", [7, 1_000])
+def test_sums_hold_every_drawn_row_once(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(b, "BLOCK_ROWS", block)
+    x, y = rows(50)
+    columns = {"row": range(50), "y": y, "fold": [k % 3 for k in range(50)], "x": x.tolist()}
+    held = b._Rows(iter([b.pa.RecordBatch.from_pydict(columns)]), [sorted(set(v)) for v in x.T.tolist()], [2.0], str(tmp_path))
+    part = b._Part(1, tree=b.Tree(), active=[0])
+    g, n = held.sums([part], np.array([0, 2]), 5, 0.7)
+    keep = b._drawn(np.arange(50), 5, 0.7) & (np.arange(50) % 3 != 1)
+    for place, column in enumerate((0, 2)):
+        for at, v in enumerate(sorted(set(x[:, column]))):
+            same = keep & (x[:, column] == v)
+            assert n.reshape(2, b.BINS)[place, at] == same.sum()
+            assert g.reshape(2, b.BINS)[place, at] == pytest.approx((2.0 - y[same]).sum())

@@ -226,3 +226,19 @@ def test_least_squares_odd_rows(spark):
 def test_forest_statistics_fit_small_executors(spark):
     """Tasks of an executor with four cores together hold at most half a gigabyte of split statistics."""
     assert 4 * ml.forest_model().getMaxMemoryInMB() <= 512
+
+
+def test_models_and_folds_are_fitted_at_the_same_time(workspace, monkeypatch):
+    """Each fit waits until all have begun, which fits one after another never do."""
+    from threading import Barrier
+
+    fit, all_begun = ml.fit, Barrier(2, timeout=60)
+
+    def waiting(*args, **kw):
+        all_begun.wait()
+        return fit(*args, **kw)
+
+    monkeypatch.setattr(ml, "fit", waiting)
+    rows = workspace.train
+    assert list(ml.fit_all(rows, {"A": ml.linear_model(), "B": ml.linear_model()})) == ["A", "B"]
+    assert ml.cross_validate(rows, ml.linear_model(), 2, fit_fn=waiting).count() == 2
