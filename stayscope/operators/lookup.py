@@ -36,7 +36,8 @@ def attach(
     of the rows and goes through a shuffled join. Rows already served, or without a key,
     pass that join spread by their input partition instead of by key. Keys that the table lacks
     can be as frequent as they like and can't be counted ahead in a stream, so all other rows are
-    dealt over ``spread`` copies of the remaining table. ``rows`` is read once.
+    dealt over ``spread`` copies of the remaining table. A table that holds every key of ``rows``, with its
+    true weight, needs one copy only: ``spread=1``. ``rows`` is read once.
     """
     if not staged:
         table = stage(table, "lookup")

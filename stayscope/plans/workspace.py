@@ -52,10 +52,11 @@ class Workspace:
 
     @property
     def medians(self) -> tuple[DataFrame, DataFrame]:
-        return (
-            self._once("area-medians", lambda: area_medians(self.cleaned)[0]),
-            self._once("borough-medians", lambda: area_medians(self.cleaned)[1]),
-        )
+        names = "area-medians", "borough-medians"
+        if names[1] not in self._tables:
+            for name, table in zip(names, area_medians(self.cleaned)):
+                self._once(name, lambda: table)
+        return tuple(self._tables[name] for name in names)
 
     @property
     def featured(self) -> DataFrame:

@@ -17,7 +17,9 @@ def listings_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     """The listing columns, built from ``folder``'s Parquet tables.
 
     Host facts (name, place, number of listings) form one row per customer and are attached
-    to the orders by measured size, so a customer with a third of all orders stays spread.
+    to the orders by measured size, so a customer with a third of all orders stays spread. Customers
+    that the orders name but the customer table lacks are kept among the hosts until then, unplaced: so the heaviest
+    are known whoever they are, and the hosts need not be copied.
     """
 
     def table(name: str) -> DataFrame:
@@ -33,9 +35,10 @@ def listings_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.max("l_shipdate").alias("last_shipped"),
     )
     listings_per_host = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("host_listings"))
+    placed = customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     hosts = (
-        listings_per_host.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        listings_per_host.where(F.col("o_custkey").isNotNull())
+        .join(placed, F.col("o_custkey") == F.col("c_custkey"), "left")
         .select(
             "o_custkey",
             "c_name",
@@ -43,6 +46,7 @@ def listings_from_orders(spark: SparkSession, folder: str) -> DataFrame:
             F.lower("r_name").alias("region"),
             "host_listings",
             F.col("host_listings").alias("weight"),
+            F.col("c_custkey").isNotNull().alias("placed"),
         )
     )
     wanted = orders.select(
@@ -52,7 +56,7 @@ def listings_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     if wanted.rdd.getNumPartitions() < cores:  # a small input in few files: use every core
         wanted = wanted.repartition(cores)
     listed = wanted.join(stays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    joined = attach(listed, hosts, ["o_custkey"], weight="weight", how="inner")
+    joined = attach(listed, hosts, ["o_custkey"], weight="weight", how="inner", spread=1).where("placed")
 
     key, host = F.col("o_orderkey"), F.col("o_custkey")
     title = F.concat(

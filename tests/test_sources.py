@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from stayscope.plans.etl import run_etl
 from stayscope.sources import readers, staging, writers
@@ -83,3 +84,33 @@ def test_partitioned_featured_table_prunes(spark, workspace, tmp_path):
     assert result.featured.exceptAll(workspace.featured).count() == 0
     plan = result.featured.where("neighbourhood_group = 'Asia'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(neighbourhood_group" in plan
+
+
+def test_listings_of_many_hosts_need_no_copies_of_them(spark, folder, tmp_path, monkeypatch):
+    """Orders of customers that the table lacks stay out, frequent or not, on every path."""
+    from stayscope.sources import order_listings as ol
+
+    for name in ("customer", "lineitem", "nation", "region"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    key = F.col("o_orderkey")
+    host = F.when(key % 3 == 0, -5).when(key % 11 == 0, F.lit(None)).when(key % 17 == 0, -key).otherwise(F.col("o_custkey"))
+    orders = spark.read.parquet(f"{folder}/orders.parquet").withColumn("o_custkey", host)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    small = ol.listings_from_orders(spark, str(tmp_path))
+    asked, attach = [], ol.attach
+    monkeypatch.setattr(ol, "attach", lambda *a, **kw: asked.append(kw) or attach(*a, **kw, broadcast_rows=1, hot_keys=2))
+    large = ol.listings_from_orders(spark, str(tmp_path))
+    assert [kw["spread"] for kw in asked] == [1]
+    assert small.count() == orders.where("o_custkey >= 0").count() > 0
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+
+
+def test_both_median_tables_come_from_one_call(spark, folder, monkeypatch):
+    from stayscope.plans import workspace as ws
+
+    calls, area_medians = [], ws.area_medians
+    monkeypatch.setattr(ws, "area_medians", lambda df: calls.append(df) or area_medians(df))
+    w = ws.Workspace(spark, folder)
+    first, again = w.medians, w.medians
+    assert len(calls) == 1 and [t.columns[0] for t in first] == ["neighbourhood", "neighbourhood_group"]
+    assert first == again
