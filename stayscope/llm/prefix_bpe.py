@@ -42,16 +42,16 @@ _SHARED = 24
 class Vocabulary:
     """Ranks of byte tokens, and which tokens may follow each other."""
 
-    def __init__(self, ranks: dict[bytes, int], max_known: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_known: int = 600_000):
         self.ranks = ranks
-        #: Last tokens of short prefixes, shared by all pieces; emptied when it is full.
-        self.known: dict[bytes, bytes] = {}
+        #: Last tokens of short prefixes (places in ``tokens``), shared by all pieces; emptied when it is full.
+        self.known: dict[bytes, int] = {}
         self.max_known = max_known
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         if len([t for t in ranks if len(t) == 1]) < 256:
             raise ValueError("the vocabulary lacks single bytes")
@@ -96,24 +96,43 @@ class Vocabulary:
             self._edges[right][token] = out
         return out
 
+    @cached_property
+    def places(self) -> dict[bytes, int]:
+        """Made tokens and their places among them."""
+        return {token: place for place, token in enumerate(self.made)}
+
+    @cached_property
+    def tokens(self) -> list[bytes]:
+        return list(self.places)
+
     def may_follow(self, left: bytes, right: bytes) -> bool:
         """Whether merging ``left + right`` ends in these two tokens: no merge across comes first."""
-        pair = left, right
+        return self._may_follow(self.places[left], self.places[right])
+
+    def _may_follow(self, left: int, right: int) -> bool:
+        pair = left << 32 | right
         known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) >= 200_000:
                 self._pairs.clear()
-            known = self._pairs[pair] = self._stand_apart(left, right)
+            known = self._pairs[pair] = self._stand_apart(self.tokens[left], self.tokens[right])
         return known
 
     def _stand_apart(self, left: bytes, right: bytes) -> bool:
-        rank_of = self.ranks.get
-        for a, a_since, a_until in self._edge(left, True):
-            for b, b_since, b_until in self._edge(right, False):
-                rank = rank_of(a + b)
-                # At equal ranks the leftmost merge comes first.
-                if rank is not None and rank < a_until and rank <= b_until and a_since < b_until and b_since < a_until:
-                    return False
+        """Goes back through the merges of both; only edges that exist at the same time can merge."""
+        rank_of, lefts, rights = self.ranks.get, self._edge(left, True), self._edge(right, False)
+        i = j = 0
+        while i < len(lefts) and j < len(rights):
+            a, a_since, a_until = lefts[i]
+            b, b_since, b_until = rights[j]
+            rank = rank_of(a + b)
+            # At equal ranks the leftmost merge comes first.
+            if rank is not None and rank < a_until and rank <= b_until and a_since < b_until and b_since < a_until:
+                return False
+            if a_since >= b_since:
+                i += 1
+            else:
+                j += 1
         return True
 
     def last_token(self, data: bytes, end: int, last_of) -> bytes:
@@ -137,11 +156,24 @@ class Vocabulary:
         end = len(data)
         while end and data[:end] not in known:
             end -= 1
+        place_of, pairs, longest = self.places.get, self._pairs.get, self.longest
         for stop in range(end + 1, len(data) + 1):
-            known[data[:stop]] = self.last_token(data, stop, lambda start: known[data[:start]])
-        out, end = [], len(data)
+            # As ``last_token``, written out: this is where encoding spends its time.
+            for start in range(stop - longest if stop > longest else 0, stop):
+                token = place_of(data[start:stop])
+                if token is not None:
+                    if not start:
+                        break
+                    left = known[data[:start]]
+                    apart = pairs(left << 32 | token)
+                    if apart or (apart is None and self._may_follow(left, token)):
+                        break
+            else:
+                raise ValueError("no token ends here")
+            known[data[:stop]] = token
+        out, end, tokens = [], len(data), self.tokens
         while end:
-            token = known[data[:end]]
+            token = tokens[known[data[:end]]]
             out.append(packed[token])
             end -= len(token)
         return b"".join(reversed(out))
@@ -265,17 +297,36 @@ class Codec:
     def __init__(self, rank_file: bytes, pattern: str, cached: int = 300_000):
         self.vocabulary = Vocabulary(read_ranks(rank_file))
         self._split = re.compile(pattern).findall
-        word = (lambda letters: self.vocabulary.encode(b" " + letters.encode())) if keeps_words(self._split) else None
-        self.encode = ChunkedEncoder(self._pieces, cached, word).encode
-        self._piece = Recent(lambda piece: self.vocabulary.encode(piece.encode()), cached // 8).__getitem__
-        self._bytes = self.vocabulary.bytes_of.__getitem__
+        self._keeps = keeps_words(self._split)
+        word = (lambda letters: self.vocabulary.encode(b" " + letters.encode())) if self._keeps else None
+        whole = ChunkedEncoder(self._pieces, cached, word)
+        self.encode, self._after_space = whole.encode, whole.after_space
+        self._piece = Recent(self._alone, cached // 8).__getitem__
+        places = pa.array(range(len(self.vocabulary.ranks)), pa.int32())
+        ranks = pa.array(list(self.vocabulary.ranks.values()), pa.int64())
+        self._places = np.zeros(max(self.vocabulary.bytes_of) + 1, np.int32)
+        self._places[ranks.to_numpy()] = places.to_numpy()
+        self._tokens = pa.array(list(self.vocabulary.ranks), pa.large_binary())
+
+    def _alone(self, piece: str) -> bytes:
+        return self.vocabulary.encode(piece.encode())
 
     def _pieces(self, text: str) -> bytes:
-        return b"".join([self._piece(piece) for piece in self._split(text)])
+        """Ids of a text; a lone piece and a word in front are remembered elsewhere."""
+        found = self._split(text)
+        if len(found) == 1:
+            return self._alone(found[0])
+        first = found[0][1:] if self._keeps and found and found[0][0] == " " else ""
+        if first.isascii() and first.isalpha():
+            return self._after_space(first) + b"".join(map(self._piece, found[1:]))
+        return b"".join(map(self._piece, found))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that little-endian 32-bit ids stand for."""
-        return b"".join(map(self._bytes, np.frombuffer(ids, "<u4").tolist()))
+        tokens = self._tokens.take(pa.array(self._places[np.frombuffer(ids, "<u4")]))
+        _, offsets, content = tokens.buffers()
+        start, end = np.frombuffer(offsets, "<i8", len(tokens) + 1)[[0, -1]] if len(tokens) else (0, 0)
+        return content[start:end].to_pybytes() if end > start else b""
 
 
 _codecs: dict[str, Codec] = {}

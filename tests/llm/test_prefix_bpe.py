@@ -118,3 +118,29 @@ def test_table(tools, texts, odd):
     again = b.decode_ids(b.encode_texts(df, PATH, PATTERN, ["doc_id"]), PATH, PATTERN).collect()
     assert sorted(bytes(r["decoded"]) for r in again) == sorted((t or "").encode() for _, t in odd)
     assert b.encode_texts(texts([]), PATH, PATTERN, ["doc_id"]).count() == 0
+
+
+def test_words_before_marks_are_encoded_once(monkeypatch):
+    with open(PATH, "rb") as f:
+        codec = b.Codec(f.read(), b.written_out(PATTERN, b.class_members))
+    asked, encode = [], codec.vocabulary.encode
+    monkeypatch.setattr(codec.vocabulary, "encode", lambda data: asked.append(data) or encode(data))
+    text = "so zyxabw zyxabw. zyxabw, zyxabw! zyxabw"
+    assert codec.decode(codec.encode(text)) == text.encode() and codec.decode(b"") == b""
+    assert asked.count(b" zyxabw") == 1
+
+
+def test_edges_at_the_same_time_decide(tools):
+    """Going back through both merges finds what a search of all pairs of edges finds."""
+    words, rng = tools[0].vocabulary, random.Random(3)
+    made = sorted(words.made)
+    for _ in range(3_000):
+        left, right = rng.choice(made), rng.choice(made)
+        ranked = [
+            (words.ranks[x + y], since, until, start, stop)
+            for x, since, until in words._edge(left, True)
+            for y, start, stop in words._edge(right, False)
+            if x + y in words.ranks
+        ]
+        meets = any(r < until and r <= stop and since < stop and start < until for r, since, until, start, stop in ranked)
+        assert words.may_follow(left, right) is not meets
