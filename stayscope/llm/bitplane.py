@@ -280,7 +280,7 @@ def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
             model, split, letters = Tokenizer.from_str(definition).model, re.compile(parts).findall, _byte_letters()
 
             def packed(found: list) -> bytes:
-                return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+                return b"".join([bytes_of[t.id] for t in found])
 
             def piece(text: str) -> bytes:
                 found = model.tokenize(text.encode().decode("latin-1").translate(letters))
@@ -300,6 +300,8 @@ def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
                 return b"".join(map(ids, found))
 
             space, keeps = letters[ord(" ")], keeps_words(split)
+            vocabulary = json.loads(definition)["model"]["vocab"].values()
+            bytes_of = {number: number.to_bytes(4, "little") for number in vocabulary}
             ids = Recent(piece, cached // 8).__getitem__
             _encoders.clear()
             whole = ChunkedEncoder(pieces, cached, word if keeps else None)
