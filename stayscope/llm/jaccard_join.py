@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 from stayscope.sources.staging import Scratch, stage
 
 from .components import components
+from .remembered import remembered
 from .text import few_rows
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,15 +45,13 @@ class _WordHashes(dict):
         return value
 
 
-_hash_of = _WordHashes().__getitem__
-
-
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles (fewer words: all as one shingle)."""
     words = text.translate(_LOWER).split()
     if len(words) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=k)] if words else [], np.uint64).view(np.int64)
-    hashes = np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    hash_of = remembered("hashes of words", _WordHashes).__getitem__
+    hashes = np.fromiter(map(hash_of, words), np.uint64, len(words))
     n = len(words) - k + 1
     mixed = hashes[:n].copy()
     for j in range(1, k):

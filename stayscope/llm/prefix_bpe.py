@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .remembered import remembered
 from .splitting import ChunkedEncoder, Recent, every_character, keeps_words, written_out
 from .text import few_rows
 
@@ -329,16 +330,10 @@ class Codec:
         return content[start:end].to_pybytes() if end > start else b""
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    """One codec per Python worker, kept between its tasks."""
+    """One codec per Python worker, kept between its tasks until a step of another kind begins."""
     name, data, pattern = shared.value
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(data, pattern)
-    return _codecs[name]
+    return remembered(name, lambda: Codec(data, pattern))
 
 
 def _share(df: DataFrame, rank_file: str, pattern: str):
