@@ -29,7 +29,8 @@ from tokenizers import Regex, Tokenizer, normalizers
 from stayscope.sources.staging import new_path, stage
 
 from .files import qualified, reading, writing
-from .splitting import ChunkedEncoder, Recent, every_character, keeps_words, written_out
+from .remembered import remembered
+from .splitting import FIRST_PLANE, ChunkedEncoder, Recent, every_character, keeps_words, splitter, written_out
 from .text import few_rows
 
 MAGIC = b"IDPLANE1"
@@ -235,9 +236,6 @@ def _documents(keys, sizes, starts, at: int, ids: list[bytes]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(columns, ["key", "start", "n_tokens", "ids"])
 
 
-_encoders: dict[str, object] = {}
-
-
 def _class_members(name: str) -> str:
     """Characters of a regex class in the tokenizers library's edition of Unicode."""
     others = name.swapcase() if len(name) == 2 else name.replace(r"\p", r"\P")
@@ -273,49 +271,54 @@ def tokenizer_encoder(definition: str, pattern: str, cached: int = 450_000):
     encodes the pieces; ids of frequent words and pieces are remembered. Strings of the definition's
     added tokens become those tokens, as in the library; none is added besides.
     """
-    parts = written_out(pattern, _class_members)
+    parts = written_out(pattern, _class_members, FIRST_PLANE), written_out(pattern, _class_members)
+
+    def make():
+        model, split, letters = Tokenizer.from_str(definition).model, splitter(*parts), _byte_letters()
+
+        def packed(found: list) -> bytes:
+            return b"".join([bytes_of[t.id] for t in found])
+
+        def piece(text: str) -> bytes:
+            found = model.tokenize(text.encode().decode("latin-1").translate(letters))
+            return packed(found)
+
+        def word(text: str) -> bytes:
+            return packed(model.tokenize(space + text))
+
+        def marks(text: str) -> bytes | None:
+            """Ids of marks behind a word of ASCII letters; None if the pattern doesn't split them off."""
+            first, *found = split(" a" + text)
+            return b"".join(map(ids, found)) if first == " a" else None
+
+        def pieces(text: str) -> bytes:
+            """Ids of a text; a lone piece and a word in front are remembered elsewhere."""
+            found = split(text)
+            if len(found) == 1:
+                return piece(found[0])
+            first = found[0][1:] if keeps and found and found[0][0] == " " else ""
+            if first.isascii() and first.isalpha():
+                return whole.after_space(first) + b"".join(map(ids, found[1:]))
+            return b"".join(map(ids, found))
+
+        space, keeps = letters[ord(" ")], keeps_words(split)
+        vocabulary = json.loads(definition)["model"]["vocab"].values()
+        bytes_of = {number: number.to_bytes(4, "little") for number in vocabulary}
+        ids = Recent(piece, cached // 8).__getitem__
+        whole = ChunkedEncoder(pieces, cached, *((word, marks) if keeps else ()))
+        added, id_of = _added_tokens(definition)
+
+        def encode(text: str) -> bytes:
+            out, at = [], 0
+            for found in added.finditer(text) if added else ():
+                out += [whole.encode(text[at : found.start()]), id_of[found.lastgroup]]
+                at = found.end()
+            return b"".join([*out, whole.encode(text[at:])])
+
+        return encode
 
     def build():
-        if definition not in _encoders:
-            model, split, letters = Tokenizer.from_str(definition).model, re.compile(parts).findall, _byte_letters()
-
-            def packed(found: list) -> bytes:
-                return b"".join([bytes_of[t.id] for t in found])
-
-            def piece(text: str) -> bytes:
-                found = model.tokenize(text.encode().decode("latin-1").translate(letters))
-                return packed(found)
-
-            def word(text: str) -> bytes:
-                return packed(model.tokenize(space + text))
-
-            def pieces(text: str) -> bytes:
-                """Ids of a text; a lone piece and a word in front are remembered elsewhere."""
-                found = split(text)
-                if len(found) == 1:
-                    return piece(found[0])
-                first = found[0][1:] if keeps and found and found[0][0] == " " else ""
-                if first.isascii() and first.isalpha():
-                    return whole.after_space(first) + b"".join(map(ids, found[1:]))
-                return b"".join(map(ids, found))
-
-            space, keeps = letters[ord(" ")], keeps_words(split)
-            vocabulary = json.loads(definition)["model"]["vocab"].values()
-            bytes_of = {number: number.to_bytes(4, "little") for number in vocabulary}
-            ids = Recent(piece, cached // 8).__getitem__
-            _encoders.clear()
-            whole = ChunkedEncoder(pieces, cached, word if keeps else None)
-            added, id_of = _added_tokens(definition)
-
-            def encode(text: str) -> bytes:
-                out, at = [], 0
-                for found in added.finditer(text) if added else ():
-                    out += [whole.encode(text[at : found.start()]), id_of[found.lastgroup]]
-                    at = found.end()
-                return b"".join([*out, whole.encode(text[at:])])
-
-            _encoders[definition] = encode
-        encode = _encoders[definition]
+        encode = remembered(definition, make)
         return lambda texts: [encode(text) for text in texts]
 
     return build

@@ -17,6 +17,10 @@ def every_character() -> str:
     return "".join(chr(p) for p in range(sys.maxunicode + 1) if not 0xD800 <= p <= 0xDFFF)
 
 
+def _up_to(last: int, characters: str) -> str:
+    return "".join(c for c in characters if ord(c) <= last)
+
+
 def _ranges(characters: str) -> str:
     points = np.sort(np.frombuffer(characters.encode("utf-32-le"), "<u4"))
     cut = np.flatnonzero(np.diff(points) != 1)
@@ -24,17 +28,22 @@ def _ranges(characters: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts.tolist(), ends.tolist()))
 
 
+#: The last character of Unicode's first plane.
+FIRST_PLANE = 0xFFFF
+
+
 @lru_cache(maxsize=8)
-def written_out(pattern: str, class_members: Callable[[str], str]) -> str:
+def written_out(pattern: str, class_members: Callable[[str], str], last: int = sys.maxunicode) -> str:
     """The pattern with its letter, number and blank classes written out as ranges.
 
     ``class_members`` names the characters of a class as the tokenizer's own library sees them;
     libraries differ in their editions of Unicode. ``re`` is several times faster than ``regex``.
+    The pattern holds for texts without characters beyond ``last``.
     """
     found = re.findall(r"\\[pP]\{\w+\}|\\.", pattern)
     if odd := [c for c in found if c not in _CLASSES and re.match(r"\\[a-zA-Z]", c)]:
         raise ValueError(f"classes not known here: {odd}")
-    inside = {c: _ranges(class_members(c.replace("S", "s"))) for c in set(found) & set(_CLASSES)}
+    inside = {c: _ranges(_up_to(last, class_members(c.replace("S", "s")))) for c in set(found) & set(_CLASSES)}
     out, in_brackets = [], False
     for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.DOTALL):
         if part in inside:
@@ -48,6 +57,20 @@ def written_out(pattern: str, class_members: Callable[[str], str]) -> str:
     return "".join(out)
 
 
+def splitter(narrow: str, wide: str) -> Callable[[str], list[str]]:
+    """Pieces of a text by one pattern written out up to the first plane's end and as a whole.
+
+    ``re`` looks characters of the first plane up in a table and tries ranges beyond it one by one,
+    hundreds of them wherever a class does not fit. So only texts with such characters pay for these.
+    """
+    by_table, by_ranges, end = re.compile(narrow).findall, re.compile(wide).findall, chr(FIRST_PLANE)
+
+    def split(text: str) -> list[str]:
+        return by_table(text) if text.isascii() or max(text) <= end else by_ranges(text)
+
+    return split
+
+
 class Recent(dict):
     """A cache of bounded size: when it is full it becomes the older generation of a new one."""
 
@@ -83,11 +106,19 @@ class ChunkedEncoder:
     space ends there. Texts are cut at these spaces, ids (as bytes) of what lies between are
     remembered, and ``encode`` runs just for the rest. A space beside another blank is no cut.
 
-    ``word`` encodes ASCII letters with the space before them, where the pattern leaves these whole.
+    ``word`` encodes ASCII letters with the space before them, where the pattern leaves these whole;
+    ``marks`` the ASCII punctuation that ends a chunk after such letters (None: encode both as one).
     """
 
-    def __init__(self, encode: Callable[[str], bytes], size: int = 150_000, word: Callable[[str], bytes] | None = None):
+    def __init__(
+        self,
+        encode: Callable[[str], bytes],
+        size: int = 150_000,
+        word: Callable[[str], bytes] | None = None,
+        marks: Callable[[str], bytes | None] | None = None,
+    ):
         self._encode, self._word = encode, word
+        self._marks = Recent(marks, size // 8).__getitem__ if marks else None
         self._cut = re.compile(r"(?<!\s) (?!\s)")
         #: Ids of what stands after a space and holds no blank at its ends.
         self.after_space = Recent(self._chunk, size).__getitem__
@@ -95,6 +126,12 @@ class ChunkedEncoder:
     def _chunk(self, chunk: str) -> bytes:
         if self._word and chunk.isascii() and chunk.isalpha():
             return self._word(chunk)
+        if self._marks:
+            letters = chunk.rstrip(string.punctuation)
+            if len(letters) < len(chunk) and letters.isascii() and letters.isalpha():
+                behind = self._marks(chunk[len(letters) :])
+                if behind is not None:
+                    return self.after_space(letters) + behind
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _CutsElsewhere
         return self._encode(" " + chunk)

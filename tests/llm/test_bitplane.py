@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stayscope.llm import bitplane as b
-from stayscope.llm.splitting import Recent
+from stayscope.llm.splitting import ChunkedEncoder, Recent, splitter
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -118,3 +118,29 @@ def test_words_before_marks_share_what_is_remembered(tools, monkeypatch):
     (ids,) = encode([text])
     assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert " zorblax" not in made and made.count("zorblax") == 2 and " zorblaxé" in made
+
+
+def test_only_texts_beyond_the_first_plane_pay_for_its_ranges():
+    split = splitter("narrow", "wide")
+    assert [split(f"narrow wide {c}") for c in ("", "é", "日", "\uffff", "𐀀", "🦊")] == [["narrow"]] * 4 + [["wide"]] * 2
+    assert split("") == []
+
+
+def test_marks_behind_words_are_encoded_once(tools, monkeypatch):
+    """Marks after new words are remembered; ids stay those of the library."""
+    build, library = tools
+    encode = build()
+    made = []
+    missing = Recent.__missing__
+    monkeypatch.setattr(Recent, "__missing__", lambda self, key: made.append(key) or missing(self, key))
+    marks = [".", ",", "'", "'.", ".'", "...", "%%%", "_", "-", "\"'", "']"]
+    text = " ".join(["so", *(f"qu{a}zl{m}" for a in ("ix", "ox") for m in marks), "don't.", "it's", "x's,", "é.", "1.", "a.b.", "a..\n"])
+    (ids,) = encode([text])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert all(made.count(m) <= 2 for m in marks) and made.count("\"'") >= 1
+
+
+def test_marks_that_stay_with_their_word():
+    """Without ids of their own, marks are encoded together with the word before them."""
+    whole = ChunkedEncoder(str.encode, 100, lambda w: b" " + w.encode(), lambda m: None if "!" in m else b"<" + m.encode() + b">")
+    assert whole.encode("a b, c! d!, e1, f") == b"a b<,> c! d!, e1, f"

@@ -3,7 +3,7 @@ from types import SimpleNamespace
 
 import public_tokenizers
 
-from stayscope.llm import jaccard_join, prefix_bpe
+from stayscope.llm import bitplane, jaccard_join, prefix_bpe
 from stayscope.llm.splitting import written_out
 
 
@@ -19,3 +19,13 @@ def test_a_step_releases_what_the_one_before_remembered():
     assert len(jaccard_join.shingle_set(b"one two three four", 3)) == 2
     assert held() is None
     assert prefix_bpe._codec(shared).encode("some words, remembered") == ids
+
+
+def test_the_encoder_of_id_files_is_released_too():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        build = bitplane.tokenizer_encoder(f.read(), public_tokenizers.PATTERN)
+    (ids,) = build()(["some words"])
+    first = weakref.ref(build().__closure__[0].cell_contents)
+    assert first() is not None
+    jaccard_join.shingle_set(b"one two three four", 3)
+    assert first() is None and build()(["some words"]) == [ids]
