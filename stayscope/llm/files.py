@@ -1,55 +1,5 @@
-"""Binary files that tasks write and read in the shared folder, through Arrow's file systems."""
+"""Binary files that tasks write and read, from where all parts of the library share them."""
 
-from __future__ import annotations
+from stayscope.sources.files import qualified, reading, writing
 
-import contextlib
-import uuid
-from collections.abc import Iterator
-
-from pyarrow import fs
-from pyspark.sql import SparkSession
-
-#: Schemes of Hadoop's connectors that Arrow calls otherwise.
-_ARROW_NAMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
-_SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs", "abfs")
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder with the store it lies in.
-
-    A folder without a scheme belongs to the cluster's default store; only the driver's settings name
-    that, so this is settled before tasks open files.
-    """
-    if ":" not in folder.split("/")[0]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    _place(folder, find=False)
-    return folder
-
-
-def _place(path: str, find: bool = True):
-    scheme, colon, rest = path.partition(":")
-    scheme = _ARROW_NAMES.get(scheme, scheme)
-    if not colon or scheme not in _SCHEMES:
-        raise ValueError(f"{path}: name one of the stores {', '.join(_SCHEMES)}")
-    return fs.FileSystem.from_uri(f"{scheme}:{rest}") if find else None
-
-
-@contextlib.contextmanager
-def writing(folder: str, suffix: str) -> Iterator[tuple[str, object]]:
-    """A new file under a name of its own: (path, stream). ``folder`` is qualified.
-
-    A repeated or second attempt of a task writes another file. What counts is the list of paths
-    that the finished attempts return, so a file of a lost attempt is never read.
-    """
-    store, base = _place(folder)
-    store.create_dir(base, recursive=True)
-    name = f"{uuid.uuid4().hex}{suffix}"
-    with store.open_output_stream(f"{base.rstrip('/')}/{name}", compression=None) as stream:
-        yield f"{folder.rstrip('/')}/{name}", stream
-
-
-def reading(path: str):
-    """A file for reading at any place."""
-    store, at = _place(path)
-    return store.open_input_file(at)
+__all__ = ["qualified", "reading", "writing"]

@@ -21,6 +21,7 @@ from stayscope.functions.numeric import half_up, hash_bucket
 from stayscope.functions.side_by_side import side_by_side
 from stayscope.operators.boosting import PenalisedBoosting, Penalties
 from stayscope.operators.distribution import histogram, quantiles_from_counts
+from stayscope.operators.forest import SharedRowsForest
 from stayscope.operators.lookup import attach
 from stayscope.schema import CATEGORICAL_FEATURES, DEFAULT_DAYS_SINCE_REVIEW, MODEL_VERSION, NUMERIC_FEATURES, TARGET
 from stayscope.sources.staging import new_path, shared_folder, stage
@@ -161,7 +162,7 @@ def linear_model(**kw) -> LinearRegression:
 
 
 def forest_model(trees: int = 200, depth: int = 15, **kw) -> RandomForestRegressor:
-    return RandomForestRegressor(
+    return SharedRowsForest(
         labelCol=TARGET,
         featuresCol="features",
         numTrees=trees,

@@ -73,6 +73,10 @@ class Scratch:
     def stage(self, df: DataFrame, label: str = "step") -> DataFrame:
         return _staged(df, f"{self._folder}/{label}-{uuid.uuid4().hex[:12]}")
 
+    def path(self, label: str) -> str:
+        """A folder for other files of the operator."""
+        return f"{self._folder}/{label}"
+
     def __enter__(self) -> Scratch:
         return self
 
