@@ -1,10 +1,11 @@
 """Gradient boosting with leaf penalties: second-order trees over binned columns.
 
-All rounds are one barrier stage. Its tasks keep their binned rows and predictions in files of their own. At every
+All rounds are one barrier stage. Its tasks keep their binned rows and gradients in files of their own. At every
 level of a tree, for all models that grow together (the folds of a cross-validation), they add up gradients and row
-counts per node, feature and bin, exchange these tables, whose size does not depend on the rows, and pick the same
-splits. L1, L2 and a cost per leaf enter the gain of splits and the leaf values; rows and columns are drawn
-anew for each tree by hashes. A lost task costs the stage.
+counts per node, feature and bin, exchange these tables, whose size does not depend on the rows, through files of the shared
+folder, and pick the same splits. Of the two leaves of a split only the one of fewer rows is added up; the other has the rest of
+their node's sums. L1, L2 and a cost per leaf enter the gain of splits and the leaf values; rows and columns are
+drawn anew for each tree by hashes. A lost task costs the stage.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import base64
 import json
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
-from contextlib import ExitStack
+from contextlib import ExitStack, suppress
 from dataclasses import asdict, dataclass, field
 from functools import partial
 
@@ -31,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayscope.functions.side_by_side import side_by_side
+from stayscope.sources.files import Exchange, qualified
 from stayscope.sources.staging import Scratch
 
 BINS = 256
 #: Rows of a growing model that are worth a task, the tasks that exchange sums at most, rows worked on at a
-#: time, and bytes of sums that reach a task in one exchange. Spark lets a task wait a second per exchange, so few rows are one task.
-TASK_ROWS, MOST_TASKS, BLOCK_ROWS, EXCHANGED = 1_000_000, 32, 65_536, 8_000_000
+#: time, and bytes of sums that reach a task in one exchange.
+TASK_ROWS, MOST_TASKS, BLOCK_ROWS, EXCHANGED = 1_000_000, 32, 65536, 8_000_000
 
 
 def shrunk(gradient, l1: float):
@@ -69,6 +72,12 @@ class Tree:
             self.gain.append(0.0)
         return left
 
+    def steps(self) -> np.ndarray:
+        """Where each node leads: left leaf, feature and bin in one number; leaves lead to themselves."""
+        feature, node = np.array(self.feature), np.arange(len(self.feature))
+        split = feature >= 0
+        return np.where(split, self.left, node) << 24 | np.maximum(feature, 0) << 8 | np.where(split, self.bin, BINS - 1)
+
     def leaves(self, columns: np.ndarray, limits: list) -> np.ndarray:
         """The node where each row ends; ``columns`` are bins or values, ``limits`` those of the nodes."""
         node = np.zeros(len(columns), np.int64)
@@ -128,10 +137,20 @@ class _Part:
     #: The tree that grows, and its nodes that may split.
     tree: Tree | None = None
     active: list[int] = field(default_factory=list)
+    #: The active nodes whose sums are added up from rows (all if there are none), and the sums of all nodes a level above.
+    lesser: list[int] = field(default_factory=list)
+    above: np.ndarray | None = None
+
+    def begin(self) -> None:
+        self.tree, self.active, self.lesser, self.above = Tree(), [0], [], None
+
+    @property
+    def summed(self) -> list[int]:
+        return self.lesser or self.active
 
 
 class _Rows:
-    """A task's rows in files of ``folder``: row number, label, fold and bins, and each model's prediction and node."""
+    """A task's rows in files of ``folder``: row number, fold and bins, and each model's gradient and node."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch], edges: list[list[float]], bases: list[float], folder: str):
         self._folder, self.n, sorted_edges = folder, 0, [np.array(e) for e in edges]
@@ -151,60 +170,81 @@ class _Rows:
                 row.write(batch["row"].to_numpy().astype(np.int64).tobytes())
                 y.write(batch["y"].to_numpy().astype(np.float64).tobytes())
                 fold.write(batch["fold"].to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
-        self.row, self.y, self.fold = self._file("row", np.int64), self._file("y", np.float64), self._file("fold", np.int32)
+        self.row, y, self.fold = self._file("row", np.int64), self._file("y", np.float64), self._file("fold", np.int32)
         self.bins = self._file("bins", np.uint8, len(edges))
         #: The same bins a column each: sums read whole columns, moves single cells of a row.
         self.by_column = [self._file(f"bins{i}", np.uint8) for i in range(len(edges))]
-        self.margins = [self._file(f"margin{k}", np.float64) for k in range(len(bases))]
+        #: Prediction less label, which is the gradient of half the squared error.
+        self.gradients = [self._file(f"gradient{k}", np.float64) for k in range(len(bases))]
         self.nodes = [self._file(f"node{k}", np.int32) for k in range(len(bases))]
-        for margins, base in zip(self.margins, bases):
-            margins[:] = base
+        self.drawn, self._draw = self._file("drawn", np.bool_), None
+        for gradients, base in zip(self.gradients, bases):
+            np.subtract(base, y, out=gradients)
 
     def _file(self, name: str, kind, width: int | None = None) -> np.ndarray:
         shape = (self.n,) if width is None else (self.n, width)
-        return np.memmap(f"{self._folder}/{name}", kind, "r+" if name in ("row", "y", "fold") or name.startswith("bins") else "w+", shape=shape) if self.n else np.empty(shape, kind)
+        if not self.n:
+            return np.empty(shape, kind)
+        mode = "r+" if name in ("row", "y", "fold") or name.startswith("bins") else "w+"
+        return np.asarray(np.memmap(f"{self._folder}/{name}", kind, mode, shape=shape))
 
     def blocks(self) -> Iterator[slice]:
         for start in range(0, self.n, BLOCK_ROWS):
             yield slice(start, min(start + BLOCK_ROWS, self.n))
 
-    def move(self, k: int, tree: Tree, block: slice) -> np.ndarray:
+    def draw(self, seed: int, share: float) -> None:
+        """Draw the rows of a tree, once for all models."""
+        if self._draw != (seed, share):
+            self._draw = seed, share
+            for block in self.blocks():
+                self.drawn[block] = _drawn(self.row[block], seed, share)
+
+    def move(self, k: int, steps: np.ndarray, block: slice) -> np.ndarray:
         """Rows that stand on a node which has split go on to its leaves; returns where the rows stand."""
-        feature, node = np.array(tree.feature), self.nodes[k][block]
-        rows = np.flatnonzero(feature[node] >= 0)
-        at = node[rows]
-        node[rows] = np.array(tree.left)[at] + (self.bins[block][rows, feature[at]] > np.array(tree.bin)[at])
+        node = self.nodes[k][block]
+        if len(steps) > 1:
+            bins, step = self.bins[block], np.take(steps, node, mode="clip")
+            cell = np.arange(0, bins.size, bins.shape[1])
+            cell += step >> 8 & 0xFFFF
+            right = np.take(bins.ravel(), cell, mode="clip") > step.astype(np.uint8)
+            step >>= 24
+            np.add(step, right, out=node, casting="unsafe")
         return node
 
     def sums(self, parts: list[_Part], columns: np.ndarray, seed: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients and row counts of all active nodes by place of the node, drawn column and bin."""
-        size = len(columns) * BINS
-        g, n, first = np.zeros(sum(len(p.active) for p in parts) * size), np.zeros(sum(len(p.active) for p in parts) * size, np.int64), 0
+        """Gradients and row counts of all nodes to be summed by place of the node, drawn column and bin."""
+        self.draw(seed, share)
+        found = [np.zeros((0, len(columns), BINS), complex)]
         for k, p in enumerate(parts):
             if not p.active:
                 continue
-            where, own = np.full(len(p.tree.feature), -1), slice(first, first + len(p.active) * size)
-            where[p.active] = np.arange(len(p.active))
-            tables_g, tables_n = (t[own].reshape(-1, len(columns), BINS) for t in (g, n))
+            nodes, steps = p.summed, p.tree.steps()
+            where, table = np.full(len(steps), -1), np.zeros((len(columns), len(nodes) * BINS), complex)
+            where[nodes] = np.arange(len(nodes)) * BINS
             for block in self.blocks():
-                place = where[self.move(k, p.tree, block)]
-                keep = _drawn(self.row[block], seed, share) & (place >= 0)
+                start = where[self.move(k, steps, block)]
+                keep = self.drawn[block] & (start >= 0)
                 if p.held_out is not None:
                     keep &= self.fold[block] != p.held_out
                 keep = np.flatnonzero(keep)
-                gradient, start = self.margins[k][block][keep] - self.y[block][keep], place[keep] * BINS
+                # Gradient and count side by side are added in one step.
+                start, own = start[keep], np.empty(len(keep), complex)
+                own.real, own.imag = self.gradients[k][block][keep], 1.0
+                slot, cell = np.empty_like(start), np.empty(len(keep), np.uint8)
                 for c, column in enumerate(columns):
-                    slot = start + self.by_column[column][block][keep]
-                    tables_g[:, c] += np.bincount(slot, gradient, len(p.active) * BINS).reshape(-1, BINS)
-                    tables_n[:, c] += np.bincount(slot, minlength=len(p.active) * BINS).reshape(-1, BINS)
-            first = own.stop
-        return g, n
+                    # Clipping only spares the check of each place; all are within the block.
+                    np.take(self.by_column[column][block], keep, out=cell, mode="clip")
+                    np.add(start, cell, out=slot)
+                    np.add.at(table[c], slot, own)
+            found.append(table.reshape(len(columns), len(nodes), BINS).swapaxes(0, 1))
+        all_sums = np.concatenate(found).ravel()
+        return all_sums.real.copy(), all_sums.imag.astype(np.int64)
 
     def add(self, k: int, tree: Tree) -> None:
         """Add a grown tree's values to the predictions; the next tree starts at its root."""
-        values = np.array(tree.value)
+        values, steps = np.array(tree.value), tree.steps()
         for block in self.blocks():
-            self.margins[k][block] += values[self.move(k, tree, block)]
+            self.gradients[k][block] += values[self.move(k, steps, block)]
             self.nodes[k][block] = 0
 
     def errors(self, k: int, held_out: int | None) -> tuple[int, float]:
@@ -212,27 +252,35 @@ class _Rows:
         n, total = 0, 0.0
         for block in self.blocks():
             own = self.fold[block] == (-1 if held_out is None else held_out)
-            n, total = n + int(own.sum()), total + float(((self.y[block] - self.margins[k][block])[own] ** 2).sum())
+            n, total = n + int(own.sum()), total + float((self.gradients[k][block][own] ** 2).sum())
         return n, total
 
 
-def _over_tasks(tasks: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def _over_tasks(tasks: int, folder: str | None) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Function that adds up tables of gradients and counts over the tasks of a barrier stage.
 
-    Every task adds them in the same order, so all hold the same sums. Long tables go in parts.
+    Every task adds them in the same order, so all hold the same sums. Long tables go in parts. They go through files of
+    ``folder``: Spark's barrier lets a task wait up to a second each time. Without a folder that
+    tasks can open they go through the barrier.
     """
     if tasks == 1:
         return lambda g, n: (g, n)
     context, step = BarrierTaskContext.get(), max(EXCHANGED // (22 * tasks), 1)
+    if folder:
+        # Each attempt of the stage has a name of its own, so no file of a lost one is read.
+        attempt = context.allGather(uuid.uuid4().hex)[0]
+        swap = Exchange(f"{folder}/{attempt}", context.partitionId(), tasks).swap
+    else:
+
+        def swap(own: bytes) -> Iterator[bytes]:
+            return map(base64.b64decode, context.allGather(base64.b64encode(own).decode()))
 
     def add(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         all_g, all_n = np.zeros(len(g)), np.zeros(len(n), np.int64)
         for first in range(0, len(g), step):
             part_g, part_n = g[first : first + step], n[first : first + step]
             slot = np.flatnonzero(part_n)
-            own = slot.astype("<u4").tobytes() + part_n[slot].astype("<u4").tobytes() + part_g[slot].astype("<f8").tobytes()
-            for message in context.allGather(base64.b64encode(own).decode()):
-                held = base64.b64decode(message)
+            for held in swap(slot.astype("<u4").tobytes() + part_n[slot].astype("<u4").tobytes() + part_g[slot].astype("<f8").tobytes()):
                 size = len(held) // 16
                 at = np.frombuffer(held, "<u4", size).astype(np.int64) + first
                 all_n[at] += np.frombuffer(held, "<u4", size, 4 * size)
@@ -255,29 +303,31 @@ class Penalties:
     min_rows: float = 1.0
 
     def score(self, g, n):
-        return shrunk(g, self.l1) ** 2 / (n + self.l2) if np.ndim(g) else float(shrunk(g, self.l1) ** 2 / max(n + self.l2, 1e-300))
+        return shrunk(g, self.l1) ** 2 / (n + self.l2)
 
     def value(self, g: float, n: float) -> float:
         return float(-shrunk(g, self.l1) / (n + self.l2)) if n + self.l2 > 0 else 0.0
 
-    def best_split(self, g: np.ndarray, n: np.ndarray, columns: np.ndarray) -> tuple[float, int, int, float, float] | None:
-        """(gain, feature, bin, g and n of the left side) over tables by feature and bin; None if none gains.
+    def best_splits(self, g: np.ndarray, n: np.ndarray) -> list[tuple[float, int, int, float, float] | None]:
+        """For each node (gain, place of the column, bin, g and n of the left side) over tables by node, column and bin; None if none gains.
 
-        Equal gains: the first feature, then the lowest bin.
+        Equal gains: the first column, then the lowest bin.
         """
-        gl, nl = np.cumsum(g, 1), np.cumsum(n, 1)
-        total_g, total_n = gl[:, -1:], nl[:, -1:]
+        gl, nl = np.cumsum(g, 2), np.cumsum(n, 2)
+        total_g, total_n = gl[:, :, -1:], nl[:, :, -1:]
         gr, nr = total_g - gl, total_n - nl
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = (self.score(gl, nl) + self.score(gr, nr) - self.score(total_g, total_n)) / 2 - self.leaf
-        bad = (nl < max(self.min_rows, 1)) | (nr < max(self.min_rows, 1)) | (n == 0)
-        gain = np.where(bad, -np.inf, gain)
-        gain[np.setdiff1d(np.arange(len(g)), columns)] = -np.inf
-        at = int(np.argmax(gain))
-        f, b = divmod(at, g.shape[1])
-        if not gain[f, b] > 1e-9 * max(abs(float(self.score(total_g, total_n)[f, 0])), 1e-9):
-            return None
-        return float(gain[f, b]), f, b, float(gl[f, b]), float(nl[f, b])
+            before = self.score(total_g, total_n)
+            gain = (self.score(gl, nl) + self.score(gr, nr) - before) / 2 - self.leaf
+        gain[(nl < max(self.min_rows, 1)) | (nr < max(self.min_rows, 1)) | (n == 0)] = -np.inf
+        out = []
+        for node, at in enumerate(np.argmax(gain.reshape(len(g), -1), axis=1)):
+            c, b = divmod(int(at), g.shape[2])
+            if gain[node, c, b] > 1e-9 * max(abs(float(before[node, c, 0])), 1e-9):
+                out.append((float(gain[node, c, b]), c, b, float(gl[node, c, b]), float(nl[node, c, b])))
+            else:
+                out.append(None)
+        return out
 
 
 @dataclass
@@ -294,26 +344,36 @@ class Growth:
 
     def _split(self, parts: list[_Part], g: np.ndarray, n: np.ndarray, edges: list[list[float]], columns: np.ndarray) -> None:
         """Split the active nodes by their sums; their new leaves are the next active ones."""
-        sums, counts = np.zeros((len(edges), BINS)), np.zeros((len(edges), BINS))
-        g, n, place = g.reshape(-1, len(columns), BINS), n.reshape(-1, len(columns), BINS), 0
+        shape, place = (len(columns), BINS), 0
+        all_g, all_n = g.reshape(-1, *shape), n.reshape(-1, *shape)
         for p in parts:
-            following = []
-            for node in p.active:
-                sums[columns], counts[columns] = g[place], n[place]
-                all_g, all_n = float(np.cumsum(sums[columns[0]])[-1]), float(counts[columns[0]].sum())
+            if not p.active:
+                continue
+            g, n = (t[place : place + len(p.summed)].astype(float) for t in (all_g, all_n))
+            place += len(p.summed)
+            if p.lesser:
+                # Leaves stand in pairs; the one that was not summed has the rest.
+                first, (above_g, above_n) = np.array(p.lesser) == np.array(p.active[::2]), p.above
+                pick = first[:, None, None, None]
+                g, n = (np.where(pick, np.stack([t, u - t], 1), np.stack([u - t, t], 1)).reshape(-1, *shape) for t, u in ((g, above_g), (n, above_n)))
+                g[n == 0] = 0.0
+            following, lesser, split = [], [], []
+            for at, (node, best) in enumerate(zip(p.active, self.penalties.best_splits(g, n))):
+                node_g, node_n = float(np.cumsum(g[at, 0])[-1]), float(n[at, 0].sum())
                 if node == 0:
-                    p.tree.value[0] = self.step * self.penalties.value(all_g, all_n)
-                best = self.penalties.best_split(sums, counts, columns)
+                    p.tree.value[0] = self.step * self.penalties.value(node_g, node_n)
                 if best is not None:
-                    gain, f, b, left_g, left_n = best
-                    values = self.penalties.value(left_g, left_n), self.penalties.value(all_g - left_g, all_n - left_n)
+                    gain, c, b, left_g, left_n = best
+                    f = int(columns[c])
+                    values = self.penalties.value(left_g, left_n), self.penalties.value(node_g - left_g, node_n - left_n)
                     left = p.tree.split(node, f, b, edges[f][b], gain, tuple(self.step * v for v in values))
                     following += [left, left + 1]
-                place += 1
-            p.active = following
+                    lesser.append(left + (2 * left_n > node_n))
+                    split.append(at)
+            p.active, p.lesser, p.above = following, lesser, (g[split], n[split])
 
-    def _task(self, parts: list[_Part], edges: list[list[float]], tasks: int):
-        """Task function: grows all models with the other tasks.
+    def _task(self, parts: list[_Part], edges: list[list[float]], tasks: int, shared: str | None = None):
+        """Task function: grows all models with the other tasks, by way of the folder ``shared``.
 
         Returns rows and squared errors of the folds left out and, from the first task, the trees of a
         model that leaves none out.
@@ -321,12 +381,12 @@ class Growth:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with tempfile.TemporaryDirectory() as folder:
-                rows, over_tasks = _Rows(batches, edges, [p.base for p in parts], folder), _over_tasks(tasks)
+                rows, over_tasks = _Rows(batches, edges, [p.base for p in parts], folder), _over_tasks(tasks, shared)
                 rng = np.random.default_rng(self.seed)
                 for k in range(self.rounds):
                     columns = np.sort(rng.permutation(len(edges))[: max(1, round(self.column_share * len(edges)))])
                     for p in parts:
-                        p.tree, p.active = Tree(), [0]
+                        p.begin()
                     for _ in range(self.depth):
                         g, n = rows.sums(parts, columns, self.seed * 1_000_003 + k, self.row_share)
                         self._split(parts, *over_tasks(g, n), edges, columns)
@@ -344,12 +404,12 @@ class Growth:
 
         return run
 
-    def grow(self, rows: DataFrame, edges: list[list[float]], held_out: list[int | None]) -> list[tuple[float, list[Tree], float | None]]:
+    def grow(self, rows: DataFrame, edges: list[list[float]], held_out: list[int | None], shared: str | None = None) -> list[tuple[float, list[Tree], float | None]]:
         """Models of (row, y, fold, x) rows, one for each fold left out, all from the same passes.
 
         Returns each one's first prediction, its trees if it leaves no fold out, and its RMSE on the fold
         that it leaves out. Models of few rows take a task each, without exchanges. The tasks of larger ones run at
-        the same time, so there are no more than the cluster has cores.
+        the same time, so there are no more than the cluster has cores; they exchange sums in the folder ``shared``.
         """
         means = rows.agg(F.count("*"), *[F.avg(F.when(F.lit(k is None) | (F.col("fold") != (k or 0)), F.col("y"))) for k in held_out]).first()
         parts = [_Part(k, base=m or 0.0) for k, m in zip(held_out, means[1:])]
@@ -363,7 +423,7 @@ class Growth:
             grown = [{**r.asDict(), "part": at} for at, own in enumerate(found) for r in own]
         else:
             tasks = max(min(math.ceil(means[0] * len(parts) / TASK_ROWS), MOST_TASKS, cores), 1)
-            grown = own_rows.repartition(tasks).mapInArrow(self._task(parts, edges, tasks), _GROWN, barrier=tasks > 1).collect()
+            grown = own_rows.repartition(tasks).mapInArrow(self._task(parts, edges, tasks, shared), _GROWN, barrier=tasks > 1).collect()
         out = []
         for at, p in enumerate(parts):
             own = [r for r in grown if r["part"] == at]
@@ -372,6 +432,12 @@ class Growth:
         return out
 
 
+def _opened(scratch: Scratch) -> str | None:
+    """The folder for exchanges, if its store is one that tasks can open."""
+    with suppress(ValueError):
+        return qualified(scratch.spark, scratch.path("sums"))
+
+
 def _as_array(dataset: DataFrame, column: str) -> Column:
     """Features as an array, from a vector or an array."""
     is_vector = isinstance(dataset.schema[column].dataType, VectorUDT)
@@ -457,7 +523,7 @@ class PenalisedBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
         with Scratch(dataset.sparkSession) as scratch:
             rows, edges = self._rows(dataset, F.lit(0), scratch)
             if edges:
-                ((base, trees, _),) = self.growth.grow(rows, edges, [None])
+                ((base, trees, _),) = self.growth.grow(rows, edges, [None], _opened(scratch))
         content = json.dumps({"base": base, "features": len(edges), "trees": [asdict(t) for t in trees]})
         return BoostedTrees(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), content=content)
 
@@ -470,5 +536,5 @@ class PenalisedBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
             rows, edges = self._rows(dataset, F.col(fold), scratch)
             if not edges:
                 return [(k, None) for k in range(folds)]
-            grown = self.growth.grow(rows, edges, list(range(folds)))
+            grown = self.growth.grow(rows, edges, list(range(folds)), _opened(scratch))
         return [(k, error) for k, (_, _, error) in enumerate(grown)]

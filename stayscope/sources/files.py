@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,3 +54,40 @@ def reading(path: str):
     """A file for reading at any place."""
     store, at = _place(path)
     return store.open_input_file(at)
+
+
+class Exchange:
+    """Messages that tasks which run at the same time send to all others, through files of a shared folder.
+
+    A file begins with its length, so one that is still written is not taken for whole. A task that has
+    everybody's next message knows that all have read its last one, and deletes that.
+    """
+
+    def __init__(self, folder: str, me: int, tasks: int):
+        (self._store, self._folder), self._me, self._tasks, self._step = _place(folder), me, tasks, 0
+        self._store.create_dir(self._folder, recursive=True)
+
+    def _path(self, step: int, task: int) -> str:
+        return f"{self._folder}/{step}-{task}"
+
+    def swap(self, own: bytes) -> list[bytes]:
+        """The messages of all tasks in their order; every task calls this as often as the others."""
+        with self._store.open_output_stream(self._path(self._step, self._me), compression=None) as out:
+            out.write(len(own).to_bytes(8, "little") + own)
+        found = [own if k == self._me else self._awaited(self._path(self._step, k)) for k in range(self._tasks)]
+        if self._step:
+            self._store.delete_file(self._path(self._step - 1, self._me))
+        self._step += 1
+        return found
+
+    def _awaited(self, path: str) -> bytes:
+        """A file's message once it is whole. Spark ends the tasks that wait if another one fails."""
+        pause = 0.001
+        while True:
+            with contextlib.suppress(FileNotFoundError), self._store.open_input_file(path) as held:
+                # The size is that at opening, so only what was there then is read.
+                size = held.size()
+                if size >= 8 and size == 8 + int.from_bytes(held.read(8), "little"):
+                    return held.read(size - 8)
+            time.sleep(pause)
+            pause = min(pause * 1.5, 0.05)

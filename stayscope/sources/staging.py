@@ -68,7 +68,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self._spark, self._folder = spark, new_path(spark, "scratch")
+        self.spark, self._folder = spark, new_path(spark, "scratch")
 
     def stage(self, df: DataFrame, label: str = "step") -> DataFrame:
         return _staged(df, f"{self._folder}/{label}-{uuid.uuid4().hex[:12]}")
@@ -81,4 +81,4 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        remove(self._spark, self._folder)
+        remove(self.spark, self._folder)
