@@ -37,6 +37,8 @@ from stayscope.sources.files import Exchange, qualified
 from stayscope.sources.staging import Scratch
 
 BINS = 256
+#: Values that the bins of columns summed together may take.
+JOINT = 1024
 #: Rows of a growing model that are worth a task, the tasks that exchange sums at most, rows worked on at a
 #: time, and bytes of sums that reach a task in one exchange.
 TASK_ROWS, MOST_TASKS, BLOCK_ROWS, EXCHANGED = 1_000_000, 32, 65536, 8_000_000
@@ -78,23 +80,20 @@ class Tree:
         split = feature >= 0
         return np.where(split, self.left, node) << 24 | np.maximum(feature, 0) << 8 | np.where(split, self.bin, BINS - 1)
 
-    def leaves(self, columns: np.ndarray, limits: list) -> np.ndarray:
-        """The node where each row ends; ``columns`` are bins or values, ``limits`` those of the nodes."""
-        node = np.zeros(len(columns), np.int64)
-        feature, left, limit = np.array(self.feature), np.array(self.left), np.array(limits)
-        rows = np.flatnonzero(feature[node] >= 0)
-        while len(rows):
-            at = node[rows]
-            node[rows] = left[at] + (columns[rows, feature[at]] > limit[at])
-            rows = rows[feature[node[rows]] >= 0]
-        return node
-
 
-def added(trees: list[Tree], columns: np.ndarray, by_bin: bool) -> np.ndarray:
-    """Sum of the trees' values for each row."""
-    total = np.zeros(len(columns))
+def added(trees: list[Tree], columns: np.ndarray) -> np.ndarray:
+    """Sum of the trees' values for each row of feature values."""
+    cells, first, total = columns.ravel(), np.arange(0, columns.size, columns.shape[1]), np.zeros(len(columns))
     for t in trees:
-        total += np.array(t.value)[t.leaves(columns, t.bin if by_bin else t.threshold)]
+        # Leaves lead to themselves, as no value lies above their threshold.
+        feature, own = np.array(t.feature), np.arange(len(t.feature))
+        split = feature >= 0
+        left, cell, threshold = np.where(split, t.left, own), np.maximum(feature, 0), np.where(split, t.threshold, np.inf)
+        node, before = np.zeros(len(columns), np.int64), None
+        while before is None or (node != before).any():
+            before = node
+            node = left[before] + (cells[first + cell[before]] > threshold[before])
+        total += np.array(t.value)[node]
     return total
 
 
@@ -174,6 +173,7 @@ class _Rows:
         self.bins = self._file("bins", np.uint8, len(edges))
         #: The same bins a column each: sums read whole columns, moves single cells of a row.
         self.by_column = [self._file(f"bins{i}", np.uint8) for i in range(len(edges))]
+        self._join([len(e) for e in edges])
         #: Prediction less label, which is the gradient of half the squared error.
         self.gradients = [self._file(f"gradient{k}", np.float64) for k in range(len(bases))]
         self.nodes = [self._file(f"node{k}", np.int32) for k in range(len(bases))]
@@ -181,6 +181,22 @@ class _Rows:
         for gradients, base in zip(self.gradients, bases):
             np.subtract(base, y, out=gradients)
 
+    def _join(self, sizes: list[int]) -> None:
+        """Columns of few bins are summed together, by one number for the bins of all: (columns, their sizes, numbers)."""
+        self.joint, group, product = [], [], 1
+        for i in [*np.argsort(sizes, kind="stable").tolist(), None]:
+            if i is not None and product * sizes[i] <= JOINT:
+                group.append(i)
+                product *= sizes[i]
+                continue
+            if len(group) > 1:
+                shape = [sizes[c] for c in group]
+                numbers = self._file(f"joint{len(self.joint)}", np.uint16)
+                for block in self.blocks():
+                    numbers[block] = np.ravel_multi_index([self.by_column[c][block] for c in group], shape)
+                self.joint.append((group, shape, numbers))
+            group, product = [i], sizes[i] if i is not None else 1
+
     def _file(self, name: str, kind, width: int | None = None) -> np.ndarray:
         shape = (self.n,) if width is None else (self.n, width)
         if not self.n:
@@ -211,32 +227,50 @@ class _Rows:
             np.add(step, right, out=node, casting="unsafe")
         return node
 
+    def _read(self, columns: np.ndarray) -> list[tuple[list[int], list[int], np.ndarray, int]]:
+        """What is summed for the drawn columns: (columns, their sizes, numbers, how many numbers there are)."""
+        drawn, found = set(columns.tolist()), []
+        for group, shape, numbers in self.joint:
+            if len(drawn.intersection(group)) > 1:
+                drawn -= set(group)
+                found.append((group, shape, numbers, math.prod(shape)))
+        return found + [([c], [BINS], self.by_column[c], BINS) for c in sorted(drawn)]
+
+    def _apart(self, tables: list[np.ndarray], columns: np.ndarray, nodes: int) -> np.ndarray:
+        """Sums by node, drawn column and bin from those of columns summed together."""
+        out, place = np.zeros((nodes, len(columns), BINS), complex), {c: i for i, c in enumerate(columns.tolist())}
+        for table, (group, shape, _, _) in zip(tables, self._read(columns)):
+            table = table.reshape(nodes, *shape)
+            for axis, c in enumerate(group, 1):
+                if c in place:
+                    out[:, place[c], : shape[axis - 1]] = table.sum(axis=tuple(a for a in range(1, len(shape) + 1) if a != axis))
+        return out
+
     def sums(self, parts: list[_Part], columns: np.ndarray, seed: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Gradients and row counts of all nodes to be summed by place of the node, drawn column and bin."""
         self.draw(seed, share)
-        found = [np.zeros((0, len(columns), BINS), complex)]
+        found, read = [np.zeros((0, len(columns), BINS), complex)], [(c, w) for _, _, c, w in self._read(columns)]
         for k, p in enumerate(parts):
             if not p.active:
                 continue
             nodes, steps = p.summed, p.tree.steps()
-            where, table = np.full(len(steps), -1), np.zeros((len(columns), len(nodes) * BINS), complex)
-            where[nodes] = np.arange(len(nodes)) * BINS
+            where, tables = np.full(len(steps), -1), [np.zeros(len(nodes) * width, complex) for _, width in read]
+            where[nodes] = np.arange(len(nodes))
             for block in self.blocks():
-                start = where[self.move(k, steps, block)]
-                keep = self.drawn[block] & (start >= 0)
+                place = where[self.move(k, steps, block)]
+                keep = self.drawn[block] & (place >= 0)
                 if p.held_out is not None:
                     keep &= self.fold[block] != p.held_out
                 keep = np.flatnonzero(keep)
                 # Gradient and count side by side are added in one step.
-                start, own = start[keep], np.empty(len(keep), complex)
+                place, own, slot = place[keep], np.empty(len(keep), complex), np.empty(len(keep), np.int64)
                 own.real, own.imag = self.gradients[k][block][keep], 1.0
-                slot, cell = np.empty_like(start), np.empty(len(keep), np.uint8)
-                for c, column in enumerate(columns):
+                for (column, width), table in zip(read, tables):
                     # Clipping only spares the check of each place; all are within the block.
-                    np.take(self.by_column[column][block], keep, out=cell, mode="clip")
-                    np.add(start, cell, out=slot)
-                    np.add.at(table[c], slot, own)
-            found.append(table.reshape(len(columns), len(nodes), BINS).swapaxes(0, 1))
+                    cell = np.take(column[block], keep, mode="clip")
+                    np.add(place * width, cell, out=slot)
+                    np.add.at(table, slot, own)
+            found.append(self._apart(tables, columns, len(nodes)))
         all_sums = np.concatenate(found).ravel()
         return all_sums.real.copy(), all_sums.imag.astype(np.int64)
 
@@ -279,12 +313,20 @@ def _over_tasks(tasks: int, folder: str | None) -> Callable[[np.ndarray, np.ndar
         all_g, all_n = np.zeros(len(g)), np.zeros(len(n), np.int64)
         for first in range(0, len(g), step):
             part_g, part_n = g[first : first + step], n[first : first + step]
-            slot = np.flatnonzero(part_n)
-            for held in swap(slot.astype("<u4").tobytes() + part_n[slot].astype("<u4").tobytes() + part_g[slot].astype("<f8").tobytes()):
-                size = len(held) // 16
-                at = np.frombuffer(held, "<u4", size).astype(np.int64) + first
-                all_n[at] += np.frombuffer(held, "<u4", size, 4 * size)
-                all_g[at] += np.frombuffer(held, "<f8", size, 8 * size)
+            slot, size = np.flatnonzero(part_n), len(part_n)
+            if len(slot) * 16 < size * 12:
+                own = slot.astype("<u4").tobytes() + part_n[slot].astype("<u4").tobytes() + part_g[slot].astype("<f8").tobytes()
+            else:
+                own = part_n.astype("<u4").tobytes() + part_g.astype("<f8").tobytes()
+            for held in swap(own):
+                if len(held) == 12 * size:
+                    at, n_of, g_of = slice(first, first + size), np.frombuffer(held, "<u4", size), np.frombuffer(held, "<f8", size, 4 * size)
+                else:
+                    few = len(held) // 16
+                    at = np.frombuffer(held, "<u4", few).astype(np.int64) + first
+                    n_of, g_of = np.frombuffer(held, "<u4", few, 4 * few), np.frombuffer(held, "<f8", few, 8 * few)
+                all_n[at] += n_of
+                all_g[at] += g_of
         return all_g, all_n
 
     return add
@@ -476,11 +518,9 @@ class BoostedTrees(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadabl
     def _transform(self, dataset: DataFrame) -> DataFrame:
         base, trees, features = self._read()
 
-        @F.pandas_udf("double")
-        def predict(x):
-            import pandas as pd
-
-            return pd.Series(base + added(trees, np.stack(x.to_numpy()).reshape(-1, features), False))
+        @F.arrow_udf("double")
+        def predict(x: pa.Array) -> pa.Array:
+            return pa.array(base + added(trees, _table(x, features)))
 
         return dataset.withColumn(self.getPredictionCol(), predict(_as_array(dataset, self.getFeaturesCol())))
 

@@ -180,3 +180,35 @@ def test_sums_hold_every_drawn_row_once(tmp_path, monkeypatch, block):
             same = keep & (x[:, column] == v)
             assert n.reshape(2, b.BINS)[place, at] == same.sum()
             assert g.reshape(2, b.BINS)[place, at] == pytest.approx((2.0 - y[same]).sum())
+
+
+def test_columns_of_few_bins_are_summed_together(tmp_path):
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.integers(0, k, 300) for k in (3, 200, 2, 40, 17, 9)], 1).astype(float)
+    edges = [sorted(set(v)) for v in x.T.tolist()]
+    columns = {"row": range(300), "y": rng.normal(size=300), "fold": [0] * 300, "x": x.tolist()}
+    held = b._Rows(iter([b.pa.RecordBatch.from_pydict(columns)]), edges, [0.0], str(tmp_path))
+    assert [group for group, _, _ in held.joint] == [[2, 0, 5, 4]]
+    part = b._Part(None, tree=b.Tree(), active=[0])
+    part.tree.split(0, 1, 90, 90.0, 1.0, (0.0, 0.0))
+    part.active = [1, 2]
+    for drawn in ([0, 1, 3], [0, 2, 3, 4, 5], [5]):
+        held.nodes[0][:] = 0
+        g, n = held.sums([part], np.array(drawn), 5, 0.7)
+        keep = b._drawn(np.arange(300), 5, 0.7)
+        for node, there in enumerate((x[:, 1] <= edges[1][90], x[:, 1] > edges[1][90])):
+            for place, c in enumerate(drawn):
+                own, bins = keep & there, np.searchsorted(edges[c], x[:, c])
+                want = [np.bincount(bins[own], w, b.BINS) for w in (-np.array(columns["y"])[own], np.ones(own.sum()))]
+                assert n.reshape(2, -1, b.BINS)[node, place] == pytest.approx(want[1])
+                assert g.reshape(2, -1, b.BINS)[node, place] == pytest.approx(want[0])
+
+
+def test_predictions_follow_the_trees():
+    rng = np.random.default_rng(2)
+    deep, leaf = b.Tree(), b.Tree(value=[0.5])
+    left = deep.split(0, 1, 0, 0.25, 1.0, (1.0, 2.0))
+    deep.split(left + 1, 0, 0, -0.5, 1.0, (3.0, 4.0))
+    x = np.vstack([rng.normal(size=(50, 2)), [[-0.5, 0.25], [-0.5, 0.3], [np.nan, np.nan], [np.inf, np.inf]]])
+    right, high = x[:, 1] > 0.25, x[:, 0] > -0.5
+    assert b.added([deep, leaf], x) == pytest.approx(np.where(right, np.where(high, 4.0, 3.0), 1.0) + 0.5)
