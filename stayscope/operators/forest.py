@@ -12,18 +12,20 @@ from __future__ import annotations
 import json
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.ml import Model
 from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayscope.operators.boosting import _as_array, _table, bin_edges
@@ -231,6 +233,14 @@ def _growing(paths: list[str], width: int, features: int, draws: Draws):
     return run
 
 
+def _tree_rows(paths: list[str]) -> list[dict]:
+    rows = []
+    for path in paths:
+        with reading(path) as held:
+            rows += pq.read_table(held, columns=["tree", "feature", "bin", "value", "gains"]).to_pylist()
+    return sorted(rows, key=lambda r: r["tree"])
+
+
 def _grown(row) -> Grown:
     kinds = ("feature", np.int16), ("bin", np.uint8), ("value", np.float64), ("gains", np.float64)
     return Grown(*[np.frombuffer(row[k], kind) for k, kind in kinds])
@@ -247,7 +257,7 @@ class GrownForest(Model, HasFeaturesCol, HasPredictionCol, MLWritable, MLReadabl
     def __init__(self, content: str = "{}", trees: DataFrame | None = None):
         super().__init__()
         self._set(content=content)
-        self.trees, self._sent = trees, None
+        self.trees = trees
 
     def _read(self) -> tuple[list[list[float]], int]:
         held = json.loads(self.getOrDefault(self.content))
@@ -263,19 +273,24 @@ class GrownForest(Model, HasFeaturesCol, HasPredictionCol, MLWritable, MLReadabl
         return DenseVector(total / total.sum() if total.sum() > 0 else total)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        bounds, depth = self._read()
-        if self._sent is None:
-            self._sent = dataset.sparkSession.sparkContext.broadcast([r.asDict() for r in self.trees.orderBy("tree").collect()])
-        sent = self._sent
+        (bounds, depth), rows = self._read(), self._sent(dataset.sparkSession)
 
         @F.arrow_udf("double")
         def predict(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            steps = [_grown(r).steps() for r in sent.value]
+            steps = [_grown(r).steps() for r in rows()]
             for x in lists:
                 yield pa.array(predicted(steps, binned(_table(x, len(bounds)), bounds), depth))
 
         return dataset.withColumn(self.getPredictionCol(), predict(_as_array(dataset, self.getFeaturesCol())))
 
+    def _sent(self, spark: SparkSession) -> Callable[[], list[dict]]:
+        """Function that gives a task the trees: from their files, or from the driver if tasks cannot open that store."""
+        try:
+            return partial(_tree_rows, [qualified(spark, path) for path in self.trees.inputFiles()])
+        except ValueError:
+            sent = spark.sparkContext.broadcast([r.asDict() for r in self.trees.orderBy("tree").collect()])
+            return lambda: sent.value
+
     def write(self) -> _ForestWriter:
         return _ForestWriter(self)
 

@@ -145,3 +145,19 @@ def test_more_rows_than_a_task_holds_go_to_spark(spark, monkeypatch):
     assert isinstance(model(trees=2).fit(df), f.GrownForest)
     monkeypatch.setattr(f, "TASK_CELLS", 600 * 3 - 1)
     assert model(trees=2).fit(df).getNumTrees == 2
+
+
+def test_trees_do_not_pass_the_driver(spark, monkeypatch):
+    """Tasks read the trees from their files; only from a store that they cannot open do the trees come by the driver."""
+    df = table(spark, *rows())
+    fitted, sent = model(trees=5).fit(df), []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or broadcast(value))
+    scored = fitted.transform(df).cache()
+    assert scored.count() == 600 and sent == []
+
+    def unknown(*_):
+        raise ValueError("name one of the stores")
+
+    monkeypatch.setattr(f, "qualified", unknown)
+    assert fitted.transform(df).exceptAll(scored).count() == 0 and len(sent[0]) == 5
